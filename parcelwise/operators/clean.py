@@ -8,7 +8,7 @@ and finally dropping rows whose order value could not be parsed.
 Scale notes: de-duplication is a hash aggregate over all columns with map-side combine,
 so even a row copied a billion times collapses before the shuffle. The median is an exact
 ``percentile`` whose partial state is a value->count map (discounts are small integers, so
-the map stays tiny); it is joined back as a one-row broadcast, never collected.
+the map stays tiny); it enters the row expression as a scalar subquery, never collected.
 """
 
 from __future__ import annotations
@@ -66,12 +66,9 @@ def cap_discount(df: DataFrame, limit: float = 100.0) -> DataFrame:
     """Discounts above ``limit`` become the median of discounts at or below it."""
     if "DiscountPct" not in df.columns:
         return df
-    med = F.broadcast(discount_median(df, limit))
-    return (df.crossJoin(med)
-              .withColumn("DiscountPct",
-                          F.when(F.col("DiscountPct") > limit, F.col("__disc_median"))
-                           .otherwise(F.col("DiscountPct")))
-              .drop("__disc_median"))
+    med = discount_median(df, limit).scalar()  # scalar subquery, evaluated once
+    return df.withColumn("DiscountPct",
+                         F.when(F.col("DiscountPct") > limit, med).otherwise(F.col("DiscountPct")))
 
 
 def clip_discount(df: DataFrame, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
@@ -151,7 +148,10 @@ def audit(raw: DataFrame) -> DataFrame:
         F.count_if(F.col("Device").isNull()).alias("device_null"),
         F.count_if(F.col("AddressQuality").isNull()).alias("address_null"),
     )
-    both = n_raw.crossJoin(s1.withColumnRenamed("n", "n_dedup"))
+    s1 = s1.withColumnRenamed("n", "n_dedup")
+    nr = n_raw.select(F.struct("n", "tiers", "states")).scalar()
+    both = s1.select(nr["n"].alias("n"), nr["tiers"].alias("tiers"), nr["states"].alias("states"),
+                     *s1.columns)
 
     def row(step, metric, before, after):
         return F.struct(F.lit(step).alias("step"), F.lit(metric).alias("metric"),

@@ -2,8 +2,8 @@
 the per-shopper table, histograms, mode, distinct levels, the validation report.
 
 Every function is one or two aggregate passes; scalars that later rows need (overall rate,
-quartile edges, min/max) are one-row frames joined back as broadcasts, never collected to
-the driver. pandas-style semantics kept on purpose: NULL group keys are dropped.
+quartile edges, min/max) enter row expressions as scalar subqueries (``DataFrame.scalar``),
+never collected to the driver. pandas-style semantics kept on purpose: NULL group keys are dropped.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def rate_by(df: DataFrame, col: str | "F.Column", min_n: int = 20,
     per = (df.where(lvl.isNotNull())
              .groupBy(lvl.alias(level_name))
              .agg(F.avg("RTO").alias("__mean"), F.count(F.lit(1)).alias("n")))
-    overall = df.agg(F.avg("RTO").alias("__overall"))
-    kept = per.where(F.col("n") >= min_n).crossJoin(F.broadcast(overall))
+    overall = df.agg(F.avg("RTO")).scalar()
+    kept = per.where(F.col("n") >= min_n).withColumn("__overall", overall)
     return kept.select(
         F.col(level_name),
         F.round("__mean", R6).alias("return_rate"),
@@ -66,16 +66,14 @@ def with_history_depth(df: DataFrame) -> DataFrame:
 def with_value_quartile(df: DataFrame, col: str = "OrderValue") -> DataFrame:
     """Quartile bands from exact interpolated quartiles (first band closed on the left).
 
-    Edges come from one aggregate (min, exact 25/50/75 % points, max) joined back as a
-    one-row broadcast.
+    Edges come from one aggregate (min, exact 25/50/75 % points, max) used as a scalar
+    subquery.
     """
-    edges = df.agg(F.min(col).alias("__q0"),
-                   F.percentile(col, [0.25, 0.5, 0.75]).alias("__qs"),
-                   F.max(col).alias("__q4"))
-    j = df.crossJoin(F.broadcast(edges))
-    edge_cols = [F.col("__q0"), F.col("__qs")[0], F.col("__qs")[1], F.col("__qs")[2], F.col("__q4")]
-    return (j.withColumn("ValueQuartile", X.cut_by_columns(col, edge_cols, X.VALUE_QUARTILE_LABELS))
-             .drop("__q0", "__qs", "__q4"))
+    edges = df.agg(F.array(F.min(col).cast("double"),
+                           *[F.percentile(col, q) for q in (0.25, 0.5, 0.75)],
+                           F.max(col).cast("double"))).scalar()
+    edge_cols = [edges[i] for i in range(5)]
+    return df.withColumn("ValueQuartile", X.cut_by_columns(col, edge_cols, X.VALUE_QUARTILE_LABELS))
 
 
 def first_vs_repeat(df: DataFrame) -> DataFrame:
@@ -174,17 +172,18 @@ def mode_of(df: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     """Equal-width bins over [min, max], the last bin closed: (bin, lo, hi, n).
 
-    min/max come from one aggregate joined back as a broadcast; counting is a group-by on
+    min/max come from one aggregate used as a scalar subquery; counting is a group-by on
     the bin number (at most ``bins`` groups)."""
-    mm = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"))
+    mm = df.agg(F.array(F.min(col).cast("double"), F.max(col).cast("double"))).scalar()
+    lo, hi = mm[0], mm[1]
     x = F.col(col).cast("double")
-    width = F.col("__hi") - F.col("__lo")
-    b = F.when(width > 0, F.least(F.floor((x - F.col("__lo")) * F.lit(float(bins)) / width),
+    width = hi - lo
+    b = F.when(width > 0, F.least(F.floor((x - lo) * F.lit(float(bins)) / width),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    return (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(mm))
+    return (df.where(F.col(col).isNotNull())
               .groupBy(b.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"))
+              .agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("__lo", lo).withColumn("__hi", hi)
               .select("bin",
                       F.round(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("bin") / bins, 6)
                        .alias("lo"),
@@ -212,6 +211,7 @@ def validation_report(raw: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(F.col("PaymentMethod") == "COD", F.col("y"))), R6).alias("cod_rate"),
         F.round(F.avg(F.when(F.col("PaymentMethod") == "Prepaid", F.col("y"))), R6).alias("prepaid_rate"),
     )
-    return (n.crossJoin(distinct_rows).crossJoin(rates)
-              .select("rows", "shoppers", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"),
-                      "overall_rate", "cod_rate", "prepaid_rate"))
+    rs = rates.select(F.struct(*rates.columns)).scalar()
+    return n.select("rows", "shoppers",
+                    (F.col("rows") - distinct_rows.scalar()).alias("duplicates"),
+                    *[rs[c].alias(c) for c in rates.columns])

@@ -108,12 +108,51 @@ def split_and_folds(df: DataFrame, label: str | None, id_col: str, seed: int = 4
     """
     groups = [label] if label else []
     ranked = exact_rank(df, groups, id_col, str(seed), out="split_rank")
-    sizes = (df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")) if groups
-             else df.agg(F.count(F.lit(1)).alias("__n")))
+    if groups:
+        # one row per class: bounded by the number of classes
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+        joined = ranked.join(F.broadcast(sizes), groups)
+    else:
+        joined = ranked.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
     cut_col = F.ceil(F.col("__n") * F.lit(float(test_share)))
-    joined = (ranked.join(F.broadcast(sizes), groups) if groups
-              else ranked.crossJoin(F.broadcast(sizes)))
     return (joined
             .withColumn("is_test", (F.col("split_rank") <= cut_col).cast("int"))
             .withColumn("fold", (F.col("split_rank") % F.lit(n_folds)).cast("int"))
             .drop("__n"))
+
+
+def middle_and_ends(df: DataFrame, score: str, id_col: str, salt: str = "mid",
+                    n_end: int = 2) -> DataFrame:
+    """The ``n_end`` lowest, the two middle (0-based positions n//2 - 1 and n//2) and the
+    ``n_end`` highest rows in (score, h(id), id) order, with ``position`` and ``part``.
+
+    Ends are distributed top-k (``orderBy().limit()``). The middle rows are found without
+    sorting all rows: a per-score count table (bounded by the distinct scores) locates the
+    score holding each middle position; only rows of those scores are ranked, with the
+    skew-safe :func:`exact_rank` (a hot score is split over hash buckets).
+    """
+    h = "__h"
+    keyed = df.withColumn(h, hash_bits32(id_col, salt))
+    n_all = df.agg(F.count(F.lit(1))).scalar()
+    low = keyed.orderBy(score, h, id_col).limit(n_end).withColumn("part", F.lit("lowest"))
+    high = keyed.orderBy(F.desc(score), F.desc(h), F.desc(id_col)).limit(n_end) \
+        .withColumn("part", F.lit("highest"))
+
+    per = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    targets = (per.withColumn("__n", n_all)
+                  .withColumn("__pos", F.explode(F.array(
+                      (F.floor(F.col("__n") / 2) - 1).cast("bigint"),
+                      F.floor(F.col("__n") / 2).cast("bigint"))))
+                  .where((F.col("__pos") >= F.col("__before"))
+                         & (F.col("__pos") < F.col("__before") + F.col("__c")))
+                  .select(score, "__pos", "__before"))
+    cand = keyed.join(F.broadcast(targets.select(score).distinct()), score)
+    ranked = exact_rank(cand.drop(h), [score], id_col, salt, out="__r")
+    mid = (ranked.join(F.broadcast(targets), score)
+                 .where(F.col("__r") - 1 + F.col("__before") == F.col("__pos"))
+                 .drop("__r", "__before", "__pos")
+                 .withColumn("part", F.lit("middle")))
+    cols = [c for c in df.columns] + ["part"]
+    return low.select(*cols).unionByName(mid.select(*cols)).unionByName(high.select(*cols))
