@@ -181,7 +181,8 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     b = F.when(width > 0, F.least(F.floor((x - lo) * F.lit(float(bins)) / width),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     return (df.where(F.col(col).isNotNull())
-              .groupBy(b.alias("bin"))
+              .select(b.alias("bin"))
+              .groupBy("bin")
               .agg(F.count(F.lit(1)).alias("n"))
               .withColumn("__lo", lo).withColumn("__hi", hi)
               .select("bin",

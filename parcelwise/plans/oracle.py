@@ -506,3 +506,40 @@ SELECT combo, format('{:.1f}', support * 100) || '%' AS how_common,
        CAST(CAST(round_even(confidence * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS return_follows,
        round(lift, 2) AS times_riskier, lift
 FROM (SELECT * FROM rules_out ORDER BY lift DESC, combo LIMIT 12)""", "cod"))
+
+# ------------------------------------------------------------------ 2.7 preparation, KNN
+_NUM = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime", "OrderHour", "Items"]
+sql("prep_scale", with_ctes_extra(
+    "dm AS (SELECT OrderID, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in _NUM) + " FROM cod)",
+    "SELECT OrderID, " + ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM dm)) / nullif((SELECT stddev_pop({c}) FROM dm), 0), 6) AS z_{c}"
+        for c in _NUM) + " FROM dm", "cod"))
+sql("class_weights", with_ctes("""
+SELECT RTO, count(*) AS n, round((SELECT count(*) FROM cod) / (2.0 * count(*)), 6) AS weight
+FROM cod GROUP BY RTO""", "cod"))
+sql("knn_join", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS t, b.label AS label, list_distance(a.x, b.x) AS d
+          FROM e a, e b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rn FROM pairs)
+SELECT q AS vec_id, CAST(sum(label) AS INTEGER) AS n_positive,
+       CASE WHEN sum(label) / count(*) > 0.5 THEN 1 ELSE 0 END AS pred
+FROM r WHERE rn <= 25 GROUP BY q""")
+
+# ------------------------------------------------------------------ 2.10 regression baseline
+_CAT_ONLY = f"""
+sp AS (SELECT OrderID, Category, CAST(OrderValue AS DOUBLE) AS y,
+              row_number() OVER (ORDER BY {hbits('OrderID', '42')}, OrderID) AS rk, count(*) OVER () AS n
+       FROM cod_clean),
+tr AS (SELECT * FROM sp WHERE rk > ceil(n * 0.25)),
+te AS (SELECT * FROM sp WHERE rk <= ceil(n * 0.25)),
+cm AS (SELECT Category, avg(y) AS m FROM tr GROUP BY Category),
+pred AS (SELECT te.OrderID, te.Category, te.y, coalesce(cm.m, (SELECT avg(y) FROM tr)) AS p
+         FROM te LEFT JOIN cm ON te.Category IS NOT DISTINCT FROM cm.Category),
+fit AS (SELECT sum(pow(y - p, 2)) AS sse, sum(y) AS sy, sum(y * y) AS syy, count(*) AS n, avg(abs(y - p)) AS mae
+        FROM pred)"""
+sql("reg_category_only", with_ctes_extra(_CAT_ONLY, "SELECT OrderID, Category, y, round(p, 6) AS p FROM pred",
+                                         "cod_clean"))
+sql("metric_r2", with_ctes_extra(_CAT_ONLY, "SELECT round(1.0 - sse / (syy - sy * sy / n), 6) AS r2 FROM fit",
+                                 "cod_clean"))
+sql("metric_mae", with_ctes_extra(_CAT_ONLY, "SELECT round(mae, 6) AS mae FROM fit", "cod_clean"))

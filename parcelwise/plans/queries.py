@@ -570,11 +570,6 @@ def q_split_stats(spark, sf):
                                     F.round(F.avg("RTO"), 6).alias("rto_rate"))
 
 
-@query("calibration")
-def q_calibration(spark, sf):
-    return M.calibration(data.scored(spark, sf), group="CityTier")
-
-
 @query("reason_codes")
 def q_reason_codes(spark, sf):
     r = reason_codes(data.cod(spark, sf))
@@ -669,3 +664,250 @@ def q_rules_lift(spark, sf):
 @query("fmt_rules")
 def q_fmt_rules(spark, sf):
     return RU.format_rules(_rules(spark, sf).orderBy(F.desc("lift"), "combo").limit(12))
+
+
+# ------------------------------------------------------------------ 2.7 preparation and models
+from parcelwise.operators import knn as K  # noqa: E402
+from parcelwise.operators import models as ML  # noqa: E402
+from parcelwise.operators import regress as RG  # noqa: E402
+from parcelwise.operators import segment as SG  # noqa: E402
+from parcelwise.sources.store import frame  # noqa: E402
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+
+@query("prep_scale")
+def q_prep_scale(spark, sf):
+    d = ML.design(data.cod(spark, sf))
+    st = d.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in ML.NUM_FEATS],
+                        *[F.stddev_pop(c).alias(f"s_{c}") for c in ML.NUM_FEATS])).scalar()
+    return d.select("OrderID", *[F.round(F.try_divide(F.col(c) - st[f"m_{c}"], st[f"s_{c}"]), 6).alias(f"z_{c}")
+                                 for c in ML.NUM_FEATS])
+
+
+@query("prep_onehot")
+def q_prep_onehot(spark, sf):
+    d = ML.design(data.cod(spark, sf))
+    m = Pipeline(stages=ML.feature_stages()[:2]).fit(d)
+    t = m.transform(d)
+    vecs = [vector_to_array(f"{c}__vec") for c in ML.CAT_FEATS]
+    return t.select("OrderID", F.concat(*vecs).alias("onehot"))
+
+
+@query("prep_pipeline")
+def q_prep_pipeline(spark, sf):
+    d = ML.design(data.cod(spark, sf))
+    m = Pipeline(stages=ML.feature_stages()).fit(d)
+    return m.transform(d).select("OrderID", vector_to_array("features").alias("features"), "RTO")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    return ML.class_weights(data.cod(spark, sf))
+
+
+def _holdout(spark, sf):
+    d = W.split_and_folds(ML.design(data.cod(spark, sf)), "RTO", "OrderID", seed=42)
+    return d.where("is_test = 0"), d.where("is_test = 1")
+
+
+def _model_query(name):
+    def run(spark, sf):
+        train, test = _holdout(spark, sf)
+        _, (p,) = ML.fit_predict(train, [test], name)
+        return p.select("OrderID", "RTO", F.round("Risk", 6).alias("Risk"), "prediction")
+    return run
+
+
+for _key, _name in [("model_logreg", "Logistic Regression"), ("model_knn", "KNN"),
+                    ("model_tree", "Decision Tree"), ("model_forest", "Random Forest"),
+                    ("model_gbt", "Gradient Boosting")]:
+    QUERIES[_key] = _model_query(_name)
+
+
+def _train_models(spark, sf):
+    return frame(spark, sf, "train_models", lambda: ML.train_models(data.cod(spark, sf)))
+
+
+@query("train_models")
+def q_train_models(spark, sf):
+    return _train_models(spark, sf)
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf):
+    return ML.leaderboard(_train_models(spark, sf))
+
+
+@query("calibration_models")
+def q_calibration_models(spark, sf):
+    actual = data.cod(spark, sf).agg(F.avg("RTO")).scalar()
+    return _train_models(spark, sf).select("model", "mean_predicted",
+                                           F.round(actual, 6).alias("actual_rate"))
+
+
+@query("predict_rows")
+def q_predict_rows(spark, sf):
+    train, _ = _holdout(spark, sf)
+    cod = ML.design(data.cod(spark, sf))
+    _, (p,) = ML.fit_predict(train, [cod], "Logistic Regression")
+    return p.select("OrderID", F.col("prediction").cast("int").alias("predicted_class"),
+                    F.round("Risk", 6).alias("Risk"))
+
+
+def _oof(spark, sf):
+    return frame(spark, sf, "oof_scores", lambda: ML.oof_scores(data.cod(spark, sf)))
+
+
+@query("oof_scores")
+def q_oof_scores(spark, sf):
+    return _oof(spark, sf).select("OrderID", "RTO", "fold", F.round("Risk", 6).alias("Risk"), "Score")
+
+
+@query("calibration")
+def q_calibration(spark, sf):
+    return M.calibration(data.scored(spark, sf), group="CityTier")
+
+
+@query("calibration_oof")
+def q_calibration_oof(spark, sf):
+    return M.calibration(_oof(spark, sf).withColumn("decile", F.floor(F.col("Risk") * 10).cast("int")),
+                         group="decile")
+
+
+@query("importances")
+def q_importances(spark, sf):
+    return ML.importances(data.cod(spark, sf), top=1000)
+
+
+@query("top_importances")
+def q_top_importances(spark, sf):
+    return ML.importances(data.cod(spark, sf), top=12)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    clean = data.clean(spark, sf)
+    new_orders = (clean.where(F.col("IsCOD") == 0)
+                       .select("OrderID", "OrderValue", "DiscountPct", "PriorOrders", "PriorReturns",
+                               "CityTier", "Category", "Device", "AddressQuality"))
+    return ML.batch_score(data.cod(spark, sf), new_orders)
+
+
+@query("cv_auc")
+def q_cv_auc(spark, sf):
+    return ML.cv_auc(data.cod(spark, sf))
+
+
+@query("knn_join")
+def q_knn_join(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    s = K.knn_scores(e, e, k=25, features="embedding", label="label", train_id="vec_id",
+                     query_id="vec_id", exclude_self=True)
+    return s.select("vec_id", "n_positive", "pred")
+
+
+# ------------------------------------------------------------------ 2.9 segmentation
+
+def _habits(spark, sf):
+    return frame(spark, sf, "habits", lambda: SG.standardized_habits(data.clean(spark, sf)))
+
+
+def _scan(spark, sf):
+    return frame(spark, sf, "kmeans_scan", lambda: SG.kmeans_scan(_habits(spark, sf)))
+
+
+def _km2(spark, sf):
+    return frame(spark, sf, "kmeans_two", lambda: SG.kmeans_two(_habits(spark, sf)))
+
+
+def _gmm(spark, sf):
+    return frame(spark, sf, "gmm", lambda: SG.gmm_membership(_habits(spark, sf)))
+
+
+@query("kmeans_scan")
+def q_kmeans_scan(spark, sf):
+    return _scan(spark, sf).select("k", "inertia")
+
+
+@query("silhouette")
+def q_silhouette(spark, sf):
+    return _scan(spark, sf).select("k", "silhouette")
+
+
+@query("kmeans_two")
+def q_kmeans_two(spark, sf):
+    return _km2(spark, sf).select("CustomerID", "cluster", "segment")
+
+
+@query("cluster_profile")
+def q_cluster_profile(spark, sf):
+    return SG.cluster_profile(_km2(spark, sf))
+
+
+@query("cluster_naming")
+def q_cluster_naming(spark, sf):
+    return SG.cluster_profile(_km2(spark, sf)).select("cluster", "segment", "ReturnRate")
+
+
+@query("gmm_soft")
+def q_gmm_soft(spark, sf):
+    return _gmm(spark, sf).select("CustomerID", F.round("p_risky", 6).alias("p_risky"))
+
+
+@query("gmm_fence")
+def q_gmm_fence(spark, sf):
+    return _gmm(spark, sf).agg(F.count_if((F.col("p_risky") > 0.2) & (F.col("p_risky") < 0.8)).alias("on_fence"),
+                               F.count(F.lit(1)).alias("shoppers"))
+
+
+@query("hist_membership")
+def q_hist_membership(spark, sf):
+    return D.histogram(_gmm(spark, sf).withColumn("pct", F.col("p_risky") * 100), "pct", 30)
+
+
+@query("pca_3d")
+def q_pca_3d(spark, sf):
+    coords, _ = SG.pca_coords(_habits(spark, sf))
+    return coords
+
+
+@query("pca_explained")
+def q_pca_explained(spark, sf):
+    _, ratios = SG.pca_coords(_habits(spark, sf))
+    h = _habits(spark, sf)
+    # the ratios are model attributes; attach them to the data-derived component count
+    return h.agg(F.count(F.lit(1)).alias("shoppers")).select(
+        F.inline(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(r).alias("explained_ratio"))
+                           for i, r in enumerate(ratios)])), "shoppers")
+
+
+# ------------------------------------------------------------------ 2.10 regression
+
+def _regs(spark, sf):
+    return frame(spark, sf, "regression_models", lambda: RG.regression_models(data.clean(spark, sf)))
+
+
+@query("regression_models")
+def q_regression_models(spark, sf):
+    return _regs(spark, sf)
+
+
+for _key, _name in [("reg_linear", "Linear"), ("reg_ridge", "Ridge"), ("reg_lasso", "Lasso"),
+                    ("reg_tree", "Decision Tree")]:
+    QUERIES[_key] = (lambda n: (lambda spark, sf: _regs(spark, sf).where(F.col("model") == n)))(_name)
+
+
+@query("reg_category_only")
+def q_reg_category_only(spark, sf):
+    return RG.category_only(data.clean(spark, sf)).withColumn("p", F.round("p", 6))
+
+
+@query("metric_r2")
+def q_metric_r2(spark, sf):
+    return RG.r2_mae(RG.category_only(data.clean(spark, sf))).select("r2")
+
+
+@query("metric_mae")
+def q_metric_mae(spark, sf):
+    return RG.r2_mae(RG.category_only(data.clean(spark, sf))).select("mae")

@@ -30,7 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.master(master)
         if master.startswith("local"):
             # local mode: the driver JVM is the whole cluster
-            builder = builder.config("spark.driver.memory", "16g")
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("PARCELWISE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
