@@ -84,7 +84,7 @@ def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight
         # sklearn C=1 with balanced weights (sum of weights = n) <=> regParam = 1 / n
         reg = 1.0 / max(n_rows or 1, 1)
         return LogisticRegression(maxIter=3000, regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, weightCol=weight_col, tol=1e-6, **common)
+                                  standardization=False, weightCol=weight_col, tol=1e-4, **common)
     if name == "Decision Tree":
         return DecisionTreeClassifier(maxDepth=6, weightCol=weight_col, seed=seed, **common)
     if name == "Random Forest":

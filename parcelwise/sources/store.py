@@ -1,8 +1,7 @@
 """Reuse of expensive intermediate frames (raw fixture, clean table, scored table).
 
-``frame(spark, sf_dir, name, build)`` keeps one persisted DataFrame per (application,
-input folder, name). Persisted blocks that are lost with an executor are rebuilt from
-lineage, so a lost executor costs recomputation, never a wrong answer.
+``frame(spark, sf_dir, name, build)`` keeps one table per (application, input folder,
+name): written once as Parquet into the shared checkpoint folder and scanned afterwards.
 
 ``materialize(spark, df, name)`` writes a frame as Parquet under the session's shared
 checkpoint folder and reads it back: the hand-off table between stages (and the way to
@@ -11,6 +10,7 @@ cut a long lineage) that every executor can read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -26,11 +26,24 @@ def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str,
-          build: Callable[[], DataFrame]) -> DataFrame:
+          build: Callable[[], DataFrame], mode: str = "table") -> DataFrame:
+    """The frame ``name`` for this application and input folder, built once.
+
+    ``mode="table"`` (default) writes it as Parquet under the shared checkpoint folder
+    and returns a scan of that table: lineage is cut, a lost executor re-reads files
+    instead of recomputing the build, and later queries get column pruning and filter
+    pushdown. ``mode="persist"`` keeps it in executor memory/disk instead.
+    """
     key = _key(spark, sf_dir, name)
     df = _FRAMES.get(key)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        built = build()
+        if mode == "table":
+            app = spark.sparkContext.applicationId
+            tag = hashlib.sha1(f"{app}|{sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
+            df = materialize(spark, built, f"{name}-{tag}")
+        else:
+            df = built.persist(StorageLevel.MEMORY_AND_DISK)
         _FRAMES[key] = df
     return df
 
@@ -40,7 +53,7 @@ def forget(spark: SparkSession | None = None) -> None:
     app = spark.sparkContext.applicationId if spark is not None else None
     for key in list(_FRAMES):
         if app is None or key[0] == app:
-            _FRAMES.pop(key).unpersist()
+            _FRAMES.pop(key).unpersist()  # no-op for table scans
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str,
