@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import hash_bits32
+from parcelwise.session import ensure_checkpoint_dir
 
 # Width of one block of sequence keys in the finest level of prior_history (rows per
 # window group are bounded by this, since sequence keys are unique).
@@ -30,7 +31,7 @@ RANK_BUCKET_BITS = 16
 def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay",
                   seq: str = "OrderKey", flag: str = "RTO",
                   out_orders: str = "PriorOrders", out_returns: str = "PriorReturns",
-                  seq_block: int = SEQ_BLOCK) -> DataFrame:
+                  seq_block: int = SEQ_BLOCK, checkpoint_input: bool = True) -> DataFrame:
     """Add, per row, the count of earlier rows of the same ``cust`` and the sum of ``flag``
     over them, in (``day``, ``seq``) order -- the window
     ``partitionBy(cust).orderBy(day, seq).rowsBetween(unboundedPreceding, -1)``.
@@ -39,6 +40,12 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
     """
     blk = "__blk"
     base = df.withColumn(blk, F.floor(F.col(seq) / F.lit(seq_block)))
+    if checkpoint_input:
+        # the input rows are computed once and written to the shared checkpoint folder:
+        # all three levels read that copy (the input plan -- joins, hashing -- runs once,
+        # the identical row exchanges of the levels are reused), and lineage is cut
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
 
     # level 3: rows inside one (cust, day, block) -- at most seq_block rows per group
     w_row = (Window.partitionBy(cust, day, blk).orderBy(seq)
@@ -47,16 +54,20 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
             .withColumn("__n3", F.count(F.lit(1)).over(w_row))
             .withColumn("__r3", F.coalesce(F.sum(flag).over(w_row), F.lit(0))))
 
-    # level 2: (cust, day, block) totals, running within (cust, day)
-    blocks = base.groupBy(cust, day, blk).agg(F.count(F.lit(1)).alias("__bn"),
-                                               F.sum(flag).alias("__br"))
+    # level 2: (cust, day, block) totals, running within (cust, day). Aggregated from the
+    # windowed rows, which are already hash-partitioned by (cust, day, block): no new
+    # exchange, and the one exchange of the order rows is shared by every level.
+    # (totals are read off the window columns: last running count + 1, so the aggregate
+    # stays on top of the window instead of being pruned back onto the unshuffled rows)
+    blocks = rows.groupBy(cust, day, blk).agg((F.max("__n3") + 1).alias("__bn"),
+                                               F.max(F.col("__r3") + F.col(flag)).alias("__br"))
     w_blk = Window.partitionBy(cust, day).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (blocks
               .withColumn("__n2", F.coalesce(F.sum("__bn").over(w_blk), F.lit(0)))
               .withColumn("__r2", F.coalesce(F.sum("__br").over(w_blk), F.lit(0))))
 
     # level 1: (cust, day) totals, running within cust -- at most one row per calendar day
-    days = base.groupBy(cust, day).agg(F.count(F.lit(1)).alias("__dn"), F.sum(flag).alias("__dr"))
+    days = blocks.groupBy(cust, day).agg(F.sum("__bn").alias("__dn"), F.sum("__br").alias("__dr"))
     w_day = Window.partitionBy(cust).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     days = (days
             .withColumn("__n1", F.coalesce(F.sum("__dn").over(w_day), F.lit(0)))
@@ -88,11 +99,12 @@ def exact_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, salt: str,
     h, b = "__h", "__b"
     base = (df.withColumn(h, hash_bits32(id_col, salt))
               .withColumn(b, F.shiftright(F.col(h), shift)))
-    counts = base.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__bc"))
-    w_b = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__off", F.coalesce(F.sum("__bc").over(w_b), F.lit(0))).drop("__bc")
     w_in = Window.partitionBy(*g, b).orderBy(h, id_col)
     ranked = base.withColumn("__rn", F.row_number().over(w_in))
+    # bucket sizes from the ranked rows (already partitioned by (group, bucket): no exchange)
+    counts = ranked.groupBy(*g, b).agg(F.max("__rn").alias("__bc"))
+    w_b = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__off", F.coalesce(F.sum("__bc").over(w_b), F.lit(0))).drop("__bc")
     return (ranked.join(counts, [*g, b])
             .withColumn(out, (F.col("__off") + F.col("__rn")).cast("bigint"))
             .drop(h, b, "__off", "__rn"))
