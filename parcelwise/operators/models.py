@@ -25,7 +25,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import score_from_risk
@@ -33,6 +33,7 @@ from parcelwise.operators import metrics as M
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.windows import split_and_folds
 from parcelwise.session import scratch_path
+from parcelwise.sources.store import materialize
 
 # The model inputs (all knowable before dispatch) and the model names.
 NUM_FEATS = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime",
@@ -152,8 +153,14 @@ def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
     rows = []
+    spark = cod.sparkSession
     for name in models:
         _, (pt, ptr) = fit_predict(train, [test, train], name, seed)
+        # predictions are written once to the shared folder; every metric reads that
+        # table instead of re-running the model (KNN scoring, 300 trees) per metric
+        tag = name.replace(" ", "_").lower()
+        pt = materialize(spark, pt, f"pred_test_{tag}_{spark.sparkContext.applicationId}")
+        ptr = materialize(spark, ptr, f"pred_train_{tag}_{spark.sparkContext.applicationId}")
         rows.append(_metrics_row(name, pt, ptr))
     out = rows[0]
     for r in rows[1:]:
@@ -165,8 +172,9 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     """Rounded to 3 decimals, with the best model per metric flagged (max over 5 rows)."""
     cols = ["test_acc", "precision", "recall", "f1", "roc_auc"]
     m = metrics.select("model", *[F.round(c, 3).alias(c) for c in cols + ["overfit_gap"]])
+    every = Window.partitionBy()  # one row per model: five rows
     for c in cols + ["overfit_gap"]:
-        m = m.withColumn(f"best_{c}", F.col(c) == m.agg(F.max(c)).scalar())
+        m = m.withColumn(f"best_{c}", F.col(c) == F.max(c).over(every))
     return m
 
 
@@ -178,6 +186,7 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
     parts = []
     for k in range(n_folds):
         _, (p,) = fit_predict(d.where(F.col("fold") != k), [d.where(F.col("fold") == k)], name, seed)
+        p = materialize(d.sparkSession, p, f"oof_{k}_{d.sparkSession.sparkContext.applicationId}")
         parts.append(p.withColumn("fold", F.lit(k)))
     out = parts[0]
     for p in parts[1:]:
