@@ -543,3 +543,23 @@ sql("reg_category_only", with_ctes_extra(_CAT_ONLY, "SELECT OrderID, Category, y
 sql("metric_r2", with_ctes_extra(_CAT_ONLY, "SELECT round(1.0 - sse / (syy - sy * sy / n), 6) AS r2 FROM fit",
                                  "cod_clean"))
 sql("metric_mae", with_ctes_extra(_CAT_ONLY, "SELECT round(mae, 6) AS mae FROM fit", "cod_clean"))
+
+sql("rate_by", with_ctes(rate_by_sql("cod", "Device", "Device", 20), "cod"))
+sql("basket_onehot", with_ctes_extra(_BASKET, """
+SELECT OrderID, CAST(len(list_distinct([tier, cat, addr, dev, disc, first, out])) AS INTEGER) AS n_items,
+       array_to_string(list_sort(list_distinct([tier, cat, addr, dev, disc, first, out])), ' | ') AS items_present
+FROM basket""", "cod"))
+sql("rules_lift", with_ctes_extra(_BASKET + """,
+cube7 AS (SELECT tier, cat, addr, dev, disc, first, out, count(*) AS freq FROM basket
+          GROUP BY CUBE (tier, cat, addr, dev, disc, first, out)),
+nb AS (SELECT count(*) AS N FROM basket),
+fi AS (SELECT list_sort(list_filter([tier, cat, addr, dev, disc, first, out], lambda x: x IS NOT NULL)) AS items, freq
+       FROM cube7, nb WHERE freq >= ceil(0.02 * N)
+         AND len(list_filter([tier, cat, addr, dev, disc, first, out], lambda x: x IS NOT NULL)) > 0),
+cons AS (SELECT items, freq, unnest(items) AS c FROM fi WHERE len(items) >= 2),
+r AS (SELECT list_filter(items, lambda x: x <> c) AS ante, c, freq AS f_s FROM cons),
+m AS (SELECT r.ante, r.c, r.f_s, fa.freq AS f_a, fc.freq AS f_c FROM r
+      JOIN fi fa ON fa.items = r.ante JOIN fi fc ON fc.items = [r.c])""", """
+SELECT array_to_string(ante, ' + ') AS antecedent, c AS consequent, round(f_s / N, 6) AS support,
+       round(f_s / f_a, 6) AS confidence, round((f_s / f_a) / (f_c / N), 6) AS lift
+FROM m, nb WHERE (f_s / f_a) / (f_c / N) >= 1.0""", "cod"))

@@ -911,3 +911,23 @@ def q_metric_r2(spark, sf):
 @query("metric_mae")
 def q_metric_mae(spark, sf):
     return RG.r2_mae(RG.category_only(data.clean(spark, sf))).select("mae")
+
+
+@query("rate_by")
+def q_rate_by(spark, sf):
+    """The generic lens operator (here: COD return rate by device, levels with n >= 20)."""
+    return D.rate_by(data.cod(spark, sf), "Device", min_n=20, level_name="Device")
+
+
+@query("basket_onehot")
+def q_basket_onehot(spark, sf):
+    """Binary item-indicator vectors (CountVectorizer), shown as the sorted present items."""
+    from pyspark.ml.feature import CountVectorizer
+    b = RU.baskets(data.cod(spark, sf))
+    m = CountVectorizer(inputCol="items", outputCol="onehot", binary=True, minDF=1.0).fit(b)
+    vocab = F.array(*[F.lit(t) for t in m.vocabulary])   # one entry per distinct item
+    idx = F.expr("transform(filter(sequence(0, size(__v) - 1), i -> __v[i] > 0), i -> i)")
+    v = m.transform(b).withColumn("__v", vector_to_array("onehot"))
+    items = F.transform(idx, lambda i: F.element_at(vocab, (i + 1).cast("int")))
+    return v.select("OrderID", F.size(idx).alias("n_items"),
+                    F.array_join(F.array_sort(items), " | ").alias("items_present"))
