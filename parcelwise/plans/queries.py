@@ -493,7 +493,7 @@ def q_best_of(spark, sf):
 def q_sort_metrics(spark, sf):
     a = S.association_table(data.clean(spark, sf))
     w = Window.orderBy(F.desc("cramers_v"), "clue")  # six rows: one per clue
-    return a.select("clue", "cramers_v_3", F.row_number().over(w).alias("display_rank"))
+    return a.select("clue", "cramers_v_3", F.row_number().over(w).cast("bigint").alias("display_rank"))
 
 
 @query("set_union_all")

@@ -22,6 +22,12 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "FLOAT": "float", "DATE": "date", "TIMESTAMP": "timestamp_ntz",
+                 "HUGEINT": "hugeint", "DECIMAL": "decimal", "SMALLINT": "smallint", "TINYINT": "tinyint",
+                 "NUMBER": "double", "STRING": "string"}
+
+
 def norm(v):
     if v is None:
         return "NULL"
@@ -84,6 +90,11 @@ def main(argv):
             print(f"ERR  {name}: duckdb {type(e).__name__}: {str(e)[:300]}")
             bad += 1
             continue
+        stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        otypes = {d[0]: DUCK_TO_SPARK.get(str(d[1]).split("(")[0], str(d[1])) for d in res.description}
+        tdiff = {c: (stypes.get(c), otypes.get(c)) for c in stypes if stypes.get(c) != otypes.get(c)}
+        if tdiff:
+            print(f"TYPE {name}: {tdiff}")
         hs, ls = digest(scols, srows)
         ho, lo = digest(ocols, orows)
         ok = sorted(scols) == sorted(ocols) and len(srows) == len(orows) and hs == ho
