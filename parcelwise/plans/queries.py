@@ -40,8 +40,12 @@ def query(name: str):
     return deco
 
 
-def _tag(sf: str) -> str:
-    return hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:10]
+def _tag(sf: str, spark: SparkSession | None = None) -> str:
+    app = spark.sparkContext.applicationId if spark is not None else ""
+    return hashlib.sha1(f"{app}|{sf.rstrip('/')}".encode()).hexdigest()[:10]
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 NUM_FEATS = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime",
@@ -58,9 +62,13 @@ def _scored_out(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ 2.1 sources and sinks
 
 def _orders_csv(spark, sf) -> str:
-    path = scratch_path(spark, f"orders_csv_{_tag(sf)}")
-    IO.write_orders_csv(data.raw(spark, sf), path)
-    return path
+    """The raw table exported once per (application, folder) as CSV files."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _WRITTEN:
+        path = scratch_path(spark, f"orders_csv_{_tag(sf, spark)}")
+        IO.write_orders_csv(data.raw(spark, sf), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
 
 
 @query("read_orders_csv")
@@ -82,9 +90,9 @@ def q_write_raw(spark, sf):
 @query("write_scored")
 def q_write_scored(spark, sf):
     scored = P.assign_tier(_scored_out(data.scored(spark, sf)))
-    path = scratch_path(spark, f"scored_csv_{_tag(sf)}")
+    path = scratch_path(spark, f"scored_csv_{_tag(sf, spark)}")
     scored.write.mode("overwrite").option("header", True).csv(path)
-    return materialize(spark, scored, f"scored_parquet_{_tag(sf)}")
+    return materialize(spark, scored, f"scored_parquet_{_tag(sf, spark)}")
 
 
 @query("preview_raw")
@@ -111,7 +119,7 @@ def q_reuse_frames(spark, sf):
 def q_handoff_scored(spark, sf):
     scored = P.assign_tier(_scored_out(data.scored(spark, sf)))
     return materialize(spark, scored.select("OrderID", "Risk", "Score", "Tier"),
-                       f"handoff_{_tag(sf)}", partition_by=["Tier"]) \
+                       f"handoff_{_tag(sf, spark)}", partition_by=["Tier"]) \
         .select("OrderID", "Risk", "Score", "Tier")
 
 
