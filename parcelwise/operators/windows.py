@@ -13,13 +13,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import hash_bits32
-from parcelwise.session import ensure_checkpoint_dir
+from parcelwise.session import scratch_path
 
 # Width of one block of sequence keys in the finest level of prior_history (rows per
 # window group are bounded by this, since sequence keys are unique).
@@ -41,11 +43,13 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
     blk = "__blk"
     base = df.withColumn(blk, F.floor(F.col(seq) / F.lit(seq_block)))
     if checkpoint_input:
-        # the input rows are computed once and written to the shared checkpoint folder:
-        # all three levels read that copy (the input plan -- joins, hashing -- runs once,
-        # the identical row exchanges of the levels are reused), and lineage is cut
-        ensure_checkpoint_dir(df.sparkSession)
-        base = base.checkpoint(eager=True)
+        # the input rows are computed once and written as Parquet to the shared checkpoint
+        # folder: all three levels read that copy (the input plan -- joins, hashing -- runs
+        # once; the block and day levels scan only their five columns), and lineage is cut
+        spark = df.sparkSession
+        path = os.path.join(scratch_path(spark, "history_input"), uuid.uuid4().hex)
+        base.write.mode("overwrite").parquet(path)
+        base = spark.read.parquet(path)
 
     # level 3: rows inside one (cust, day, block) -- at most seq_block rows per group
     w_row = (Window.partitionBy(cust, day, blk).orderBy(seq)
