@@ -60,12 +60,13 @@ def chi_square(df: DataFrame, clues: Sequence[str] = ASSOCIATION_CLUES,
                    F.first("k").alias("__k")))
     denom = F.greatest(F.least(F.col("n_levels") - 1, F.col("__k") - 1), F.lit(1))
     out = out.withColumn("cramers_v", F.sqrt((F.col("chi2") / F.col("n")) / denom)).drop("__k")
-    out = out.select("clue", F.round("chi2", 6).alias("chi2"), "dof", "n", "n_levels",
-                     F.round("cramers_v", 6).alias("cramers_v"))
+    extra = []
     if with_pvalue:
-        out = (out.withColumn("p_value", chi2_pvalue(F.col("chi2"), F.col("dof")))
-                  .withColumn("real_link", F.col("p_value") < 0.05))
-    return out
+        # one row per clue reaches the Python helper
+        out = out.withColumn("__p", chi2_pvalue(F.col("chi2"), F.col("dof")))
+        extra = [F.round("__p", 6).alias("p_value"), (F.col("__p") < 0.05).alias("real_link")]
+    return out.select("clue", F.round("chi2", 6).alias("chi2"), "dof", "n", "n_levels",
+                      F.round("cramers_v", 6).alias("cramers_v"), *extra)
 
 
 def association_table(df: DataFrame, clues: Sequence[str] = ASSOCIATION_CLUES,

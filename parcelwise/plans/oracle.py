@@ -563,3 +563,12 @@ m AS (SELECT r.ante, r.c, r.f_s, fa.freq AS f_a, fc.freq AS f_c FROM r
 SELECT array_to_string(ante, ' + ') AS antecedent, c AS consequent, round(f_s / N, 6) AS support,
        round(f_s / f_a, 6) AS confidence, round((f_s / f_a) / (f_c / N), 6) AS lift
 FROM m, nb WHERE (f_s / f_a) / (f_c / N) >= 1.0""", "cod"))
+
+# p-value: upper tail of chi-square(dof) = 1 - P(dof/2, chi2/2), P by its power series
+# sum_n exp(-x + (a + n) ln x - lgamma(a + n + 1)) (DuckDB has lgamma but no chi-square)
+sql("chi_square_pvalue", with_ctes_extra(CHI_CTE + """,
+gser AS (SELECT clue, chi2, dof, sum(exp(-chi2 / 2 + (dof / 2.0 + g.n) * ln(chi2 / 2) - lgamma(dof / 2.0 + g.n + 1))) AS P
+          FROM chi, generate_series(0, 40000) g(n) WHERE dof > 0 AND chi2 > 0 GROUP BY clue, chi2, dof),
+pv AS (SELECT chi.clue, CASE WHEN chi.dof > 0 AND chi.chi2 > 0 THEN greatest(0.0, 1.0 - gser.P) ELSE 1.0 END AS p
+       FROM chi LEFT JOIN gser USING (clue))""", """
+SELECT chi_v.*, round(p, 6) AS p_value, p < 0.05 AS real_link FROM chi_v JOIN pv USING (clue)""", "cod_clean"))
