@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import score_from_risk
 from parcelwise.operators import metrics as M
+from parcelwise.operators.parallel_fits import run_concurrently
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.windows import split_and_folds
 from parcelwise.session import scratch_path
@@ -152,16 +153,19 @@ def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int
     d = split_and_folds(design(cod), "RTO", "OrderID", seed=seed, test_share=test_share)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
-    rows = []
     spark = cod.sparkSession
-    for name in models:
+
+    def fit_one(name):
         _, (pt, ptr) = fit_predict(train, [test, train], name, seed)
         # predictions are written once to the shared folder; every metric reads that
         # table instead of re-running the model (KNN scoring, 300 trees) per metric
         tag = name.replace(" ", "_").lower()
         pt = materialize(spark, pt, f"pred_test_{tag}_{spark.sparkContext.applicationId}")
         ptr = materialize(spark, ptr, f"pred_train_{tag}_{spark.sparkContext.applicationId}")
-        rows.append(_metrics_row(name, pt, ptr))
+        return name, pt, ptr
+
+    # the five fits are independent: their jobs run side by side
+    rows = [_metrics_row(n, pt, ptr) for n, pt, ptr in run_concurrently(fit_one, models)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -183,11 +187,12 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
     the other folds, so no order is scored by a model that saw it."""
     d = split_and_folds(design(cod), "RTO", "OrderID", seed=seed, n_folds=n_folds)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for k in range(n_folds):
+    def fold(k):
         _, (p,) = fit_predict(d.where(F.col("fold") != k), [d.where(F.col("fold") == k)], name, seed)
         p = materialize(d.sparkSession, p, f"oof_{k}_{d.sparkSession.sparkContext.applicationId}")
-        parts.append(p.withColumn("fold", F.lit(k)))
+        return p.withColumn("fold", F.lit(k))
+
+    parts = run_concurrently(fold, range(n_folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -253,8 +258,7 @@ def cv_auc(cod: DataFrame, n_folds: int = 4, seed: int = 42) -> DataFrame:
     """Mean and sd of the held-out AUC of an unweighted logistic model over k folds."""
     d = split_and_folds(design(cod, CV_NUM, CV_CAT), "RTO", "OrderID", seed=seed, n_folds=n_folds)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    aucs = []
-    for k in range(n_folds):
+    def fold_auc(k):
         train = d.where(F.col("fold") != k)
         stages = [
             StringIndexer(inputCols=CV_CAT, outputCols=[f"{c}__idx" for c in CV_CAT], handleInvalid="keep",
@@ -266,7 +270,9 @@ def cv_auc(cod: DataFrame, n_folds: int = 4, seed: int = 42) -> DataFrame:
         ]
         m = Pipeline(stages=stages).fit(train)
         p = _risk(m.transform(d.where(F.col("fold") == k)))
-        aucs.append(M.auc(p, "RTO", "Risk").withColumn("fold", F.lit(k)))
+        return M.auc(p, "RTO", "Risk").withColumn("fold", F.lit(k))
+
+    aucs = run_concurrently(fold_auc, range(n_folds))
     out = aucs[0]
     for a in aucs[1:]:
         out = out.unionByName(a)
