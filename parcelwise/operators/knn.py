@@ -39,11 +39,12 @@ def _sq_dist(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _topk_block(k: int, tr_x: np.ndarray, tr_id: np.ndarray, tr_y: np.ndarray,
-                exclude_self: bool):
-    tr_sq = np.einsum("ij,ij->i", tr_x, tr_x)
+def _topk_block(k: int, block, exclude_self: bool):
+    """``block`` is a broadcast of (features, ids, labels) of one training block."""
 
     def run(batches):
+        tr_x, tr_id, tr_y = block.value
+        tr_sq = np.einsum("ij,ij->i", tr_x, tr_x)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -98,8 +99,9 @@ def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str =
         if rows.empty:
             continue
         tr_x = np.stack(rows["x"].to_numpy()).astype(np.float64)
-        fn = _topk_block(k, tr_x, rows["tid"].to_numpy(np.int64), rows["y"].to_numpy(np.float64),
-                         exclude_self)
+        block = spark.sparkContext.broadcast(
+            (tr_x, rows["tid"].to_numpy(np.int64), rows["y"].to_numpy(np.float64)))
+        fn = _topk_block(k, block, exclude_self)
         parts.append(q.mapInPandas(fn, T.StructType([T.StructField("__qid", T.LongType()),
                                                      T.StructField("cand", CAND)])))
     cand = parts[0]

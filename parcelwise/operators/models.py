@@ -10,8 +10,9 @@
   fifth), mapped to the 300-900 score.
 * :func:`importances`, :func:`batch_score`, :func:`cv_auc`, :func:`class_weights`.
 
-The design frame is persisted once per call chain and unpersisted afterwards; long
-boosting runs cut lineage every 10 rounds through the session's checkpoint folder.
+The design frame is persisted once per call chain and unpersisted once the predictions
+are written as tables; long boosting runs cut lineage every 10 rounds through the
+session's checkpoint folder; independent fits run concurrently (``parallel_fits``).
 """
 
 from __future__ import annotations
@@ -166,6 +167,7 @@ def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int
 
     # the five fits are independent: their jobs run side by side
     rows = [_metrics_row(n, pt, ptr) for n, pt, ptr in run_concurrently(fit_one, models)]
+    d.unpersist()  # metrics read the prediction tables only
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -193,6 +195,7 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
         return p.withColumn("fold", F.lit(k))
 
     parts = run_concurrently(fold, range(n_folds))
+    d.unpersist()  # the fold predictions are tables now
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
