@@ -45,7 +45,7 @@ NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A"]
 def null_tokens_to_null(c: str | Column) -> Column:
     """Map the text tokens a CSV export uses for 'missing' to a real NULL."""
     c = col_(c)
-    return F.when(F.trim(c).isin(NULL_TOKENS), F.lit(None)).otherwise(c)
+    return F.when(F.trim(c).isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
 def parse_currency(c: str | Column, parity: bool = False) -> Column:

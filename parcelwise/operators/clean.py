@@ -149,6 +149,10 @@ def audit(raw: DataFrame) -> DataFrame:
         F.count_if(F.col("AddressQuality").isNull()).alias("address_null"),
     )
     s1 = s1.withColumnRenamed("n", "n_dedup")
+    # copies that differ only in spelling: distinct rows once tier/state/fills are normalised
+    normalised = (parsed.transform(normalise_tier).transform(normalise_state)
+                        .transform(fill_unknown).distinct())
+    n_norm = normalised.agg(F.count(F.lit(1))).scalar()
     nr = n_raw.select(F.struct("n", "tiers", "states")).scalar()
     both = s1.select(nr["n"].alias("n"), nr["tiers"].alias("tiers"), nr["states"].alias("states"),
                      *s1.columns)
@@ -161,6 +165,7 @@ def audit(raw: DataFrame) -> DataFrame:
     entries = F.array(
         row("dedup", "rows", c("n"), c("n_dedup")),
         row("dedup", "duplicates_removed", F.lit(0), c("n") - c("n_dedup")),
+        row("dedup", "more_copies_if_normalised_first", F.lit(0), c("n_dedup") - n_norm),
         row("order_value", "unparsable", F.lit(0), c("value_null")),
         row("discount", "unparsable", F.lit(0), c("disc_null")),
         row("discount", "above_100_set_to_median", c("disc_bad"), F.lit(0)),

@@ -94,10 +94,17 @@ a_p AS (
     count(*) FILTER (WHERE Device IS NULL) AS device_null,
     count(*) FILTER (WHERE AddressQuality IS NULL) AS address_null
   FROM parsed),
-a AS (SELECT * FROM a_raw, a_p)
+a_norm AS (SELECT count(*) AS n_norm FROM (SELECT DISTINCT * EXCLUDE (CityTierRaw, StateRaw, Device, AddressQuality),
+    CASE WHEN regexp_extract(CityTierRaw, '([123])', 1) <> '' THEN 'Tier-' || regexp_extract(CityTierRaw, '([123])', 1) END AS t,
+    coalesce(array_to_string(list_transform(string_split(trim(StateRaw), ''), lambda ch, i:
+        CASE WHEN i = 1 OR NOT regexp_matches(substr(trim(StateRaw), i - 1, 1), '[A-Za-z]')
+        THEN upper(ch) ELSE lower(ch) END), ''), 'Unknown') AS s,
+    coalesce(Device, 'Unknown') AS dv, coalesce(AddressQuality, 'Unknown') AS aq FROM parsed)),
+a AS (SELECT * FROM a_raw, a_p, a_norm)
 """, """
 SELECT 'dedup' AS step, 'rows' AS metric, CAST(n AS DOUBLE) AS before, CAST(n_dedup AS DOUBLE) AS after FROM a
 UNION ALL SELECT 'dedup', 'duplicates_removed', 0, n - n_dedup FROM a
+UNION ALL SELECT 'dedup', 'more_copies_if_normalised_first', 0, n_dedup - n_norm FROM a
 UNION ALL SELECT 'order_value', 'unparsable', 0, value_null FROM a
 UNION ALL SELECT 'discount', 'unparsable', 0, disc_null FROM a
 UNION ALL SELECT 'discount', 'above_100_set_to_median', disc_bad, 0 FROM a

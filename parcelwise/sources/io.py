@@ -10,8 +10,11 @@ part of the mess the cleaner has to see. A PERMISSIVE read keeps malformed lines
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelwise.functions.exprs import null_tokens_to_null
+
 RAW_SCHEMA = T.StructType([
     T.StructField("OrderID", T.StringType()),
     T.StructField("CustomerID", T.StringType()),
@@ -49,8 +52,13 @@ def write_orders_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_orders_csv(spark: SparkSession, path: str | list[str],
-                    schema: T.StructType = RAW_SCHEMA, keep_corrupt: bool = False) -> DataFrame:
-    """Read one file, a folder, a glob or a list of them with the order schema."""
+                    schema: T.StructType = RAW_SCHEMA, keep_corrupt: bool = False,
+                    null_tokens: bool = True) -> DataFrame:
+    """Read one file, a folder, a glob or a list of them with the order schema.
+
+    CSV has a single ``nullValue``; exports also write 'NA', 'NaN', 'null', 'None' ... for
+    missing text. With ``null_tokens`` those become NULL in every string column (one
+    projection, no extra pass)."""
     r = spark.read.schema(schema if not keep_corrupt else T.StructType(
         list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())]))
     r = r.option("mode", "PERMISSIVE")
@@ -59,11 +67,16 @@ def read_orders_csv(spark: SparkSession, path: str | list[str],
     for k, v in _CSV_OPTIONS.items():
         if k != "emptyValue":
             r = r.option(k, v)
-    return r.csv(path)
+    df = r.csv(path)
+    if null_tokens:
+        df = df.select(*[null_tokens_to_null(f.name).alias(f.name)
+                         if isinstance(f.dataType, T.StringType) and f.name != "_corrupt_record"
+                         else F.col(f.name) for f in df.schema.fields])
+    return df
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str],
                   columns: list[str]) -> DataFrame:
     """Every column as text, exactly as written in the file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return read_orders_csv(spark, path, schema=schema)
+    return read_orders_csv(spark, path, schema=schema, null_tokens=False)
