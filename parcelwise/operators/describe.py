@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import exprs as X
@@ -33,21 +33,25 @@ def kpi_headline(df: DataFrame) -> DataFrame:
 def rate_by(df: DataFrame, col: str | "F.Column", min_n: int = 20,
             level_name: str = "level") -> DataFrame:
     """Mean RTO and count per level (NULL levels dropped), keeping levels with n >= min_n,
-    flagged against the overall rate of ``df``; ``rank_in_view`` gives the display order
-    (ascending mean, level as tie-break) without a global sort of rows."""
+    flagged against the overall rate of ``df``; ``display_rank`` gives the display order
+    (ascending rate, level as tie-break), ranked over the per-level rows, not order rows."""
     lvl = X.col_(col)
     per = (df.where(lvl.isNotNull())
              .groupBy(lvl.alias(level_name))
              .agg(F.avg("RTO").alias("__mean"), F.count(F.lit(1)).alias("n")))
     overall = df.agg(F.avg("RTO")).scalar()
     kept = per.where(F.col("n") >= min_n).withColumn("__overall", overall)
+    rate = F.round("__mean", R6)
+    # display order over the aggregated levels only (one row per level)
+    order = Window.orderBy(rate, F.col(level_name))
     return kept.select(
         F.col(level_name),
-        F.round("__mean", R6).alias("return_rate"),
+        rate.alias("return_rate"),
         F.col("n"),
         F.round("__overall", R6).alias("overall_rate"),
         F.when(F.col("__mean") > F.col("__overall"), F.lit("above")).otherwise(F.lit("below"))
          .alias("vs_overall"),
+        F.row_number().over(order).cast("bigint").alias("display_rank"),
     )
 
 

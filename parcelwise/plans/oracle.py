@@ -183,7 +183,8 @@ def rate_by_sql(src: str, lvl: str, name: str, min_n: int = 20) -> str:
     return f"""
 SELECT {lvl} AS {name}, round(avg(RTO), 6) AS return_rate, count(*) AS n,
        round((SELECT avg(RTO) FROM {src}), 6) AS overall_rate,
-       CASE WHEN avg(RTO) > (SELECT avg(RTO) FROM {src}) THEN 'above' ELSE 'below' END AS vs_overall
+       CASE WHEN avg(RTO) > (SELECT avg(RTO) FROM {src}) THEN 'above' ELSE 'below' END AS vs_overall,
+       row_number() OVER (ORDER BY round(avg(RTO), 6), {lvl}) AS display_rank
 FROM {src} WHERE {lvl} IS NOT NULL GROUP BY {lvl} HAVING count(*) >= {min_n}
 """
 
