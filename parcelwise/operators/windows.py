@@ -58,13 +58,11 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
             .withColumn("__n3", F.count(F.lit(1)).over(w_row))
             .withColumn("__r3", F.coalesce(F.sum(flag).over(w_row), F.lit(0))))
 
-    # level 2: (cust, day, block) totals, running within (cust, day). Aggregated from the
-    # windowed rows, which are already hash-partitioned by (cust, day, block): no new
-    # exchange, and the one exchange of the order rows is shared by every level.
-    # (totals are read off the window columns: last running count + 1, so the aggregate
-    # stays on top of the window instead of being pruned back onto the unshuffled rows)
-    blocks = rows.groupBy(cust, day, blk).agg((F.max("__n3") + 1).alias("__bn"),
-                                               F.max(F.col("__r3") + F.col(flag)).alias("__br"))
+    # level 2: (cust, day, block) totals, running within (cust, day). A plain aggregate of
+    # the staged rows: it scans five columns and combines map-side, so only one partial
+    # row per (cust, day, block) and task is shuffled.
+    blocks = base.groupBy(cust, day, blk).agg(F.count(F.lit(1)).alias("__bn"),
+                                               F.sum(flag).alias("__br"))
     w_blk = Window.partitionBy(cust, day).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (blocks
               .withColumn("__n2", F.coalesce(F.sum("__bn").over(w_blk), F.lit(0)))
@@ -105,8 +103,8 @@ def exact_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, salt: str,
               .withColumn(b, F.shiftright(F.col(h), shift)))
     w_in = Window.partitionBy(*g, b).orderBy(h, id_col)
     ranked = base.withColumn("__rn", F.row_number().over(w_in))
-    # bucket sizes from the ranked rows (already partitioned by (group, bucket): no exchange)
-    counts = ranked.groupBy(*g, b).agg(F.max("__rn").alias("__bc"))
+    # bucket sizes: a map-side combined count (one partial row per bucket and task)
+    counts = base.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__bc"))
     w_b = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__off", F.coalesce(F.sum("__bc").over(w_b), F.lit(0))).drop("__bc")
     return (ranked.join(counts, [*g, b])

@@ -450,9 +450,11 @@ def q_association_table(spark, sf):
 @query("win_prior_history")
 def q_win_prior_history(spark, sf):
     c = data.clean(spark, sf).withColumn("__seq", F.substring("OrderID", 4, 20).cast("bigint"))
+    # the input is already a column-pruned scan of the clean table: no staging copy needed
     h = W.prior_history(c.select("OrderID", "CustomerID", "OrderDay", "__seq", "RTO"),
                         cust="CustomerID", day="OrderDay", seq="__seq", flag="RTO",
-                        out_orders="PriorOrdersCalc", out_returns="PriorReturnsCalc")
+                        out_orders="PriorOrdersCalc", out_returns="PriorReturnsCalc",
+                        checkpoint_input=False)
     return h.select("OrderID", "CustomerID", "OrderDay", "PriorOrdersCalc", "PriorReturnsCalc")
 
 
