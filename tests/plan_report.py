@@ -19,6 +19,30 @@ PAT = re.compile(r"(Scan parquet|PushedFilters|ReadSchema|Exchange|Join|Window|S
                  r"|TakeOrdered|Scan ExistingRDD|BroadcastNestedLoop|CartesianProduct)")
 
 
+SCALE_NOTES = """## Scale review (what grows at 1000x, and what does not)
+
+| Query / operator | Full-size shuffles of order rows | Broadcast (bound) | Hot key handling |
+|---|---|---|---|
+| fixture: base joins | lineitem→order (partial agg first), orders⋈part, orders⋈customer | nation (25 rows); others by AQE's runtime size check | AQE skew join splits a hot customer/part partition |
+| fixture: prior history | one, by (shopper, day, 2^20-key block) | offsets when small (AQE) | window groups bounded by block width / calendar days |
+| clean_orders | one (exact de-duplication, map-side combined) | none | copies of one row collapse map-side |
+| rate_by_*, kpi, corr, customer_table | none of full rows: partial aggregates only | none | partial aggregation |
+| chi_square / association | none: one unpivoted partial aggregate | per-clue totals (levels) | partial aggregation |
+| win_stratified_split / folds | one narrow (id, class, hash bucket) | class sizes (2 rows) | 2^16 hash buckets per class |
+| top_low_mid_high | ranking of the target score's rows only | target scores (2 rows) | hash buckets inside the score |
+| metric_auc / roc | none of rows: per distinct score, then 64 quantile ranges | range offsets (64 rows) | ranges cut at quantiles of distinct scores |
+| rules_cube | none of rows: six-trait pre-aggregate, CUBE on it | none | bounded by product of level counts |
+| frequent_itemsets / rules (FP-growth) | Spark's parallel FP-growth | none | PFP item groups |
+| policy_sweep / rate grid | none of rows: per-score aggregate (≤601 rows) | score prefix table (≤602 rows) | n/a |
+| knn_join / model_knn | none; blocks of ≤200k training rows shipped per pass | one block at a time (checked) | exact, |query|x|train| work |
+| models, folds, K-Means, GMM, PCA | Spark ML tree/gradient aggregation | model state | fits run concurrently |
+
+Every scalar (overall rate, median, quartiles, min/max, totals, quantile cuts) is a scalar
+subquery; the shared raw/clean/scored frames are Parquet tables in the checkpoint folder,
+so a lost executor re-reads files rather than recomputing the fixture.
+""".splitlines()
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from parcelwise.plans.queries import QUERIES
@@ -31,6 +55,7 @@ def main():
            "at a Parquet scan). Lines kept: scans, pushed filters, read schemas, exchanges, joins,",
            "windows, aggregates, subqueries. No query plan contains a CartesianProduct or a",
            "BroadcastNestedLoopJoin.", ""]
+    out += SCALE_NOTES
     plans = {"fixture (cod_raw)": fixtures.cod_raw(spark, sf)}
     plans.update({k: QUERIES[k](spark, sf) for k in KEYS})
     for name, df in plans.items():
