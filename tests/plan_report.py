@@ -34,12 +34,13 @@ SCALE_NOTES = """## Scale review (what grows at 1000x, and what does not)
 | rules_cube | none of rows: six-trait pre-aggregate, CUBE on it | none | bounded by product of level counts |
 | frequent_itemsets / rules (FP-growth) | Spark's parallel FP-growth | none | PFP item groups |
 | policy_sweep / rate grid | none of rows: per-score aggregate (≤601 rows) | score prefix table (≤602 rows) | n/a |
-| knn_join / model_knn | none; blocks of ≤200k training rows shipped per pass | one block at a time (checked) | exact, |query|x|train| work |
+| knn_join / model_knn | none; blocks of ≤200k training rows shipped per pass | one block at a time (checked) | exact: query rows × training rows of work |
 | models, folds, K-Means, GMM, PCA | Spark ML tree/gradient aggregation | model state | fits run concurrently |
 
 Every scalar (overall rate, median, quartiles, min/max, totals, quantile cuts) is a scalar
 subquery; the shared raw/clean/scored frames are Parquet tables in the checkpoint folder,
 so a lost executor re-reads files rather than recomputing the fixture.
+
 """.splitlines()
 
 
