@@ -941,3 +941,27 @@ def q_basket_onehot(spark, sf):
     items = F.transform(idx, lambda i: F.element_at(vocab, (i + 1).cast("int")))
     return v.select("OrderID", F.size(idx).alias("n_items"),
                     F.array_join(F.array_sort(items), " | ").alias("items_present"))
+
+
+# ------------------------------------------------------------------ 2.8 on model scores
+
+def _oof_scored(spark, sf):
+    """COD orders with the out-of-fold boosting Risk/Score (the score the policy is built
+    on); equi-join on OrderID, both sides are tables."""
+    oof = _oof(spark, sf).select("OrderID", "Risk", "Score")
+    return data.cod(spark, sf).join(oof, "OrderID")
+
+
+@query("policy_summary_oof")
+def q_policy_summary_oof(spark, sf):
+    return P.summary(_oof_scored(spark, sf))
+
+
+@query("policy_net_oof")
+def q_policy_net_oof(spark, sf):
+    return P.money(_oof_scored(spark, sf))
+
+
+@query("hist_score_oof")
+def q_hist_score_oof(spark, sf):
+    return D.histogram(_oof_scored(spark, sf), "Score", 40)
