@@ -8,6 +8,7 @@ Doubles that are results of arithmetic are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,6 +47,7 @@ def _tag(sf: str, spark: SparkSession | None = None) -> str:
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_WRITE_LOCK = threading.Lock()
 
 
 NUM_FEATS = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime",
@@ -64,10 +66,11 @@ def _scored_out(df: DataFrame) -> DataFrame:
 def _orders_csv(spark, sf) -> str:
     """The raw table exported once per (application, folder) as CSV files."""
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    if key not in _WRITTEN:
-        path = scratch_path(spark, f"orders_csv_{_tag(sf, spark)}")
-        IO.write_orders_csv(data.raw(spark, sf), path)
-        _WRITTEN[key] = path
+    with _WRITE_LOCK:
+        if key not in _WRITTEN:
+            path = scratch_path(spark, f"orders_csv_{_tag(sf, spark)}")
+            IO.write_orders_csv(data.raw(spark, sf), path)
+            _WRITTEN[key] = path
     return _WRITTEN[key]
 
 

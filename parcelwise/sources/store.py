@@ -11,6 +11,7 @@ cut a long lineage) that every executor can read.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelwise.session import scratch_path
 
 _FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_GUARD = threading.Lock()
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
@@ -35,6 +38,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str,
     pushdown. ``mode="persist"`` keeps it in executor memory/disk instead.
     """
     key = _key(spark, sf_dir, name)
+    with _GUARD:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    with lock:  # one build per key even when queries are called from several threads
+        return _build_once(spark, sf_dir, name, key, build, mode)
+
+
+def _build_once(spark, sf_dir, name, key, build, mode) -> DataFrame:
     df = _FRAMES.get(key)
     if df is None:
         built = build()
