@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, line_quality, mixing, packing, site_lines, token_scan
+from parcelwise.llm import chat, line_quality, mixing, neardup, packing, site_lines, token_scan
 from parcelwise.llm.common import documents, table
 
 WEIGHTS = [3, 1, 2]
@@ -28,6 +28,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = site_lines.drop_site_lines(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped_lines", F.length("text").cast("long").alias("kept_chars"),
@@ -42,4 +46,4 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op7_site_lines, op8_chat_format)}
+    op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op7_site_lines, op8_chat_format)}
