@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import line_quality, mixing, packing, site_lines
+from parcelwise.llm import line_quality, mixing, neardup, packing, site_lines
 from parcelwise.llm.common import DOCUMENT_COLUMNS, columns_of, documents
 from parcelwise.llm.queries import WEIGHTS
 from parcelwise.sources.scratch import Scratch
@@ -28,6 +28,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(columns_of(docs, *DOCUMENT_COLUMNS), width=5, percent=80)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(columns_of(docs, *DOCUMENT_COLUMNS), WEIGHTS)
 
@@ -36,7 +40,7 @@ def pattern_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup),
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
           ("source mix", source_mix), ("pattern packing", pattern_packing)]
 
 

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, line_quality, mixing, neardup, packing, site_lines, token_scan
+from parcelwise.llm import (
+    chat,
+    html_cut,
+    line_quality,
+    mixing,
+    neardup,
+    packing,
+    site_lines,
+    spotsigs,
+    token_scan,
+    warc,
+)
 from parcelwise.llm.common import documents, table
 
 WEIGHTS = [3, 1, 2]
@@ -32,6 +43,10 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op6_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = site_lines.drop_site_lines(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped_lines", F.length("text").cast("long").alias("kept_chars"),
@@ -45,5 +60,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(documents(spark, sf_dir))
+
+
+def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op7_site_lines, op8_chat_format)}
+    op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op6_min_cut,
+    op7_site_lines, op8_chat_format, op9_spot_signatures, op10_capture_index)}

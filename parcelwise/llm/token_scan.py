@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = END_ID, path:
         store.create_dir(root, recursive=True)
         name = f"tokens-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.u16"
         count, waiting = 0, []
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 for a, b, ids, _ in encoder(path, True).encode(batch.column(1), end_id):
                     out.write(ids.astype("<u2").tobytes())

@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         store.create_dir(root, recursive=True)
         name = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         offset = 0
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 rows = []
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -154,7 +154,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             out.write(data)
             return rows[0][0], rows[-1][0], name, at, len(data), len(rows)
         made: list[tuple] = []
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 held += list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
                 while len(held) >= lines:
