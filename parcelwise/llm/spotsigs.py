@@ -1,6 +1,6 @@
 """Document fingerprints by spot signatures.
 
-Words (A-Z lower-cased, one closing mark removed) that are most common over all documents are
+Words (A-Z lower-cased, ASCII marks at both ends removed) that are most common over all documents are
 anchors. Each anchor in a text, chained with the next ``CHAIN`` content words (no anchors),
 is one signature, hashed to 32 bits; the sorted distinct signatures, eight hex digits each,
 are the fingerprint. A text without a whole chain has one signature of all its words.
@@ -34,15 +34,21 @@ from parcelwise.llm import wordhash as wh
 from parcelwise.llm.common import columns_of
 from parcelwise.sources.scratch import Scratch
 
-BUCKETS, ANCHORS, CHAIN = 1 << 16, 32, 2
-_CLOSING = np.zeros(256, dtype=bool)
-_CLOSING[list(b".,;:!?")] = True
+BUCKETS, ANCHORS, CHAIN = 1 << 16, 48, 2
+_MARK = np.zeros(256, dtype=bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 FIRST = -2**63
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = wh.word_bounds(raw, offsets)
-    end = end - (_CLOSING[raw[end - 1]] & (end - start > 1)) if len(end) else end
+    if len(start):  # a word of marks alone stays as it is
+        place = np.arange(len(raw))
+        mark = _MARK[raw]
+        last = np.maximum.accumulate(np.where(mark, -1, place))[end - 1] + 1
+        begin = np.minimum.accumulate(np.where(mark, len(raw), place)[::-1])[::-1][start]
+        solid = last > start
+        start, end = np.where(solid, begin, start), np.where(solid, last, end)
     return wh.word_hashes(raw, start, end, lower=True), first
 
 
