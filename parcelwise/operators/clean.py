@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import exprs as X
+from parcelwise.sources.io import MissingColumnsError
+from parcelwise.sources.scratch import Scratch
 
 REQUIRED_COLUMNS = ["DeliveryStatus", "PriorOrders", "PriorReturns", "PaymentMethod"]
 OPTIONAL_COLUMNS = ["OrderValue", "DiscountPct", "CityTier", "State", "Device", "AddressQuality"]
 
 
-class MissingColumnsError(ValueError):
-    pass
-
-
 def schema_guard(df: DataFrame) -> DataFrame:
     """Fail early, with the column names, when a required column is absent."""
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
@@ -34,12 +32,6 @@ def schema_guard(df: DataFrame) -> DataFrame:
     return df
 
 
-def column_report(df: DataFrame) -> list[tuple[str, str, bool]]:
-    """(column, role, present) for every required and optional column."""
-    return ([(c, "required", c in df.columns) for c in REQUIRED_COLUMNS]
-            + [(c, "optional", c in df.columns) for c in OPTIONAL_COLUMNS])
-
-
 def dedup(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
@@ -129,33 +121,33 @@ def clean_orders(raw: DataFrame, parity: bool = False, dedup_after: bool = False
 def audit(raw: DataFrame) -> DataFrame:
     """The cleaning log as a table: (step, metric, before, after).
 
-    Every metric of one stage comes from a single aggregate pass; stages are unioned.
+    The de-duplicated rows are written once; the raw rows are read once more, for their
+    number and the table of tier and state spellings, from which distinct values are counted.
     """
-    n_raw = raw.agg(F.count(F.lit(1)).alias("n"),
-                    F.countDistinct("CityTier").alias("tiers"),
-                    F.countDistinct("State").alias("states"))
-    deduped = dedup(raw)
-    parsed = deduped.transform(parse_value).transform(parse_discount)
+    scratch = Scratch(raw.sparkSession, "audit")
+    levels = scratch.table(raw.groupBy("CityTier", "State").agg(F.count(F.lit(1)).alias("n")), "levels")
+    nr = levels.agg(F.struct(F.sum("n").alias("n"), F.countDistinct("CityTier").alias("tiers"),
+                             F.countDistinct("State").alias("states"),
+                             F.countDistinct(X.tier_label("CityTier")).alias("tiers_after"),
+                             F.countDistinct(X.clean_state("State")).alias("states_after"))).scalar()
+    parsed = scratch.table(dedup(raw), "distinct").transform(parse_value).transform(parse_discount)
     s1 = parsed.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n_dedup"),
         F.count_if(F.col("OrderValue").isNull()).alias("value_null"),
         F.count_if(F.col("DiscountPct").isNull()).alias("disc_null"),
         F.count_if(F.col("DiscountPct") > 100).alias("disc_bad"),
         F.median(F.when(F.col("DiscountPct") <= 100, F.col("DiscountPct"))).alias("disc_median"),
-        F.countDistinct(X.tier_label("CityTier")).alias("tiers_after"),
         F.count_if(X.tier_label("CityTier").isNull()).alias("tier_null"),
-        F.countDistinct(X.clean_state("State")).alias("states_after"),
         F.count_if(F.col("Device").isNull()).alias("device_null"),
         F.count_if(F.col("AddressQuality").isNull()).alias("address_null"),
     )
-    s1 = s1.withColumnRenamed("n", "n_dedup")
-    # copies that differ only in spelling: distinct rows once tier/state/fills are normalised
-    normalised = (parsed.transform(normalise_tier).transform(normalise_state)
-                        .transform(fill_unknown).distinct())
-    n_norm = normalised.agg(F.count(F.lit(1))).scalar()
-    nr = n_raw.select(F.struct("n", "tiers", "states")).scalar()
-    both = s1.select(nr["n"].alias("n"), nr["tiers"].alias("tiers"), nr["states"].alias("states"),
-                     *s1.columns)
+    # copies that differ only in spelling: distinct rows once tier/state/fills are normalised,
+    # told apart by two hashes instead of all their columns
+    normalised = parsed.transform(normalise_tier).transform(normalise_state).transform(fill_unknown)
+    hashed = normalised.select(F.xxhash64(*normalised.columns).alias("one"),
+                               F.xxhash64(F.lit(1), *normalised.columns).alias("two")).distinct()
+    n_norm = hashed.agg(F.count(F.lit(1))).scalar()
+    both = s1.select(*[nr[c].alias(c) for c in ("n", "tiers", "states", "tiers_after", "states_after")], *s1.columns)
 
     def row(step, metric, before, after):
         return F.struct(F.lit(step).alias("step"), F.lit(metric).alias("metric"),

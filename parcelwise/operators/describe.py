@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import exprs as X
+from parcelwise.operators import metrics as M
 
 R6 = 6  # decimals used for rates in comparable outputs
 
@@ -70,13 +71,10 @@ def with_history_depth(df: DataFrame) -> DataFrame:
 def with_value_quartile(df: DataFrame, col: str = "OrderValue") -> DataFrame:
     """Quartile bands from exact interpolated quartiles (first band closed on the left).
 
-    Edges come from one aggregate (min, exact 25/50/75 % points, max) used as a scalar
-    subquery.
+    The five edges (min, exact 25/50/75 % points, max) come from counts per value.
     """
-    edges = df.agg(F.array(F.min(col).cast("double"),
-                           *[F.percentile(col, q) for q in (0.25, 0.5, 0.75)],
-                           F.max(col).cast("double"))).scalar()
-    edge_cols = [edges[i] for i in range(5)]
+    edges = M.exact_quantiles(df, col, (0.0, 0.25, 0.5, 0.75, 1.0))
+    edge_cols = [F.lit(e).cast("double") for e in edges]
     return df.withColumn("ValueQuartile", X.cut_by_columns(col, edge_cols, X.VALUE_QUARTILE_LABELS))
 
 
@@ -110,26 +108,20 @@ CORR_COLUMNS = ["PriorRTORate", "FirstTime", "DiscountPct", "OrderValue",
 
 
 def corr_with_rto(df: DataFrame, cols: Sequence[str] = CORR_COLUMNS) -> DataFrame:
-    """Pearson correlation of RTO with each numeric column, from one aggregate pass of
-    sums and sums of squares (pairwise-complete rows, like pandas). A column with zero
+    """Pearson correlation of RTO with each numeric column, from one aggregate pass
+    (pairwise-complete rows, like pandas; deviations, not raw squares). A column with zero
     variance gives NULL instead of an error."""
     aggs = []
     for c in cols:
         ok = F.col(c).isNotNull() & F.col("RTO").isNotNull()
         x = F.when(ok, F.col(c).cast("double"))
         y = F.when(ok, F.col("RTO").cast("double"))
-        aggs += [F.count(x).alias(f"{c}__n"), F.sum(x).alias(f"{c}__sx"), F.sum(y).alias(f"{c}__sy"),
-                 F.sum(x * x).alias(f"{c}__sxx"), F.sum(y * y).alias(f"{c}__syy"),
-                 F.sum(x * y).alias(f"{c}__sxy")]
+        aggs += [F.covar_pop(x, y).alias(f"{c}__xy"), F.stddev_pop(x).alias(f"{c}__x"), F.stddev_pop(y).alias(f"{c}__y")]
     one = df.agg(*aggs)
     rows = []
     for c in cols:
-        n, sx, sy = F.col(f"{c}__n"), F.col(f"{c}__sx"), F.col(f"{c}__sy")
-        sxx, syy, sxy = F.col(f"{c}__sxx"), F.col(f"{c}__syy"), F.col(f"{c}__sxy")
-        cov = sxy - sx * sy / n
-        vx = sxx - sx * sx / n
-        vy = syy - sy * sy / n
-        r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+        xy, sx, sy = F.col(f"{c}__xy"), F.col(f"{c}__x"), F.col(f"{c}__y")
+        r = F.when((sx > 0) & (sy > 0), xy / (sx * sy))
         rows.append(F.struct(F.lit(c).alias("feature"), F.round(r, R6).alias("corr")))
     return one.select(F.inline(F.array(*rows)))
 
@@ -159,13 +151,6 @@ def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return (df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct())
 
 
-def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
-                      for c in cols])
-    return (df.select(F.inline(pairs)).where(F.col("level").isNotNull())
-              .groupBy("column").agg(F.countDistinct("level").alias("n_levels")))
-
-
 def mode_of(df: DataFrame, col: str) -> DataFrame:
     """Most frequent non-null value, the smallest one on ties (one row)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -197,12 +182,6 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
                       "n"))
 
 
-def crosstab_rto(df: DataFrame, col: str) -> DataFrame:
-    return (df.where(F.col(col).isNotNull())
-              .groupBy(F.col(col).cast("string").alias("level"), "RTO")
-              .agg(F.count(F.lit(1)).alias("n")))
-
-
 def validation_report(raw: DataFrame) -> DataFrame:
     """The generator-side check on the raw export: rows, shoppers, duplicate rows, and
     return rates overall / COD / prepaid after exact de-duplication. One aggregate over the

@@ -1,78 +1,76 @@
 """Exact k-nearest-neighbour scoring (Euclidean, uniform vote).
 
-Exact KNN compares every query row with every training row, so the work is
-|query| x |train| whatever the engine. What must not happen is an unbounded broadcast or
-a row-per-pair explosion. Here the training rows are cut into blocks of at most
-``block_rows`` rows (the size check); each block is shipped to the executors once and
-every query partition computes its distances to the block with one matrix product per
-Arrow batch (``mapInPandas``), keeping only the k best per query row. Candidates of all
-blocks are merged per query row (at most k x blocks small structs), ties broken by the
-training id so the answer is deterministic.
+The training rows are written to the shared folder as files of at most ``BLOCK_ROWS`` rows.
+Every task goes through the files one at a time and keeps the k best per query row, so neither
+the driver nor a task ever holds more than one block, and no pair becomes a row. Distances of
+a tile (``TILE_ROWS`` x ``BLOCK_ROWS``, 64 MB) come from one matrix product of centred rows. That form
+rounds, so every training row within a proven rounding bound of the k-th best is measured
+again by exact differences; ties go to the smaller training id.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BLOCK_ROWS = 200_000
+from parcelwise.sources.scratch import Scratch
 
-CAND = T.ArrayType(T.StructType([
-    T.StructField("d", T.DoubleType()),
-    T.StructField("tid", T.LongType()),
-    T.StructField("y", T.DoubleType()),
-]))
+BLOCK_ROWS, TILE_ROWS = 8192, 1024
 
 
-def _sq_dist(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Squared distances summed coordinate by coordinate in a fixed order, so the value
-    (and hence tie order) never depends on batch layout or SIMD paths."""
+def _exact(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances summed coordinate by coordinate in a fixed order, so that a value
+    (and the order of ties) never depends on how rows were batched."""
     acc = np.zeros(rows.shape[0])
     for j in range(rows.shape[1]):
-        dj = rows[:, j] - v[j]
-        acc += dj * dj
+        step = rows[:, j] - v[j]
+        acc += step * step
     return acc
 
 
-def _topk_block(k: int, block, exclude_self: bool):
-    """``block`` is a broadcast of (features, ids, labels) of one training block."""
+class Nearest:
+    """The k nearest training rows of some query rows, block after block."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool):
+        self.queries, self.query_ids, self.k, self.exclude_self = queries, query_ids, k, exclude_self
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [
+            (np.zeros(0), np.zeros(0, dtype=query_ids.dtype), np.zeros(0)) for _ in query_ids]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        centre = rows.mean(axis=0)
+        near = rows - centre
+        near_sq = np.einsum("ij,ij->i", near, near)
+        for at in range(0, len(self.queries), TILE_ROWS):
+            moved = self.queries[at:at + TILE_ROWS] - centre
+            moved_sq = np.einsum("ij,ij->i", moved, moved)
+            rough = moved_sq[:, None] + near_sq[None, :] - 2.0 * (moved @ near.T)
+            # differences, squares and product each round by at most (dims + 2) units
+            slack = 16 * (rows.shape[1] + 2) * np.finfo(float).eps * (moved_sq + near_sq.max())
+            for i in range(len(moved)):
+                self._merge(at + i, rough[i], slack[i], rows, ids, labels)
+
+    def _merge(self, i: int, rough: np.ndarray, slack: float, rows: np.ndarray, ids: np.ndarray,
+               labels: np.ndarray) -> None:
+        distance, known, votes = self.best[i]
+        spare = self.k + self.exclude_self
+        cut = np.partition(rough, spare - 1)[spare - 1] if spare < len(rough) else np.inf
+        if len(distance) == self.k:
+            cut = min(cut, distance[-1])
+        at = np.flatnonzero(rough <= cut + slack)
+        if self.exclude_self:
+            at = at[ids[at] != self.query_ids[i]]
+        distance = np.concatenate([distance, _exact(rows[at], self.queries[i])])
+        known, votes = np.concatenate([known, ids[at]]), np.concatenate([votes, labels[at]])
+        order = np.lexsort((known, distance))[:self.k]
+        self.best[i] = (distance[order], known[order], votes[order])
 
-    def run(batches):
-        tr_x, tr_id, tr_y = block.value
-        tr_sq = np.einsum("ij,ij->i", tr_x, tr_x)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            q = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
-            d = (np.einsum("ij,ij->i", q, q)[:, None] + tr_sq[None, :] - 2.0 * (q @ tr_x.T))
-            np.maximum(d, 0.0, out=d)
-            if exclude_self:
-                d[pdf["__qid"].to_numpy()[:, None] == tr_id[None, :]] = np.inf
-            kk = min(k, d.shape[1])
-            wide = min(2 * kk, d.shape[1])
-            out = []
-            for i in range(d.shape[0]):
-                row = d[i]
-                if wide < row.shape[0]:
-                    # the expanded form |q|^2 + |t|^2 - 2 q.t can misorder near-ties, so take
-                    # a 2k shortlist (with ties) and re-rank it on exact differences
-                    cut = np.partition(row, wide - 1)[wide - 1]
-                    idx = np.nonzero(row <= cut)[0]
-                else:
-                    idx = np.arange(row.shape[0])
-                idx = idx[np.isfinite(row[idx])]
-                exact = _sq_dist(tr_x[idx], q[i])
-                order = np.lexsort((tr_id[idx], exact))[:kk]
-                sel = idx[order]
-                out.append([(float(v), int(tr_id[j]), float(tr_y[j]))
-                            for v, j in zip(exact[order], sel)])
-            yield pd.DataFrame({"__qid": pdf["__qid"].to_numpy(), "cand": out})
-    return run
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
 
 
 def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str = "x",
@@ -85,37 +83,33 @@ def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str =
     training row whose id equals the query id (leave-one-out on one table).
     """
     spark = train.sparkSession
-    n_train = train.count()
-    n_blocks = max(1, math.ceil(n_train / block_rows))
-    t = train.select(F.col(train_id).cast("long").alias("tid"),
-                     F.col(features).cast("array<double>").alias("x"),
-                     F.col(label).cast("double").alias("y"))
-    t = t.withColumn("__b", F.pmod(F.xxhash64(F.col("tid")), F.lit(n_blocks)))
-    q = query.select(F.col(query_id).cast("long").alias("__qid"),
-                     F.col(features).cast("array<double>").alias("__x"))
-    parts = []
-    for b in range(n_blocks):
-        rows = t.where(F.col("__b") == b).select("tid", "x", "y").toPandas()  # <= block_rows rows
-        if rows.empty:
-            continue
-        tr_x = np.stack(rows["x"].to_numpy()).astype(np.float64)
-        block = spark.sparkContext.broadcast(
-            (tr_x, rows["tid"].to_numpy(np.int64), rows["y"].to_numpy(np.float64)))
-        fn = _topk_block(k, block, exclude_self)
-        parts.append(q.mapInPandas(fn, T.StructType([T.StructField("__qid", T.LongType()),
-                                                     T.StructField("cand", CAND)])))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    if n_blocks > 1:
-        cand = cand.groupBy("__qid").agg(F.flatten(F.collect_list("cand")).alias("cand"))
-    best = F.slice(F.array_sort(F.col("cand")), 1, k)  # structs sort by (d, tid, y)
-    out = cand.select(F.col("__qid").alias(query_id), best.alias("nn"))
-    return out.select(
-        query_id,
-        F.aggregate(F.col("nn"), F.lit(0.0), lambda acc, s: acc + s["y"]).alias("__pos"),
-        F.size("nn").alias("__k"),
-        F.transform("nn", lambda s: s["tid"]).alias("neighbours"),
-    ).select(query_id, (F.col("__pos") / F.col("__k")).alias("prob"),
-             ((F.col("__pos") / F.col("__k")) > 0.5).cast("int").alias("pred"),
-             "neighbours", F.col("__pos").cast("int").alias("n_positive"))
+    scratch = Scratch(spark, "knn")
+    path = scratch.path("train")
+    train.select(F.col(train_id).alias("id"), F.col(features).cast("array<double>").alias("x"),
+                 F.col(label).cast("double").alias("y")) \
+        .write.option("maxRecordsPerFile", block_rows).parquet(path)
+    shared = path if ":" in path.split("/")[0] else "file://" + path
+    kind = query.select(query_id).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(shared)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nearest = Nearest(_matrix(batch.column(1)), np.array(batch.column(0).to_pylist()), k, exclude_self)
+            for file in files:
+                block = pq.read_table(file, filesystem=store)
+                if block.num_rows:
+                    nearest.add(_matrix(block["x"]), np.array(block["id"].to_pylist()), block["y"].to_numpy())
+            positive = np.array([v.sum() for _, _, v in nearest.best])
+            found = np.maximum(np.array([len(v) for _, _, v in nearest.best]), 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(positive / found), pa.array((positive / found > 0.5).astype(np.int32)),
+                 pa.array([ids.tolist() for _, ids, _ in nearest.best], pa.list_(batch.column(0).type)),
+                 pa.array(positive.astype(np.int32))],
+                names=[query_id, "prob", "pred", "neighbours", "n_positive"])
+    rows = query.select(F.col(query_id), F.col(features).cast("array<double>"))
+    return rows.mapInArrow(run, f"{query_id} {kind}, prob double, pred int, neighbours array<{kind}>, n_positive int")

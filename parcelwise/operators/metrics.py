@@ -11,36 +11,45 @@ table of one row per range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelwise.sources.scratch import Scratch
+
 R6 = 6
-PREFIX_RANGES = 64
+RANGE_ROWS = 1_000_000
 
 
 def prefix_sums(df: DataFrame, key: str, measures: Sequence[str],
-                n_ranges: int = PREFIX_RANGES, suffix: str = "_before") -> DataFrame:
+                range_rows: int = RANGE_ROWS, suffix: str = "_before") -> DataFrame:
     """For a table with one row per distinct ``key``, add for every measure m the sum of
     m over rows with a smaller key (``m + suffix``).
 
-    Rows are assigned to ``n_ranges`` key ranges cut at approximate quantiles of ``key``
-    (a scalar subquery), so each range holds about 1/n_ranges of the rows whatever the
-    key distribution; windows run per range and one small table carries range offsets.
+    The rows are written once. They are cut into key ranges of about ``range_rows`` rows at
+    approximate quantiles of ``key``; windows run per range and one small table carries the
+    range offsets, so the ranges grow in number, not in size.
     """
-    fracs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.agg(F.percentile_approx(key, fracs, 10000)).scalar()
-    # range index = number of distinct cut points below the key: the key's position in
-    # the sorted union of the cuts and the key itself (one subquery reference, no lambda)
-    k = F.col(key)
-    rng = F.array_position(F.sort_array(F.array_union(cuts, F.array(k))), k) - 1
+    scratch = Scratch(df.sparkSession, "prefix")
+    df = scratch.table(df, "keys")
+    n_ranges = max(1, -(-df.count() // range_rows))
+    if n_ranges == 1:
+        rng = F.lit(0)
+    else:
+        fracs = [i / n_ranges for i in range(1, n_ranges)]
+        cuts = df.agg(F.percentile_approx(key, fracs, 20 * n_ranges)).scalar()
+        # range index = number of distinct cut points below the key: the key's position in
+        # the sorted union of the cuts and the key itself (one subquery reference, no lambda)
+        k = F.col(key)
+        rng = F.array_position(F.sort_array(F.array_union(cuts, F.array(k))), k) - 1
     ranged = df.withColumn("__rng", rng)
     w_in = Window.partitionBy("__rng").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     for m in measures:
         ranged = ranged.withColumn(f"__in_{m}", F.coalesce(F.sum(m).over(w_in), F.lit(0)))
-    tot = ranged.groupBy("__rng").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
-    w_r = Window.orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
+    tot = df.withColumn("__rng", rng).groupBy("__rng").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    w_r = Window.orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     for m in measures:
         tot = tot.withColumn(f"__o_{m}", F.coalesce(F.sum(f"__t_{m}").over(w_r), F.lit(0)))
     tot = tot.select("__rng", *[f"__o_{m}" for m in measures])
@@ -50,6 +59,23 @@ def prefix_sums(df: DataFrame, key: str, measures: Sequence[str],
     return out.drop("__rng", *[f"__o_{m}" for m in measures], *[f"__in_{m}" for m in measures])
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles, as ``percentile`` gives them, from counts per value
+    and their prefix sums: no task holds all distinct values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"))
+    sums = prefix_sums(counts, "v", ["n"])
+    end = F.col("n_before") + F.col("n")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    wanted, found = [(total - 1) * q for q in shares], []
+    for q, place in enumerate(wanted):
+        for name, at in (("lo", math.floor(place)), ("hi", math.ceil(place))):
+            found.append(F.max(F.when((F.col("n_before") <= at) & (end > at), F.col("v"))).alias(f"{name}{q}"))
+    row = sums.agg(*found).first()
+    return [None if row[f"lo{q}"] is None else row[f"lo{q}"] + (row[f"hi{q}"] - row[f"lo{q}"]) * (p - math.floor(p))
+            for q, p in enumerate(wanted)]
+
+
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score: pos, neg."""
     return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())

@@ -17,14 +17,13 @@ session's checkpoint folder; independent fits run concurrently (``parallel_fits`
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ from parcelwise.functions.exprs import score_from_risk
 from parcelwise.operators import metrics as M
 from parcelwise.operators.parallel_fits import run_concurrently
 from parcelwise.operators.knn import knn_scores
-from parcelwise.operators.windows import split_and_folds
-from parcelwise.session import scratch_path
+from parcelwise.operators.windows import join_null_safe, split_and_folds
+from parcelwise.sources.scratch import Scratch
 from parcelwise.sources.store import materialize
 
 # The model inputs (all knowable before dispatch) and the model names.
@@ -43,12 +42,15 @@ NUM_FEATS = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstT
 CAT_FEATS = ["CityTier", "State", "Category", "Device", "AddressQuality"]
 MODEL_NAMES = ["Logistic Regression", "KNN", "Decision Tree", "Random Forest", "Gradient Boosting"]
 SCORE_MODEL = "Gradient Boosting"
+#: KNN votes with at most about this many labelled rows (its only fitting limit).
+KNN_FIT_ROWS = 200_000
 
 
 def design(df: DataFrame, num: Sequence[str] = NUM_FEATS, cat: Sequence[str] = CAT_FEATS,
            label: str = "RTO", id_col: str = "OrderID", extra: Sequence[str] = ()) -> DataFrame:
-    """id, numeric features as double (NULL -> 0), categorical features, label, extras."""
-    return df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in num],
+    """id, numeric features as double, categorical features, label, extras. A missing number
+    stays NULL here; ``feature_stages`` fills it with the training rows' median."""
+    return df.select(id_col, *[F.col(c).cast("double").alias(c) for c in num],
                      *[F.col(c).cast("string").alias(c) for c in cat], F.col(label).cast("int").alias(label),
                      *extra)
 
@@ -62,7 +64,8 @@ def feature_stages(num: Sequence[str] = NUM_FEATS, cat: Sequence[str] = CAT_FEAT
                       stringOrderType="alphabetAsc"),
         # dropLast drops the extra 'unseen' slot of handleInvalid=keep: seen levels all kept
         OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True),
-        VectorAssembler(inputCols=list(num), outputCol="__num"),
+        Imputer(inputCols=list(num), outputCols=[f"{c}__full" for c in num], strategy="median"),
+        VectorAssembler(inputCols=[f"{c}__full" for c in num], outputCol="__num"),
         StandardScaler(inputCol="__num", outputCol="__num_z", withMean=True, withStd=True),
         VectorAssembler(inputCols=["__num_z", *vec], outputCol=out),
     ]
@@ -72,12 +75,12 @@ def class_weights(df: DataFrame, label: str = "RTO") -> DataFrame:
     """(label, n, weight) with balanced weights n_total / (2 * n_class)."""
     total = df.agg(F.count(F.lit(1))).scalar()
     return (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("weight", F.round(total / (F.lit(2.0) * F.col("n")), 6)))
+              .withColumn("weight", total / (F.lit(2.0) * F.col("n"))))
 
 
 def with_weights(df: DataFrame, label: str = "RTO", out: str = "w") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return join_null_safe(df, F.broadcast(w), [label])  # one row per class
 
 
 def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight_col: str = "w",
@@ -99,31 +102,33 @@ def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight
     raise ValueError(f"unknown model {name!r}")
 
 
-def _numeric_id(id_col: str):
-    """The number inside an id such as 'ORD123456' (a 64-bit hash if there is none)."""
-    return F.coalesce(F.regexp_extract(F.col(id_col), r"([0-9]+)$", 1).try_cast("long"),
-                      F.xxhash64(id_col))
-
-
 def _risk(pred: DataFrame) -> DataFrame:
     return pred.withColumn("Risk", vector_to_array("probability")[1])
 
 
+def predict(model: PipelineModel, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
+    """id, label, Risk and prediction of design rows by a fitted pipeline."""
+    return _risk(model.transform(rows)).select(id_col, label, "Risk", "prediction")
+
+
 def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: int = 42,
                 label: str = "RTO", id_col: str = "OrderID"):
     """Fit ``name`` on ``train``; return (model or None, [predictions of each test frame])
     with columns id, label, Risk, prediction."""
     if name == "KNN":
         feat = Pipeline(stages=feature_stages()).fit(train)
-        tr = feat.transform(train).select(F.col(id_col), vector_to_array("features").alias("x"),
+        tr = feat.transform(train).select(F.col(id_col).alias("tid"), vector_to_array("features").alias("x"),
                                           F.col(label).alias("y"))
-        tr = tr.withColumn("tid", _numeric_id(id_col))
+        # the labelled rows that vote: all up to the limit, beyond it a hashed sample of them
+        n_rows = tr.count()
+        if n_rows > KNN_FIT_ROWS:
+            bound = int(KNN_FIT_ROWS / n_rows * 2**32)
+            tr = tr.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 32)) < bound)
         outs = []
         for t in tests:
-            te = (feat.transform(t).select(id_col, label, vector_to_array("features").alias("x"))
-                  .withColumn("qid", _numeric_id(id_col)))
-            sc = knn_scores(tr, te, k=25)
-            outs.append(te.join(sc, "qid").select(id_col, label, F.col("prob").alias("Risk"),
+            te = feat.transform(t).select(id_col, label, vector_to_array("features").alias("x"))
+            sc = knn_scores(tr, te, k=25, query_id=id_col)
+            outs.append(te.join(sc, id_col).select(id_col, label, F.col("prob").alias("Risk"),
                                                   F.col("pred").cast("double").alias("prediction")))
         return feat, outs
     n_rows = train.count() if name == "Logistic Regression" else None
@@ -131,7 +136,7 @@ def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: i
     stages = feature_stages() + [clf]
     tr = with_weights(train, label) if name != "Gradient Boosting" else train
     model = Pipeline(stages=stages).fit(tr)
-    outs = [_risk(model.transform(t)).select(id_col, label, "Risk", "prediction") for t in tests]
+    outs = [predict(model, t, label, id_col) for t in tests]
     return model, outs
 
 
@@ -161,8 +166,8 @@ def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int
         # predictions are written once to the shared folder; every metric reads that
         # table instead of re-running the model (KNN scoring, 300 trees) per metric
         tag = name.replace(" ", "_").lower()
-        pt = materialize(spark, pt, f"pred_test_{tag}_{spark.sparkContext.applicationId}")
-        ptr = materialize(spark, ptr, f"pred_train_{tag}_{spark.sparkContext.applicationId}")
+        pt = materialize(spark, pt, f"pred_test_{tag}")
+        ptr = materialize(spark, ptr, f"pred_train_{tag}")
         return name, pt, ptr
 
     # the five fits are independent: their jobs run side by side
@@ -191,7 +196,7 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     def fold(k):
         _, (p,) = fit_predict(d.where(F.col("fold") != k), [d.where(F.col("fold") == k)], name, seed)
-        p = materialize(d.sparkSession, p, f"oof_{k}_{d.sparkSession.sparkContext.applicationId}")
+        p = materialize(d.sparkSession, p, f"oof_{k}")
         return p.withColumn("fold", F.lit(k))
 
     parts = run_concurrently(fold, range(n_folds))
@@ -202,10 +207,11 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
     return out.select("OrderID", "RTO", "fold", "Risk", score_from_risk("Risk").alias("Score"))
 
 
-def importances(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, top: int = 12) -> DataFrame:
+def importances(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, top: int = 12,
+                model: PipelineModel | None = None) -> DataFrame:
     """(feature, importance) of the fitted tree ensemble, expanded one-hot names."""
     d = design(cod)
-    model, _ = fit_predict(d, [], name, seed)
+    model = model or fit_predict(d, [], name, seed)[0]
     clf = model.stages[-1]
     names = _feature_names(model.transform(d.limit(1)).schema["features"].metadata)
     imp = clf.featureImportances.toArray().tolist()
@@ -219,17 +225,18 @@ def _feature_names(meta: dict) -> dict[int, str]:
     names = {}
     for group in meta.get("ml_attr", {}).get("attrs", {}).values():
         for a in group:
-            names[a["idx"]] = a["name"].replace("__num_z_", "").replace("__vec_", "=")
+            names[a["idx"]] = a["name"].replace("__num_z_", "").replace("__full", "").replace("__vec_", "=")
     return names
 
 
 def batch_score(cod: DataFrame, new_orders: DataFrame, name: str = SCORE_MODEL, seed: int = 42,
-                model_path: str | None = None, low: int = 580, high: int = 720) -> DataFrame:
-    """Fit once on ``cod``, save the pipeline to the shared folder, load it back and score
-    ``new_orders`` (missing fields filled: hour 20, 1 item, the most common state)."""
-    d = design(cod)
-    model, _ = fit_predict(d, [], name, seed)
-    path = model_path or scratch_path(cod.sparkSession, f"model_{name.replace(' ', '_').lower()}")
+                model_path: str | None = None, low: int = 580, high: int = 720,
+                model: PipelineModel | None = None) -> DataFrame:
+    """Fit once on ``cod`` (unless a fitted ``model`` is given), save the pipeline to the shared
+    folder, load it back and score ``new_orders``. Columns they lack are filled: hour 20,
+    1 item, the most common state."""
+    model = model or fit_predict(design(cod), [], name, seed)[0]
+    path = model_path or Scratch(cod.sparkSession, "model").path(name.replace(" ", "_").lower())
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     mode_state = (cod.groupBy("State").agg(F.count(F.lit(1)).alias("n"))
@@ -267,21 +274,21 @@ def cv_auc(cod: DataFrame, n_folds: int = 4, seed: int = 42) -> DataFrame:
             StringIndexer(inputCols=CV_CAT, outputCols=[f"{c}__idx" for c in CV_CAT], handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=[f"{c}__idx" for c in CV_CAT], outputCols=[f"{c}__vec" for c in CV_CAT]),
-            VectorAssembler(inputCols=CV_NUM + [f"{c}__vec" for c in CV_CAT], outputCol="features"),
+            Imputer(inputCols=CV_NUM, outputCols=[f"{c}__full" for c in CV_NUM], strategy="median"),
+            VectorAssembler(inputCols=[f"{c}__full" for c in CV_NUM] + [f"{c}__vec" for c in CV_CAT],
+                            outputCol="features"),
             LogisticRegression(maxIter=1000, labelCol="RTO", regParam=1.0 / max(train.count(), 1),
                                standardization=False),
         ]
         m = Pipeline(stages=stages).fit(train)
         p = _risk(m.transform(d.where(F.col("fold") == k)))
-        return M.auc(p, "RTO", "Risk").withColumn("fold", F.lit(k))
+        return materialize(d.sparkSession, M.auc(p, "RTO", "Risk").withColumn("fold", F.lit(k)), "fold_auc")
 
     aucs = run_concurrently(fold_auc, range(n_folds))
+    d.unpersist()
     out = aucs[0]
     for a in aucs[1:]:
         out = out.unionByName(a)
     return out.agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.round(F.stddev_pop("auc"), 6).alias("sd_auc"),
                    F.count(F.lit(1)).alias("folds"))
 
-
-def save_dir(spark, name: str) -> str:
-    return os.path.join(scratch_path(spark, "models"), name)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.operators.models import design, feature_stages
 from parcelwise.operators.windows import split_and_folds
+from parcelwise.sources.scratch import Scratch
 
 # Regression inputs.
 REG_NUM = ["DiscountPct", "Items", "OrderHour", "FirstTime", "PriorOrders"]
@@ -39,9 +40,9 @@ def split(clean: DataFrame, seed: int = 42, test_share: float = 0.25) -> DataFra
 def r2_mae(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """R^2 = 1 - SSE / SST and MAE over a prediction frame (one aggregate)."""
     a = pred.agg(F.sum(F.pow(F.col(y) - F.col(p), 2)).alias("sse"),
-                 F.sum(F.col(y)).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"),
-                 F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+                 F.var_pop(y).alias("var"), F.count(y).alias("n"),
+                 F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
+    sst = F.col("var") * F.col("n")  # not from raw squares, which cancel for large amounts
     return a.select(F.round(F.lit(1.0) - F.try_divide(F.col("sse"), sst), 6).alias("r2"),
                     F.round("mae", 6).alias("mae"))
 
@@ -74,7 +75,9 @@ def regression_models(clean: DataFrame, models: Sequence[str] = REG_MODELS, seed
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.select("model", "r2", "mae")
+    out = Scratch(clean.sparkSession, "regress").table(out.select("model", "r2", "mae"), "metrics")
+    d.unpersist()
+    return out
 
 
 def category_only(clean: DataFrame, seed: int = 42) -> DataFrame:

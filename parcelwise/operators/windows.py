@@ -13,15 +13,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import hash_bits32
-from parcelwise.session import scratch_path
+from parcelwise.sources.scratch import Scratch
 
 # Width of one block of sequence keys in the finest level of prior_history (rows per
 # window group are bounded by this, since sequence keys are unique).
@@ -30,6 +28,13 @@ SEQ_BLOCK = 1 << 20
 RANK_BUCKET_BITS = 16
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal ``keys`` where NULL equals NULL; the keys come once, from ``left``."""
+    other = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    return left.join(other, on).drop(*[f"__of_{k}" for k in keys])
+
+
 def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay",
                   seq: str = "OrderKey", flag: str = "RTO",
                   out_orders: str = "PriorOrders", out_returns: str = "PriorReturns",
@@ -38,7 +43,8 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
     over them, in (``day``, ``seq``) order -- the window
     ``partitionBy(cust).orderBy(day, seq).rowsBetween(unboundedPreceding, -1)``.
 
-    ``seq`` must be a unique integer key. Result is 0/0 for a shopper's first order.
+    ``seq`` must be a unique integer key. Result is 0/0 for a shopper's first order. Rows
+    without a shopper form one group and rows without a day come first, as in the window.
     """
     blk = "__blk"
     base = df.withColumn(blk, F.floor(F.col(seq) / F.lit(seq_block)))
@@ -46,10 +52,7 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
         # the input rows are computed once and written as Parquet to the shared checkpoint
         # folder: all three levels read that copy (the input plan -- joins, hashing -- runs
         # once; the block and day levels scan only their five columns), and lineage is cut
-        spark = df.sparkSession
-        path = os.path.join(scratch_path(spark, "history_input"), uuid.uuid4().hex)
-        base.write.mode("overwrite").parquet(path)
-        base = spark.read.parquet(path)
+        base = Scratch(df.sparkSession, "history").table(base, "input")
 
     # level 3: rows inside one (cust, day, block) -- at most seq_block rows per group
     w_row = (Window.partitionBy(cust, day, blk).orderBy(seq)
@@ -76,12 +79,12 @@ def prior_history(df: DataFrame, cust: str = "CustomerID", day: str = "OrderDay"
             .withColumn("__r1", F.coalesce(F.sum("__dr").over(w_day), F.lit(0)))
             .select(cust, day, "__n1", "__r1"))
 
-    offsets = (blocks.join(days, [cust, day])
+    offsets = (join_null_safe(blocks, days, [cust, day])
                .select(cust, day, blk,
                        (F.col("__n1") + F.col("__n2")).alias("__no"),
                        (F.col("__r1") + F.col("__r2")).alias("__ro")))
 
-    out = (rows.join(offsets, [cust, day, blk])
+    out = (join_null_safe(rows, offsets, [cust, day, blk])
            .withColumn(out_orders, (F.col("__no") + F.col("__n3")).cast("int"))
            .withColumn(out_returns, (F.col("__ro") + F.col("__r3")).cast("int")))
     return out.drop(blk, "__n3", "__r3", "__no", "__ro")
@@ -99,7 +102,9 @@ def exact_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, salt: str,
     g = list(group_cols)
     shift = 32 - bucket_bits
     h, b = "__h", "__b"
-    base = (df.withColumn(h, hash_bits32(id_col, salt))
+    # a row without an id is placed by a hash of all its columns
+    base = (df.withColumn(h, F.coalesce(hash_bits32(id_col, salt),
+                                        F.pmod(F.xxhash64(*df.columns), F.lit(1 << 32))))
               .withColumn(b, F.shiftright(F.col(h), shift)))
     w_in = Window.partitionBy(*g, b).orderBy(h, id_col)
     ranked = base.withColumn("__rn", F.row_number().over(w_in))
@@ -107,7 +112,7 @@ def exact_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, salt: str,
     counts = base.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__bc"))
     w_b = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__off", F.coalesce(F.sum("__bc").over(w_b), F.lit(0))).drop("__bc")
-    return (ranked.join(counts, [*g, b])
+    return (join_null_safe(ranked, counts, [*g, b])
             .withColumn(out, (F.col("__off") + F.col("__rn")).cast("bigint"))
             .drop(h, b, "__off", "__rn"))
 
@@ -125,7 +130,7 @@ def split_and_folds(df: DataFrame, label: str | None, id_col: str, seed: int = 4
     if groups:
         # one row per class: bounded by the number of classes
         sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-        joined = ranked.join(F.broadcast(sizes), groups)
+        joined = join_null_safe(ranked, F.broadcast(sizes), groups)
     else:
         joined = ranked.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
     cut_col = F.ceil(F.col("__n") * F.lit(float(test_share)))
@@ -146,6 +151,7 @@ def middle_and_ends(df: DataFrame, score: str, id_col: str, salt: str = "mid",
     skew-safe :func:`exact_rank` (a hot score is split over hash buckets).
     """
     h = "__h"
+    df = df.where(F.col(score).isNotNull())  # an order without a score has no place in the order
     keyed = df.withColumn(h, hash_bits32(id_col, salt))
     n_all = df.agg(F.count(F.lit(1))).scalar()
     low = keyed.orderBy(score, h, id_col).limit(n_end).withColumn("part", F.lit("lowest"))

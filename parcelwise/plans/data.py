@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.operators import clean as C
-from parcelwise.sources import fixtures
 from parcelwise.sources.store import frame
+from tests import orders_table
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "cod_raw", lambda: fixtures.cod_raw(spark, sf))
+    return frame(spark, sf, "cod_raw", lambda: orders_table.raw_orders(spark, sf))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,4 +23,4 @@ def cod(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "cod_scored_sql", lambda: fixtures.scored_sql(cod(spark, sf)))
+    return frame(spark, sf, "cod_scored_sql", lambda: orders_table.rule_scored(cod(spark, sf)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelwise.plans.oracle_base import with_ctes, with_ctes_extra
+from tests.orders_table_sql import with_ctes, with_ctes_extra
 
 ORACLE: dict[str, str] = {}
 
@@ -21,11 +21,15 @@ RAW_COLS = ("OrderID, CustomerID, OrderDay, CityTier, State, Category, OrderValu
 SCORED_OUT = ("OrderID, CustomerID, CityTier, Category, OrderValue, PriorOrders, PriorReturns, RTO, "
               "round(Risk, 6) AS Risk, Score")
 TIER_CASE = ("CASE WHEN Score >= {hi} THEN 'Free COD' WHEN Score < {lo} THEN 'Prepaid-only' "
-             "ELSE 'COD + fee' END")
+             "WHEN Score IS NOT NULL THEN 'COD + fee' END")
 
 # ------------------------------------------------------------------ 2.1 sources and sinks
 sql("read_orders_csv", with_ctes("SELECT * FROM cod_raw", "cod_raw"))
-sql("read_orders_any", with_ctes("SELECT * FROM cod_raw", "cod_raw"))
+sql("read_orders_any", with_ctes("""
+SELECT * FROM cod_raw WHERE OrderHour >= 12
+UNION ALL
+SELECT * REPLACE ('say "' || Category || '",' || chr(10) || 'please' AS Category, NULL::VARCHAR AS Device)
+FROM cod_raw WHERE OrderHour < 12""", "cod_raw"))
 sql("write_raw", with_ctes(
     "SELECT " + ", ".join(f"CAST({c.strip()} AS VARCHAR) AS {c.strip()}" for c in RAW_COLS.split(","))
     + " FROM cod_raw", "cod_raw"))
@@ -160,16 +164,17 @@ LEFT JOIN (SELECT CityTier, count(*) AS orders, CAST(sum(RTO) AS BIGINT) AS retu
 sql("join_scores_back", with_ctes(
     "SELECT OrderID, CustomerID, CityTier, Category, round(Risk, 6) AS Risk, Score FROM cod_scored_sql",
     "cod_scored_sql"))
-sql("join_rate_policy_grid", with_ctes("""
-SELECT low::INTEGER AS low, high::INTEGER AS high,
-  count(*) FILTER (WHERE Score >= high) AS free_orders,
-  count(*) FILTER (WHERE Score >= low AND Score < high) AS fee_orders,
+sql("join_rate_policy_grid", with_ctes_extra("""
+lh AS (SELECT low::INTEGER AS low, high::INTEGER AS high, CASE WHEN low >= high THEN low + 10 ELSE high END AS cut
+       FROM range(300, 701, 10) l(low), range(600, 901, 10) h(high))""", """
+SELECT low, high,
+  count(*) FILTER (WHERE Score >= cut) AS free_orders,
+  count(*) FILTER (WHERE Score >= low AND Score < cut) AS fee_orders,
   count(*) FILTER (WHERE Score < low) AS prepaid_orders,
-  round(avg(RTO) FILTER (WHERE Score >= high), 6) AS free_rate,
-  round(avg(RTO) FILTER (WHERE Score >= low AND Score < high), 6) AS fee_rate,
+  round(avg(RTO) FILTER (WHERE Score >= cut), 6) AS free_rate,
+  round(avg(RTO) FILTER (WHERE Score >= low AND Score < cut), 6) AS fee_rate,
   round(avg(RTO) FILTER (WHERE Score < low), 6) AS prepaid_rate
-FROM range(300, 701, 10) l(low), range(600, 901, 10) h(high), cod_scored_sql
-WHERE low < high GROUP BY low, high""", "cod_scored_sql"))
+FROM lh, cod_scored_sql GROUP BY low, high""", "cod_scored_sql"))
 
 # ------------------------------------------------------------------ 2.4 aggregates
 sql("kpi_headline", with_ctes("""
@@ -294,8 +299,6 @@ chi_v AS (SELECT clue, round(chi2, 6) AS chi2, dof, n, n_levels,
 sql("crosstab_rto", with_ctes_extra(CHI_CTE, "SELECT clue, level, o0, o1 FROM cells", "cod_clean"))
 sql("chi_square", with_ctes_extra(CHI_CTE, "SELECT * FROM chi_v", "cod_clean"))
 sql("cramers_v", with_ctes_extra(CHI_CTE, "SELECT clue, cramers_v, n_levels FROM chi_v", "cod_clean"))
-sql("association_table", with_ctes_extra(CHI_CTE, """
-SELECT clue, round(cramers_v, 3) AS cramers_v_3, cramers_v, chi2, dof, n_levels FROM chi_v""", "cod_clean"))
 sql("best_of", with_ctes_extra(CHI_CTE, """
 SELECT arg_max(clue, (cramers_v, clue)) AS best_clue, max(cramers_v) AS best_cramers_v FROM chi_v""", "cod_clean"))
 sql("sort_metrics", with_ctes_extra(CHI_CTE, """
@@ -308,7 +311,7 @@ SELECT OrderID, CustomerID, OrderDay,
   CAST(count(*) OVER w AS INTEGER) AS PriorOrdersCalc,
   CAST(coalesce(sum(RTO) OVER w, 0) AS INTEGER) AS PriorReturnsCalc
 FROM cod_clean
-WINDOW w AS (PARTITION BY CustomerID ORDER BY OrderDay, CAST(substr(OrderID, 4) AS BIGINT)
+WINDOW w AS (PARTITION BY CustomerID ORDER BY OrderDay NULLS FIRST, CAST(substr(OrderID, 4) AS BIGINT)
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "cod_clean"))
 
 _SPLIT = f"""
@@ -330,7 +333,7 @@ sql("top_low_mid_high", with_ctes_extra(f"""
 ranked AS (SELECT OrderID, CustomerID, CityTier, Category, OrderValue, PriorOrders, PriorReturns, Score,
                   row_number() OVER (ORDER BY Score, {hbits('OrderID', 'mid')}, OrderID) - 1 AS pos,
                   count(*) OVER () AS n
-           FROM cod_scored_sql)""", """
+           FROM cod_scored_sql WHERE Score IS NOT NULL)""", """
 SELECT OrderID, CustomerID, CityTier, Category, OrderValue, PriorOrders, PriorReturns, Score,
   CASE WHEN pos < 2 THEN 'lowest' WHEN pos >= n - 2 THEN 'highest' ELSE 'middle' END AS part
 FROM ranked WHERE pos < 2 OR pos >= n - 2 OR pos = n // 2 - 1 OR pos = n // 2""", "cod_scored_sql"))
@@ -338,8 +341,8 @@ FROM ranked WHERE pos < 2 OR pos >= n - 2 OR pos = n // 2 - 1 OR pos = n // 2"""
 _BASKET = f"""
 basket AS (
   SELECT OrderID,
-    coalesce(CityTier, 'Tier unknown') AS tier, coalesce(Category, 'category unknown') AS cat,
-    coalesce(AddressQuality, 'Unknown') || ' address' AS addr, coalesce(Device, 'Unknown') AS dev,
+    coalesce(CityTier, 'Tier unknown') AS tier, 'cat ' || coalesce(Category, 'unknown') AS cat,
+    coalesce(AddressQuality, 'Unknown') || ' address' AS addr, 'dev ' || coalesce(Device, 'Unknown') AS dev,
     coalesce(CASE WHEN DiscountPct > -1 AND DiscountPct <= 10 THEN 'disc 0-10%'
                   WHEN DiscountPct > 10 AND DiscountPct <= 25 THEN 'disc 11-25%'
                   WHEN DiscountPct > 25 AND DiscountPct <= 40 THEN 'disc 26-40%'
@@ -391,7 +394,7 @@ cum AS (SELECT *, sum(pos) OVER (ORDER BY Score ROWS BETWEEN UNBOUNDED PRECEDING
 SELECT Score AS threshold, round(fp / (SELECT sum(neg) FROM sc), 6) AS fpr, round(tp / (SELECT sum(pos) FROM sc), 6) AS tpr
 FROM cum""", "cod_scored_sql"))
 _CONF = """
-pred AS (SELECT *, CASE WHEN Risk >= 0.5 THEN 1 ELSE 0 END AS Pred FROM cod_scored_sql),
+pred AS (SELECT *, CASE WHEN Risk >= 0.5 THEN 1 WHEN Risk IS NOT NULL THEN 0 END AS Pred FROM cod_scored_sql),
 cm AS (SELECT count(*) FILTER (WHERE RTO = 1 AND Pred = 1) AS tp, count(*) FILTER (WHERE RTO = 0 AND Pred = 1) AS fp,
               count(*) FILTER (WHERE RTO = 0 AND Pred = 0) AS tn, count(*) FILTER (WHERE RTO = 1 AND Pred = 0) AS fn
        FROM pred)"""
@@ -416,7 +419,7 @@ UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / (s0 + s1), 6), roun
                  round((f0 * s0 + f1 * s1) / (s0 + s1), 6), CAST(s0 + s1 AS BIGINT) FROM pr""", "cod_scored_sql"))
 sql("metric_accuracy", with_ctes_extra(_CONF + "," + _SPLIT.format(src="pred"), """
 SELECT CASE WHEN split_rank <= ceil(n_class * 0.25) THEN 1 ELSE 0 END AS is_test,
-       round(avg(CASE WHEN RTO = Pred THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n
+       round(avg((RTO = Pred)::INT), 6) AS accuracy, count(*) AS n
 FROM split GROUP BY 1""", "cod_scored_sql"))
 sql("split_stats", with_ctes_extra(_SPLIT.format(src="cod"), """
 SELECT CASE WHEN split_rank <= ceil(n_class * 0.25) THEN 1 ELSE 0 END AS is_test, count(*) AS n,
@@ -426,16 +429,14 @@ SELECT CityTier, round(avg(Risk), 6) AS mean_predicted, round(avg(RTO), 6) AS ac
 FROM cod_scored_sql GROUP BY CityTier""", "cod_scored_sql"))
 sql("reason_codes", with_ctes_extra("""
 rs AS (SELECT OrderID, list_filter([
-    CASE WHEN PriorOrders = 0 THEN 'First-timer: no track record yet (up)'
-         WHEN PriorReturns / greatest(PriorOrders, 1) > 0.3 THEN printf('Returned %d of %d past orders (up)', PriorReturns, PriorOrders)
-         WHEN PriorReturns = 0 AND PriorOrders >= 3 THEN printf('%d clean orders, none returned (down)', PriorOrders) END,
-    CASE WHEN AddressQuality = 'Vague' THEN 'Vague address: deliveries fail more often (up)'
-         WHEN AddressQuality = 'Complete' THEN 'Complete address: smooth delivery (down)' END,
-    CASE WHEN CityTier = 'Tier-3' THEN 'Tier-3 town: returns run higher (up)'
-         WHEN CityTier = 'Tier-1' THEN 'Tier-1 metro: returns run lower (down)' END,
-    CASE WHEN Category IN ('Fashion', 'Footwear') THEN Category || ': a try-at-home-then-refuse category (up)'
-         WHEN Category IN ('Electronics', 'Health') THEN Category || ': rarely refused (down)' END,
-    CASE WHEN DiscountPct >= 40 THEN 'Deep discount: impulse buys get regretted (up)' END
+    CASE WHEN PriorOrders = 0 THEN '+history:none'
+         WHEN PriorReturns / greatest(PriorOrders, 1) > 0.3 THEN printf('+history:%d/%d', PriorReturns, PriorOrders)
+         WHEN PriorReturns = 0 AND PriorOrders >= 3 THEN printf('-history:%d/%d', PriorReturns, PriorOrders) END,
+    CASE AddressQuality WHEN 'Vague' THEN '+address:vague' WHEN 'Complete' THEN '-address:complete' END,
+    CASE CityTier WHEN 'Tier-3' THEN '+tier:3' WHEN 'Tier-1' THEN '-tier:1' END,
+    CASE WHEN Category IN ('Fashion', 'Footwear') THEN '+category:' || Category
+         WHEN Category IN ('Electronics', 'Health') THEN '-category:' || Category END,
+    CASE WHEN DiscountPct >= 40 THEN '+discount:deep' END
   ], lambda x: x IS NOT NULL)[1:5] AS reasons FROM cod)""", """
 SELECT OrderID, array_to_string(reasons, '; ') AS reasons, CAST(len(reasons) AS INTEGER) AS n_reasons FROM rs""",
     "cod"))
@@ -447,7 +448,7 @@ sql("policy_tier", with_ctes(
 
 def summary_sql(lo: int, hi: int) -> str:
     return with_ctes_extra(f"""
-t AS (SELECT *, {TIER_CASE.format(lo=lo, hi=hi)} AS Tier FROM cod_scored_sql),
+t AS (SELECT *, {TIER_CASE.format(lo=lo, hi=hi)} AS Tier FROM cod_scored_sql WHERE Score IS NOT NULL),
 agg AS (SELECT Tier, count(*) AS orders, avg(RTO) AS rr, avg(Score) AS sc, avg(OrderValue) AS ov FROM t GROUP BY Tier),
 dim AS (SELECT * FROM (VALUES ('Free COD', 0), ('COD + fee', 1), ('Prepaid-only', 2)) d(Tier, tier_order)),
 summ AS (
@@ -463,7 +464,7 @@ sql("policy_monotonic", summary_sql(580, 720).replace("SELECT * FROM summ", """
 SELECT Tier, tier_order, return_rate, lag(return_rate) OVER (ORDER BY tier_order) AS prev_rate,
        coalesce(return_rate > lag(return_rate) OVER (ORDER BY tier_order), true) AS rises FROM summ"""))
 _MONEY = with_ctes_extra(f"""
-t AS (SELECT *, {TIER_CASE.format(lo=580, hi=720)} AS Tier FROM cod_scored_sql),
+t AS (SELECT *, {TIER_CASE.format(lo=580, hi=720)} AS Tier FROM cod_scored_sql WHERE Score IS NOT NULL),
 a AS (SELECT sum(RTO) AS r, sum(RTO) FILTER (WHERE Tier = 'Prepaid-only') AS pp_r,
              count(*) FILTER (WHERE Tier = 'Prepaid-only') AS pp_n,
              avg(OrderValue) FILTER (WHERE Tier = 'Prepaid-only') AS pp_v,
@@ -483,18 +484,19 @@ sql("policy_net", _MONEY.replace("{cols}", "CAST(baseline_loss AS DOUBLE) AS bas
                                  "CAST(lost_margin AS DOUBLE) AS lost_margin, CAST(fee_income AS DOUBLE) AS fee_income, "
                                  "CAST(net AS DOUBLE) AS net"))
 sql("policy_sweep", with_ctes_extra("""
-g AS (SELECT low::INTEGER AS low, high::INTEGER AS high, fee::DOUBLE AS fee, 250.0::DOUBLE AS cost
-      FROM range(300, 701, 10) l(low), range(600, 901, 10) h(high), range(0, 151, 25) f(fee) WHERE low < high),
-a AS (SELECT low, high, fee, cost, sum(RTO) AS r, sum(RTO) FILTER (WHERE Score < low) AS pp_r,
-             count(*) FILTER (WHERE Score < low) AS pp_n, avg(OrderValue) FILTER (WHERE Score < low) AS pp_v,
-             count(*) FILTER (WHERE Score >= low AND Score < high) AS fee_n
-      FROM g, cod_scored_sql GROUP BY low, high, fee, cost)""", """
-SELECT low, high, fee, cost, round(r * cost, 6) AS baseline_loss,
-       round(coalesce(pp_r, 0) * 0.9 * cost, 6) AS saved,
-       round((pp_n - coalesce(pp_r, 0)) * 0.25 * coalesce(pp_v, 0.0) * 0.2, 6) AS lost_margin,
-       round(fee_n * fee * 0.85, 6) AS fee_income,
-       round(coalesce(pp_r, 0) * 0.9 * cost + fee_n * fee * 0.85 - (pp_n - coalesce(pp_r, 0)) * 0.25 * coalesce(pp_v, 0.0) * 0.2, 6) AS net
-FROM a""", "cod_scored_sql"))
+lh AS (SELECT low::INTEGER AS low, high::INTEGER AS high, CASE WHEN low >= high THEN low + 10 ELSE high END AS cut
+       FROM range(300, 701, 10) l(low), range(600, 901, 10) h(high)),
+a AS (SELECT low, high, sum(RTO) AS r, coalesce(sum(RTO) FILTER (WHERE Score < low), 0) AS pp_r,
+             count(*) FILTER (WHERE Score < low) AS pp_n, coalesce(avg(OrderValue) FILTER (WHERE Score < low), 0.0) AS pp_v,
+             count(*) FILTER (WHERE Score >= low AND Score < cut) AS fee_n
+      FROM lh, cod_scored_sql WHERE Score IS NOT NULL GROUP BY low, high),
+g AS (SELECT a.*, fee::DOUBLE AS fee, cost::DOUBLE AS cost
+      FROM a, range(0, 151, 5) f(fee), range(100, 601, 10) c(cost))""", """
+SELECT low, high, fee, cost, round(r * cost, 6) AS baseline_loss, round(pp_r * 0.9::DOUBLE * cost, 6) AS saved,
+       round((pp_n - pp_r) * 0.25::DOUBLE * pp_v * 0.2::DOUBLE, 6) AS lost_margin,
+       round(fee_n * fee * 0.85::DOUBLE, 6) AS fee_income,
+       round(pp_r * 0.9::DOUBLE * cost + fee_n * fee * 0.85::DOUBLE - (pp_n - pp_r) * 0.25::DOUBLE * pp_v * 0.2::DOUBLE, 6) AS net
+FROM g""", "cod_scored_sql"))
 
 # ------------------------------------------------------------------ 2.11 rules
 sql("basket_build", with_ctes_extra(_BASKET, """
@@ -518,7 +520,7 @@ FROM (SELECT * FROM rules_out ORDER BY lift DESC, combo LIMIT 12)""", "cod"))
 # ------------------------------------------------------------------ 2.7 preparation, KNN
 _NUM = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime", "OrderHour", "Items"]
 sql("prep_scale", with_ctes_extra(
-    "dm AS (SELECT OrderID, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in _NUM) + " FROM cod)",
+    "dm AS (SELECT OrderID, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NUM) + " FROM cod)",
     "SELECT OrderID, " + ", ".join(
         f"round(({c} - (SELECT avg({c}) FROM dm)) / nullif((SELECT stddev_pop({c}) FROM dm), 0), 6) AS z_{c}"
         for c in _NUM) + " FROM dm", "cod"))
@@ -544,11 +546,11 @@ te AS (SELECT * FROM sp WHERE rk <= ceil(n * 0.25)),
 cm AS (SELECT Category, avg(y) AS m FROM tr GROUP BY Category),
 pred AS (SELECT te.OrderID, te.Category, te.y, coalesce(cm.m, (SELECT avg(y) FROM tr)) AS p
          FROM te LEFT JOIN cm ON te.Category IS NOT DISTINCT FROM cm.Category),
-fit AS (SELECT sum(pow(y - p, 2)) AS sse, sum(y) AS sy, sum(y * y) AS syy, count(*) AS n, avg(abs(y - p)) AS mae
+fit AS (SELECT sum(pow(y - p, 2)) AS sse, var_pop(y) * count(y) AS sst, avg(abs(y - p)) AS mae
         FROM pred)"""
 sql("reg_category_only", with_ctes_extra(_CAT_ONLY, "SELECT OrderID, Category, y, round(p, 6) AS p FROM pred",
                                          "cod_clean"))
-sql("metric_r2", with_ctes_extra(_CAT_ONLY, "SELECT round(1.0 - sse / (syy - sy * sy / n), 6) AS r2 FROM fit",
+sql("metric_r2", with_ctes_extra(_CAT_ONLY, "SELECT round(1.0 - sse / sst, 6) AS r2 FROM fit",
                                  "cod_clean"))
 sql("metric_mae", with_ctes_extra(_CAT_ONLY, "SELECT round(mae, 6) AS mae FROM fit", "cod_clean"))
 
@@ -574,9 +576,24 @@ FROM m, nb WHERE (f_s / f_a) / (f_c / N) >= 1.0""", "cod"))
 
 # p-value: upper tail of chi-square(dof) = 1 - P(dof/2, chi2/2), P by its power series
 # sum_n exp(-x + (a + n) ln x - lgamma(a + n + 1)) (DuckDB has lgamma but no chi-square)
-sql("chi_square_pvalue", with_ctes_extra(CHI_CTE + """,
+_PVALUE = CHI_CTE + """,
 gser AS (SELECT clue, chi2, dof, sum(exp(-chi2 / 2 + (dof / 2.0 + g.n) * ln(chi2 / 2) - lgamma(dof / 2.0 + g.n + 1))) AS P
           FROM chi, generate_series(0, 40000) g(n) WHERE dof > 0 AND chi2 > 0 GROUP BY clue, chi2, dof),
 pv AS (SELECT chi.clue, CASE WHEN chi.dof > 0 AND chi.chi2 > 0 THEN greatest(0.0, 1.0 - gser.P) ELSE 1.0 END AS p
-       FROM chi LEFT JOIN gser USING (clue))""", """
+       FROM chi LEFT JOIN gser USING (clue))"""
+sql("association_table", with_ctes_extra(_PVALUE, """
+SELECT clue, round(cramers_v, 3) AS cramers_v_3, cramers_v, chi2, dof, n_levels, round(p, 6) AS p_value,
+       p < 0.05 AS real_link FROM chi_v JOIN pv USING (clue)""", "cod_clean"))
+sql("chi_square_pvalue", with_ctes_extra(_PVALUE, """
 SELECT chi_v.*, round(p, 6) AS p_value, p < 0.05 AS real_link FROM chi_v JOIN pv USING (clue)""", "cod_clean"))
+
+sql("preview_cleaning", with_ctes("""
+SELECT f.OrderID, f.OrderValue AS OrderValue_raw, f.DiscountPct AS DiscountPct_raw, f.CityTier AS CityTier_raw,
+       f.State AS State_raw, f.Device AS Device_raw, f.AddressQuality AS AddressQuality_raw,
+       c.OrderValue, c.DiscountPct, c.CityTier, c.State, c.Device, c.AddressQuality
+FROM (SELECT DISTINCT * FROM cod_raw ORDER BY OrderID LIMIT 8) f LEFT JOIN cod_clean c USING (OrderID)""", "cod_clean"))
+sql("pivot_tier_category_wide", with_ctes("""
+SELECT t.CityTier, """ + ", ".join(
+    f"round(avg(RTO) FILTER (WHERE Category = '{c}'), 6) AS {c}" for c in ("Electronics", "Fashion", "Unknown")) + """
+FROM (VALUES ('Tier-1'), ('Tier-2'), ('Tier-3')) t(CityTier) LEFT JOIN cod ON cod.CityTier = t.CityTier
+GROUP BY t.CityTier""", "cod"))

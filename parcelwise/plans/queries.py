@@ -7,7 +7,6 @@ Doubles that are results of arithmetic are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
-import hashlib
 import threading
 from collections.abc import Callable
 
@@ -22,13 +21,15 @@ from parcelwise.operators import policy as P
 from parcelwise.operators import rules as RU
 from parcelwise.operators import stats as S
 from parcelwise.operators import windows as W
+from parcelwise.operators.models import CAT_FEATS, NUM_FEATS
 from parcelwise.operators.reasons import reason_codes
 from parcelwise.plans import data
-from parcelwise.session import scratch_path
 from parcelwise.sources import io as IO
-from parcelwise.sources.fixtures import RAW_COLUMNS
+from parcelwise.sources import store
+from parcelwise.sources.scratch import Scratch
 from parcelwise.sources.store import materialize
 from parcelwise.sources.tables import read_table
+from tests.orders_table import RAW_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,18 +42,19 @@ def query(name: str):
     return deco
 
 
-def _tag(sf: str, spark: SparkSession | None = None) -> str:
-    app = spark.sparkContext.applicationId if spark is not None else ""
-    return hashlib.sha1(f"{app}|{sf.rstrip('/')}".encode()).hexdigest()[:10]
+_WRITTEN: dict[tuple[str, ...], object] = {}
+_WRITE_LOCK = threading.RLock()
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
-_WRITE_LOCK = threading.Lock()
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], object]) -> object:
+    """``make()``, once per application and state of the input folder."""
+    key = store.input_key(spark, sf, name)
+    with _WRITE_LOCK:
+        if key not in _WRITTEN:
+            _WRITTEN[key] = make()
+        return _WRITTEN[key]
 
 
-NUM_FEATS = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime",
-             "OrderHour", "Items"]
-CAT_FEATS = ["CityTier", "State", "Category", "Device", "AddressQuality"]
 SCORED_COLS = ["OrderID", "CustomerID", "CityTier", "Category", "OrderValue", "PriorOrders",
                "PriorReturns", "RTO"]
 
@@ -64,14 +66,12 @@ def _scored_out(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ 2.1 sources and sinks
 
 def _orders_csv(spark, sf) -> str:
-    """The raw table exported once per (application, folder) as CSV files."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    with _WRITE_LOCK:
-        if key not in _WRITTEN:
-            path = scratch_path(spark, f"orders_csv_{_tag(sf, spark)}")
-            IO.write_orders_csv(data.raw(spark, sf), path)
-            _WRITTEN[key] = path
-    return _WRITTEN[key]
+    """The raw table exported once as CSV files."""
+    def make():
+        path = Scratch(spark, "orders_csv").path("raw")
+        IO.write_orders_csv(data.raw(spark, sf), path)
+        return path
+    return _once(spark, sf, "orders_csv", make)
 
 
 @query("read_orders_csv")
@@ -81,8 +81,15 @@ def q_read_orders_csv(spark, sf):
 
 @query("read_orders_any")
 def q_read_orders_any(spark, sf):
-    path = _orders_csv(spark, sf)
-    return IO.read_orders_csv(spark, [f"{path}/part-*.csv"])
+    """Two exports of different layout: the usual one, and one with its columns in another
+    order, no device column, and quotes, commas and line breaks inside a cell."""
+    raw, scratch = data.raw(spark, sf), Scratch(spark, "orders_any")
+    one, two = scratch.path("usual"), scratch.path("other")
+    IO.write_orders_csv(raw.where("OrderHour >= 12"), one)
+    text = F.concat(F.lit('say "'), F.col("Category"), F.lit('",\nplease'))
+    other = raw.where("OrderHour < 12").withColumn("Category", text).drop("Device")
+    IO.write_orders_csv(other.select(*reversed(other.columns)), two)
+    return IO.read_orders_csv(spark, [f"{one}/part-*.csv", two])
 
 
 @query("write_raw")
@@ -93,9 +100,8 @@ def q_write_raw(spark, sf):
 @query("write_scored")
 def q_write_scored(spark, sf):
     scored = P.assign_tier(_scored_out(data.scored(spark, sf)))
-    path = scratch_path(spark, f"scored_csv_{_tag(sf, spark)}")
-    scored.write.mode("overwrite").option("header", True).csv(path)
-    return materialize(spark, scored, f"scored_parquet_{_tag(sf, spark)}")
+    scored.write.option("header", True).csv(Scratch(spark, "scored").path("csv"))
+    return materialize(spark, scored, "scored")
 
 
 @query("preview_raw")
@@ -103,6 +109,15 @@ def q_preview_raw(spark, sf):
     return data.raw(spark, sf).orderBy("OrderID").limit(10)
 
 
+@query("preview_cleaning")
+def q_preview_cleaning(spark, sf):
+    """The first eight orders before and after cleaning, side by side."""
+    columns = ["OrderValue", "DiscountPct", "CityTier", "State", "Device", "AddressQuality"]
+    first = data.raw(spark, sf).distinct().orderBy("OrderID").limit(8)
+    before = first.select("OrderID", *[F.col(c).alias(f"{c}_raw") for c in columns])
+    return before.join(data.clean(spark, sf).select("OrderID", *columns), "OrderID", "left")
+
+
 @query("preview_customers")
 def q_preview_customers(spark, sf):
     ct = D.customer_table(data.clean(spark, sf)).orderBy("CustomerID").limit(6)
@@ -121,9 +136,7 @@ def q_reuse_frames(spark, sf):
 @query("handoff_scored")
 def q_handoff_scored(spark, sf):
     scored = P.assign_tier(_scored_out(data.scored(spark, sf)))
-    return materialize(spark, scored.select("OrderID", "Risk", "Score", "Tier"),
-                       f"handoff_{_tag(sf, spark)}", partition_by=["Tier"]) \
-        .select("OrderID", "Risk", "Score", "Tier")
+    return materialize(spark, scored.select("OrderID", "Risk", "Score", "Tier"), "handoff")
 
 
 # ------------------------------------------------------------------ 2.2 cleaning
@@ -383,6 +396,13 @@ def q_pivot_tier_category(spark, sf):
     return D.pivot_tier_category(data.cod(spark, sf))
 
 
+@query("pivot_tier_category_wide")
+def q_pivot_tier_category_wide(spark, sf):
+    """The wide form: three fixed tier rows, one column per category asked for."""
+    wide = D.pivot_tier_category(data.cod(spark, sf), categories=["Electronics", "Fashion", "Unknown"])
+    return wide.select("CityTier", *[F.round(c, 6).alias(c) for c in ("Electronics", "Fashion", "Unknown")])
+
+
 @query("corr_with_rto")
 def q_corr_with_rto(spark, sf):
     return D.corr_with_rto(data.cod(spark, sf))
@@ -445,7 +465,7 @@ def q_cramers_v(spark, sf):
 
 @query("association_table")
 def q_association_table(spark, sf):
-    return S.association_table(data.clean(spark, sf))
+    return S.association_table(data.clean(spark, sf), with_pvalue=True)
 
 
 # ------------------------------------------------------------------ 2.5 windows, sorts, sets
@@ -661,17 +681,17 @@ def q_rules_cube(spark, sf):
 
 @query("rules_returned")
 def q_rules_returned(spark, sf):
-    return RU.rules_returned_fpgrowth(data.cod(spark, sf))
+    return RU.rules_returned(data.cod(spark, sf))
 
 
 @query("frequent_itemsets")
 def q_frequent_itemsets(spark, sf):
-    return RU.fpgrowth_itemsets(data.cod(spark, sf))
+    return RU.frequent_itemsets(data.cod(spark, sf))
 
 
 @query("rules_lift")
 def q_rules_lift(spark, sf):
-    return RU.fpgrowth_rules(data.cod(spark, sf))
+    return RU.rules_lift(data.cod(spark, sf))
 
 
 @query("fmt_rules")
@@ -716,18 +736,27 @@ def q_prep_pipeline(spark, sf):
 
 @query("class_weights")
 def q_class_weights(spark, sf):
-    return ML.class_weights(data.cod(spark, sf))
+    return ML.class_weights(data.cod(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
 def _holdout(spark, sf):
-    d = W.split_and_folds(ML.design(data.cod(spark, sf)), "RTO", "OrderID", seed=42)
+    d = frame(spark, sf, "design", lambda: W.split_and_folds(
+        ML.design(data.cod(spark, sf)), "RTO", "OrderID", seed=42))
     return d.where("is_test = 0"), d.where("is_test = 1")
 
 
+def _fitted(spark, sf, name):
+    """(model, hold-out predictions) of one fit on the training rows, shared by all queries."""
+    def make():
+        train, test = _holdout(spark, sf)
+        model, (p,) = ML.fit_predict(train, [test], name)
+        return model, materialize(spark, p, "predictions")
+    return _once(spark, sf, f"model {name}", make)
+
+
 def _model_query(name):
     def run(spark, sf):
-        train, test = _holdout(spark, sf)
-        _, (p,) = ML.fit_predict(train, [test], name)
+        _, p = _fitted(spark, sf, name)
         return p.select("OrderID", "RTO", F.round("Risk", 6).alias("Risk"), "prediction")
     return run
 
@@ -752,6 +781,30 @@ def q_leaderboard(spark, sf):
     return ML.leaderboard(_train_models(spark, sf))
 
 
+def _per_model(spark, sf, measure):
+    out = None
+    for name in ML.MODEL_NAMES:
+        _, p = _fitted(spark, sf, name)
+        rows = measure(p.withColumn("Pred", F.col("prediction").cast("int"))).withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("model_confusion")
+def q_model_confusion(spark, sf):
+    return _per_model(spark, sf, M.confusion_matrix)
+
+
+@query("model_roc")
+def q_model_roc(spark, sf):
+    return _per_model(spark, sf, M.roc_curve)
+
+
+@query("model_report")
+def q_model_report(spark, sf):
+    return _per_model(spark, sf, M.class_report)
+
+
 @query("calibration_models")
 def q_calibration_models(spark, sf):
     actual = data.cod(spark, sf).agg(F.avg("RTO")).scalar()
@@ -761,9 +814,8 @@ def q_calibration_models(spark, sf):
 
 @query("predict_rows")
 def q_predict_rows(spark, sf):
-    train, _ = _holdout(spark, sf)
-    cod = ML.design(data.cod(spark, sf))
-    _, (p,) = ML.fit_predict(train, [cod], "Logistic Regression")
+    model, _ = _fitted(spark, sf, "Logistic Regression")
+    p = ML.predict(model, ML.design(data.cod(spark, sf)))
     return p.select("OrderID", F.col("prediction").cast("int").alias("predicted_class"),
                     F.round("Risk", 6).alias("Risk"))
 
@@ -790,21 +842,24 @@ def q_calibration_oof(spark, sf):
 
 @query("importances")
 def q_importances(spark, sf):
-    return ML.importances(data.cod(spark, sf), top=1000)
+    model, _ = _fitted(spark, sf, ML.SCORE_MODEL)
+    return ML.importances(data.cod(spark, sf), top=1000, model=model)
 
 
 @query("top_importances")
 def q_top_importances(spark, sf):
-    return ML.importances(data.cod(spark, sf), top=12)
+    model, _ = _fitted(spark, sf, ML.SCORE_MODEL)
+    return ML.importances(data.cod(spark, sf), top=12, model=model)
 
 
 @query("batch_score")
 def q_batch_score(spark, sf):
-    clean = data.clean(spark, sf)
-    new_orders = (clean.where(F.col("IsCOD") == 0)
-                       .select("OrderID", "OrderValue", "DiscountPct", "PriorOrders", "PriorReturns",
-                               "CityTier", "Category", "Device", "AddressQuality"))
-    return ML.batch_score(data.cod(spark, sf), new_orders)
+    """The hold-out COD orders, with all their columns, scored by the model of the others."""
+    model, _ = _fitted(spark, sf, ML.SCORE_MODEL)
+    _, test = _holdout(spark, sf)
+    cod = data.cod(spark, sf)
+    new_orders = cod.join(test.select("OrderID"), "OrderID", "left_semi").drop("RTO", "DeliveryStatus")
+    return ML.batch_score(cod, new_orders, model=model)
 
 
 @query("cv_auc")
@@ -848,6 +903,13 @@ def q_silhouette(spark, sf):
     return _scan(spark, sf).select("k", "silhouette")
 
 
+@query("best_k")
+def q_best_k(spark, sf):
+    """The number of groups with the best silhouette (the smaller one on ties)."""
+    return _scan(spark, sf).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("best_k"),
+                                F.max("silhouette").alias("silhouette"))
+
+
 @query("kmeans_two")
 def q_kmeans_two(spark, sf):
     return _km2(spark, sf).select("CustomerID", "cluster", "segment")

@@ -42,10 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets this to a shared file system path; we
-    only read it. Where it is unset (local tests) a fresh scratch folder is created.
+    only read it. Where it is unset and the master is local (tests) a fresh scratch folder
+    is created; elsewhere that is an error, as executors would not see the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="parcelwise-ckpt-")
     if not sc.getCheckpointDir():

@@ -1,7 +1,7 @@
 """Reuse of expensive intermediate frames (raw fixture, clean table, scored table).
 
-``frame(spark, sf_dir, name, build)`` keeps one table per (application, input folder,
-name): written once as Parquet into the shared checkpoint folder and scanned afterwards.
+``frame(spark, sf_dir, name, build)`` keeps one table per (application, state of the
+input folder, name): written once as Parquet into the shared checkpoint folder and scanned afterwards.
 
 ``materialize(spark, df, name)`` writes a frame as Parquet under the session's shared
 checkpoint folder and reads it back: the hand-off table between stages (and the way to
@@ -17,15 +17,31 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.session import scratch_path
+from parcelwise.sources.scratch import Scratch, delete_path
 
-_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
-_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_FRAMES: dict[tuple[str, ...], DataFrame] = {}
+_LOCKS: dict[tuple[str, ...], threading.Lock] = {}
 _GUARD = threading.Lock()
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+def _stamp(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of the files in ``folder``: a changed folder is
+    another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, todo = [], [path]
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def input_key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str, str]:
+    folder = sf_dir.rstrip("/")
+    return (spark.sparkContext.applicationId, folder, _stamp(spark, folder), name)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str,
@@ -37,7 +53,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str,
     instead of recomputing the build, and later queries get column pruning and filter
     pushdown. ``mode="persist"`` keeps it in executor memory/disk instead.
     """
-    key = _key(spark, sf_dir, name)
+    key = input_key(spark, sf_dir, name)
     with _GUARD:
         lock = _LOCKS.setdefault(key, threading.Lock())
     with lock:  # one build per key even when queries are called from several threads
@@ -49,9 +65,7 @@ def _build_once(spark, sf_dir, name, key, build, mode) -> DataFrame:
     if df is None:
         built = build()
         if mode == "table":
-            app = spark.sparkContext.applicationId
-            tag = hashlib.sha1(f"{app}|{sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
-            df = materialize(spark, built, f"{name}-{tag}")
+            df = materialize(spark, built, name)
         else:
             df = built.persist(StorageLevel.MEMORY_AND_DISK)
         _FRAMES[key] = df
@@ -59,19 +73,20 @@ def _build_once(spark, sf_dir, name, key, build, mode) -> DataFrame:
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Unpersist every frame kept for this application (all applications if None)."""
+    """Let go of every frame kept for this application (all applications if None): persisted
+    ones are released, tables deleted."""
     app = spark.sparkContext.applicationId if spark is not None else None
     for key in list(_FRAMES):
         if app is None or key[0] == app:
-            _FRAMES.pop(key).unpersist()  # no-op for table scans
-
-
-def materialize(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back."""
-    path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(path)
+            df = _FRAMES.pop(key)
+            path = getattr(df, "scratch_path", None)
+            if path is None:
+                df.unpersist()
+            elif spark is not None:
+                delete_path(spark, path)
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table of its own in the shared folder and read it back. A
+    second table of the same name never touches the first."""
+    return Scratch(spark, name).table(df, "table")

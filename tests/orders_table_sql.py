@@ -1,9 +1,6 @@
-"""DuckDB SQL building blocks for the oracle queries.
-
-These are independent SQL spellings of the fixture and the cleaning rules; the driver runs
-them on DuckDB next to the Spark plans and compares results. They use only the
-pre-registered views (orders, customer, nation, lineitem, part, embeddings).
+"""The rows of ``orders_table`` and the cleaning rules in DuckDB SQL.
 
+The driver runs these on DuckDB next to the Spark plans and compares results.
 ``with_ctes(body, *names)`` prepends the CTE chain needed by a query body.
 """
 
@@ -43,23 +40,22 @@ o_base AS (
 
 CTE["o_lab"] = f"""
 o_lab AS (
-  SELECT *,
-    CASE WHEN {_u('ok', 'lab')} < 1.0 / (1.0 + exp(-(
-         -1.95 + (CASE WHEN pri < '4' THEN 0.9 ELSE -1.45 END)
-         + 3.6 * (0.5 - {_u('ck', 'rel')}) + 0.5 * (t - 2) + 0.012 * (disc - 30)
-         + (CASE WHEN st = 'F' THEN -0.3 WHEN st = 'O' THEN 0.25 ELSE 0.7 END))))
-      THEN 1 ELSE 0 END AS ret
-  FROM o_base
+  SELECT *, floor(100 * {_u('ok', 'back')}) <
+    CASE WHEN pri < '4'
+      THEN 4 + 6 * habit + 3 * t + (CASE st WHEN 'P' THEN 9 WHEN 'O' THEN 4 ELSE 0 END) + floor(disc / 12.0)
+      ELSE habit END AS is_back
+  FROM (SELECT *, floor(8 * {_u('ck', 'habit')}) AS habit FROM o_base)
 )"""
 
-CTE["cod_raw"] = f"""
+CTE["cod_raw"] = """
 o_hist AS (
   SELECT *,
     CAST(count(*) OVER w AS INTEGER) AS prior_n,
-    CAST(coalesce(sum(ret) OVER w, 0) AS INTEGER) AS prior_r
-  FROM (SELECT *, date_diff('day', DATE '1995-01-01', CAST(odate AS DATE)) AS oday,
-               'CUST' || CAST(ck + 10000 AS VARCHAR) AS cust_id FROM o_lab)
-  WINDOW w AS (PARTITION BY cust_id ORDER BY oday, ok
+    CAST(coalesce(sum(is_back::INT) OVER w, 0) AS INTEGER) AS prior_r
+  FROM (SELECT *,
+          CASE WHEN ok % 131 <> 0 THEN date_diff('day', DATE '1995-01-01', CAST(odate AS DATE)) END AS oday,
+          CASE WHEN ok % 97 <> 0 THEN 'CUST' || CAST(ck + 10000 AS VARCHAR) END AS cust_id FROM o_lab)
+  WINDOW w AS (PARTITION BY cust_id ORDER BY oday NULLS FIRST, ok
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 cod_raw_keyed AS (
@@ -67,37 +63,30 @@ cod_raw_keyed AS (
     'ORD' || CAST(ok + 100000 AS VARCHAR) AS OrderID,
     cust_id AS CustomerID,
     CAST(oday AS INTEGER) AS OrderDay,
-    CASE CAST(floor(5 * {_u('ok', 'tier')}) AS INTEGER)
-      WHEN 0 THEN 'Tier-' || t WHEN 1 THEN 'Tier ' || t WHEN 2 THEN 'tier' || t
-      WHEN 3 THEN 'T' || t ELSE 'TIER-' || t END AS CityTier,
-    CASE WHEN {_u('ok', 'state')} < 0.10 THEN upper(n_name)
-         WHEN {_u('ok', 'state')} < 0.18 THEN lower(n_name)
-         WHEN {_u('ok', 'state')} < 0.22 THEN '  ' || n_name || ' '
-         ELSE n_name END AS State,
-    p_type AS Category,
-    (CASE WHEN {_u('ok', 'val')} < 0.18 THEN 'Rs ' WHEN {_u('ok', 'val')} < 0.30 THEN 'INR '
-          WHEN {_u('ok', 'val')} < 0.40 THEN 'Rs.' ELSE '' END)
-      || format('{{:,}}', CAST(round(price / 33.0) AS BIGINT)) AS OrderValue,
-    CASE WHEN {_u('ok', 'bad')} < 0.002 THEN
-           (CASE CAST(floor(3 * {_u('ok', 'badv')}) AS INTEGER)
-              WHEN 0 THEN '150%' WHEN 1 THEN '120' ELSE '999%' END)
-         ELSE CAST(disc AS VARCHAR) || (CASE WHEN {_u('ok', 'pct')} < 0.45 THEN '%' ELSE '' END)
+    CASE WHEN ok % 101 = 0 THEN 'rural'
+         ELSE ['Tier-', 'Tier ', 'tier', 'T', 'TIER-'][(ok % 5 + 1)::INT] || t END AS CityTier,
+    CASE WHEN ok % 73 = 0 THEN NULL WHEN ok % 6 = 0 THEN upper(n_name) WHEN ok % 6 = 1 THEN lower(n_name)
+         WHEN ok % 6 = 2 THEN ' ' || n_name || '  ' ELSE n_name END AS State,
+    CASE WHEN ok % 61 = 0 THEN 'Unknown' WHEN ok % 9 = 0 THEN 'Fashion' WHEN ok % 9 = 1 THEN 'Electronics'
+         ELSE p_type END AS Category,
+    CASE WHEN ok % 157 = 0 THEN 'on request'
+         ELSE ['', 'Rs ', 'INR ', 'Rs.'][(ok % 4 + 1)::INT] || format('{:,}', CAST(round(price / 33.0) AS BIGINT))
+    END AS OrderValue,
+    CASE WHEN ok % 53 = 0 THEN NULL WHEN ok % 59 = 0 THEN 'free' WHEN ok % 307 = 0 THEN '101%'
+         WHEN ok % 311 = 0 THEN '250' ELSE CAST(disc AS VARCHAR) || (CASE WHEN ok % 2 = 0 THEN '%' ELSE '' END)
     END AS DiscountPct,
     CASE WHEN pri < '4' THEN 'COD' ELSE 'Prepaid' END AS PaymentMethod,
-    CASE WHEN {_u('ok', 'devnull')} < 0.04 THEN NULL
-         WHEN {_u('ok', 'dev')} < 0.55 THEN 'Android App'
-         WHEN {_u('ok', 'dev')} < 0.71 THEN 'iOS App'
-         WHEN {_u('ok', 'dev')} < 0.89 THEN 'Mobile Web' ELSE 'Desktop' END AS Device,
-    CASE WHEN {_u('ok', 'addrnull')} < 0.07 THEN NULL
-         WHEN st = 'F' THEN 'Complete' WHEN st = 'O' THEN 'Partial'
+    CASE WHEN ok % 23 = 0 THEN NULL WHEN ok % 3 = 0 THEN 'Phone' WHEN ok % 3 = 1 THEN 'Tablet'
+         ELSE 'Browser' END AS Device,
+    CASE WHEN ok % 19 = 0 THEN NULL WHEN st = 'F' THEN 'Complete' WHEN st = 'O' THEN 'Partial'
          WHEN st = 'P' THEN 'Vague' END AS AddressQuality,
-    CAST(floor(24 * {_u('ok', 'hr')}) AS INTEGER) AS OrderHour,
+    CAST(ok % 24 AS INTEGER) AS OrderHour,
     CAST(items AS INTEGER) AS Items,
     prior_n AS PriorOrders,
     prior_r AS PriorReturns,
-    CASE WHEN ret = 1 THEN 'Returned' ELSE 'Delivered' END AS DeliveryStatus,
+    CASE WHEN is_back THEN 'Returned' ELSE 'Delivered' END AS DeliveryStatus,
     ok AS OrderKey,
-    {_u('ok', 'dup')} < 0.005 AS is_dup
+    ok % 211 = 0 AS is_dup
   FROM o_hist
 ),
 cod_raw AS (
@@ -143,19 +132,17 @@ cod_clean AS (
 CTE["cod"] = """
 cod AS (SELECT * FROM cod_clean WHERE IsCOD = 1)"""
 
-# Deterministic score for metric and policy queries (FIXTURES.md §4).
+# The rule score of orders_table.rule_scored.
 CTE["cod_scored_sql"] = """
 cod_scored_sql AS (
-  SELECT *, CAST(round_even(900.0 - 600.0 * Risk, 0) AS INTEGER) AS Score
+  SELECT *, CAST(round_even(900.0::DOUBLE - 600.0::DOUBLE * Risk, 0) AS INTEGER) AS Score
   FROM (
-    SELECT *, 1.0 / (1.0 + exp(-(
-        -0.75
-        + (CASE WHEN PriorOrders > 0 THEN 2.0 * (PriorRTORate - 0.25) ELSE 0.3 END)
-        + (CASE WHEN CityTier = 'Tier-1' THEN -0.5 WHEN CityTier = 'Tier-3' THEN 0.5 ELSE 0.0 END)
-        + (CASE WHEN AddressQuality = 'Complete' THEN -0.3 WHEN AddressQuality = 'Vague' THEN 0.7
-                ELSE 0.2 END)
-        + 0.012 * (DiscountPct - 30)))) AS Risk
-    FROM cod
+    SELECT *, CASE WHEN r IS NOT NULL THEN least(0.97::DOUBLE, r) END AS Risk
+    FROM (SELECT *, 0.04::DOUBLE + 0.55::DOUBLE * ((PriorReturns + 1.0::DOUBLE) / (PriorOrders + 3.0::DOUBLE))
+            + 0.03::DOUBLE * TRY_CAST(substr(CityTier, 6, 1) AS INTEGER)
+            + (CASE AddressQuality WHEN 'Complete' THEN 0.0 WHEN 'Vague' THEN 0.1 ELSE 0.05 END)::DOUBLE
+            + DiscountPct / 400.0::DOUBLE AS r
+          FROM cod)
   )
 )"""
 

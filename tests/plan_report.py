@@ -48,7 +48,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from parcelwise.plans.queries import QUERIES
     from parcelwise.session import build_session
-    from parcelwise.sources import fixtures
+    from tests import orders_table
     spark = build_session("local[8]")
     out = ["# PLANS — physical plans of the headline queries", "",
            f"Generated by `tests/plan_report.py` on `{sf}` (AQE plans before execution; the shared",
@@ -57,7 +57,7 @@ def main():
            "windows, aggregates, subqueries. No query plan contains a CartesianProduct or a",
            "BroadcastNestedLoopJoin.", ""]
     out += SCALE_NOTES
-    plans = {"fixture (cod_raw)": fixtures.cod_raw(spark, sf)}
+    plans = {"fixture (cod_raw)": orders_table.raw_orders(spark, sf)}
     plans.update({k: QUERIES[k](spark, sf) for k in KEYS})
     for name, df in plans.items():
         text = df._jdf.queryExecution().executedPlan().toString()

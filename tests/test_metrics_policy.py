@@ -31,7 +31,7 @@ def test_auc_matches_pairs_with_ties(spark):
 def test_prefix_sums_many_ranges(spark):
     rows = [(i, i % 7) for i in range(1000)]
     df = spark.createDataFrame(rows, "k int, m int")
-    got = {r.k: r.m_before for r in M.prefix_sums(df, "k", ["m"], n_ranges=16).collect()}
+    got = {r.k: r.m_before for r in M.prefix_sums(df, "k", ["m"], range_rows=64).collect()}
     run = 0
     for k, m in rows:
         assert got[k] == run
@@ -82,3 +82,33 @@ def test_sweep_equals_direct_money(spark):
         w = sw[(low, 720)]
         for c in ("baseline_loss", "saved", "lost_margin", "fee_income", "net"):
             assert abs(getattr(d, c) - getattr(w, c)) < 1e-6, c
+
+
+def test_unscored_orders_are_in_no_figure(spark):
+    s = _scored(spark)
+    more = s.unionByName(spark.createDataFrame([("X1", None, 1, 9e9), ("X2", None, 0, 1.0)], s.schema))
+    assert P.assign_tier(more).where("Score IS NULL AND Tier IS NOT NULL").count() == 0
+    assert P.summary(more).collect() == P.summary(s).collect()
+    assert P.money(more).first() == P.money(s).first()
+    grid = P.policy_grid(spark, lows=[580, 700], highs=[600, 720], fees=[50], costs=[250])
+    key = lambda r: (r.low, r.high)
+    assert sorted(P.sweep(more, grid).collect(), key=key) == sorted(P.sweep(s, grid).collect(), key=key)
+    assert sorted(P.rate_grid(more, grid).collect(), key=key) == sorted(P.rate_grid(s, grid).collect(), key=key)
+    guarded = {key(r): r for r in P.sweep(s, grid).collect()}[(700, 600)]
+    assert abs(guarded.net - P.money(s, P.Policy(low=700, high=600)).first().net) < 1e-6
+
+
+def test_exact_quantiles_and_large_amounts(spark):
+    import numpy as np
+    from parcelwise.operators import describe as D
+    from parcelwise.operators import regress as RG
+    rng = np.random.default_rng(4)
+    v = 1e9 + rng.normal(size=501).round(3)
+    y = (rng.random(501) < 0.4).astype(int)
+    p = v + rng.normal(scale=0.5, size=501)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(v, y, p)], "OrderValue double, RTO int, p double")
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    assert np.allclose(M.exact_quantiles(df, "OrderValue", shares), np.quantile(v, shares), rtol=0, atol=1e-6)
+    assert np.isclose(D.corr_with_rto(df, ["OrderValue"]).first()["corr"], np.corrcoef(v, y)[0, 1], atol=2e-6)
+    r2 = 1 - ((v - p) ** 2).sum() / ((v - v.mean()) ** 2).sum()
+    assert np.isclose(RG.r2_mae(df, "OrderValue", "p").first()["r2"], r2, atol=2e-6)

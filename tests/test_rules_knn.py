@@ -24,7 +24,7 @@ def _cod(spark, n=600, seed=7):
 def test_cube_rules_equal_brute_force_and_fpgrowth(spark):
     cod = _cod(spark)
     cube = {r.combo: r for r in RU.rules_cube(cod, min_support=0.02).collect()}
-    fp = {r.combo: r for r in RU.rules_returned_fpgrowth(cod, min_support=0.02).collect()}
+    fp = {r.combo: r for r in RU.rules_returned(cod, min_support=0.02).collect()}
     assert set(cube) == set(fp) and cube
     for k in cube:
         assert abs(cube[k].lift - fp[k].lift) < 1e-6
@@ -42,6 +42,27 @@ def test_cube_rules_equal_brute_force_and_fpgrowth(spark):
     assert all(abs(cube[k].support - round(v, 6)) < 1e-9 for k, v in want.items())
 
 
+def test_itemsets_and_rules_equal_fpgrowth(spark):
+    from pyspark.ml.fpm import FPGrowth
+    cod = _cod(spark)
+    model = FPGrowth(itemsCol="items", minSupport=0.02, minConfidence=0.0).fit(RU.baskets(cod))
+    want = {" + ".join(sorted(r["items"])): r["freq"] for r in model.freqItemsets.collect()}
+    assert {r.itemset: r.freq for r in RU.frequent_itemsets(cod).collect()} == want
+    rules = {(" + ".join(sorted(r.antecedent)), r.consequent[0]): r.lift
+             for r in model.associationRules.collect() if r.lift >= 1.0}
+    got = {(r.antecedent, r.consequent): r.lift for r in RU.rules_lift(cod).collect()}
+    assert set(got) == set(rules) and all(abs(got[k] - rules[k]) < 1e-6 for k in rules)
+
+
+def test_shared_text_of_two_traits_stays_two_items(spark):
+    rows = [(f"O{i}", "Tier-1", "Unknown", None, "Unknown", 10.0, 0, i % 2) for i in range(40)]
+    cod = spark.createDataFrame(rows, "OrderID string, CityTier string, Category string, AddressQuality string, "
+                                      "Device string, DiscountPct double, FirstTime int, RTO int")
+    items = RU.baskets(cod).first()["items"]
+    assert len(set(items)) == 7 and {"cat Unknown", "dev Unknown"} <= set(items)
+    assert RU.frequent_itemsets(cod).count() == 2 ** 6 * 3 - 1
+
+
 def test_missing_and_out_of_range_traits_are_items(spark):
     t = {r.OrderID: r for r in RU.basket_traits(_cod(spark)).collect()}
     assert any(r.tier == "Tier unknown" for r in t.values())
@@ -56,8 +77,23 @@ def test_knn_blocks_equal_brute_force(spark):
     got = {r.id: r for r in K.knn_scores(df, df, k=7, train_id="id", query_id="id",
                                          exclude_self=True, block_rows=25).collect()}
     for i in range(120):
-        d = K._sq_dist(x, x[i])
+        d = K._exact(x, x[i])
         d[i] = np.inf
         order = np.lexsort((np.arange(120), d))[:7]
         assert got[i].neighbours == order.tolist()
         assert got[i].n_positive == int(y[order].sum())
+
+
+def test_knn_tight_cluster_far_from_origin():
+    """Rounding of the expanded distance must not lose a neighbour (block scorer, 40 seeds)."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        x = 1e4 + rng.normal(scale=1e-4, size=(400, 8)).round(6)
+        ids = np.arange(400)
+        near = K.Nearest(x[:40], ids[:40], 5, True)
+        for at in range(0, 400, 150):
+            near.add(x[at:at + 150], ids[at:at + 150], np.ones(len(x[at:at + 150])))
+        for i in range(40):
+            d = K._exact(x, x[i])
+            d[i] = np.inf
+            assert near.best[i][1].tolist() == np.lexsort((ids, d))[:5].tolist()

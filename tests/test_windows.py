@@ -66,3 +66,16 @@ def test_middle_and_ends(spark):
     n = len(pdf)
     want = set(pdf.id.iloc[[0, 1, n // 2 - 1, n // 2, n - 2, n - 1]])
     assert set(got.id) == want and len(got) == 6
+
+
+def test_rows_without_keys_are_kept(spark):
+    rows = [(1, None, 1, 1), (2, None, 2, 0), (3, "A", None, 1), (4, "A", 1, 0), (5, "A", 2, 1)]
+    df = spark.createDataFrame(rows, "seq long, cust string, day int, ret int")
+    got = {r.seq: (r.PriorOrders, r.PriorReturns)
+           for r in W.prior_history(df, cust="cust", day="day", seq="seq", flag="ret").collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (0, 0), 4: (1, 1), 5: (2, 1)}
+    ids = spark.createDataFrame([("a", 1), (None, 1), (None, 0), ("b", None), (None, None)], "id string, y int")
+    ranked = W.exact_rank(ids, ["y"], "id", "42", out="rk").collect()
+    assert sorted((str(r.y), r.rk) for r in ranked) == [("0", 1), ("1", 1), ("1", 2), ("None", 1), ("None", 2)]
+    assert W.split_and_folds(ids, "y", "id").count() == 5
+    assert W.split_and_folds(ids, None, "id").count() == 5
