@@ -93,7 +93,7 @@ def scan_tokens(files: DataFrame, folder: str, end_id: int = END_ID, block_token
     found = scratch.table(found, "separators")
     earlier = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select("file", "begin", "tokens", F.size("ends").alias("n"),
-                            F.coalesce(F.element_at("ends", -1), F.lit(-1)).alias("last")) \
+                            F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)).alias("last")) \
         .select("file", "begin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
                 F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("opened"))
     joined = found.join(stitched, ["file", "begin"])
@@ -102,7 +102,7 @@ def scan_tokens(files: DataFrame, folder: str, end_id: int = END_ID, block_token
         F.transform("ends", lambda e, i: e - F.get(previous, i) - 1)).alias("at", "n_tokens"))
     ended = each.select("file", (F.col("before") + F.col("at")).alias("ordinal"), "n_tokens",
                         F.lit(True).alias("ended"))
-    tail = found.groupBy("file").agg(F.max("tokens").alias("tokens"), F.max(F.element_at("ends", -1)).alias("last"),
+    tail = found.groupBy("file").agg(F.max("tokens").alias("tokens"), F.max(F.try_element_at("ends", F.lit(-1))).alias("last"),
                                      F.sum(F.size("ends")).alias("ordinal"))
     rest = tail.select("file", "ordinal", (F.col("tokens") - F.coalesce("last", F.lit(-1)) - 1).alias("n_tokens"),
                        F.lit(False).alias("ended")).where("n_tokens > 0")
