@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.operators import clean as C
+from parcelwise.plans import order_rows
 from parcelwise.sources.store import frame
-from tests import orders_table
+
+orders_table = order_rows("orders_table")
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:

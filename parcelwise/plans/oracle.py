@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tests.orders_table_sql import with_ctes, with_ctes_extra
+from parcelwise.plans import order_rows
+
+_ROWS = order_rows("orders_table_sql")
+with_ctes, with_ctes_extra = _ROWS.with_ctes, _ROWS.with_ctes_extra
 
 ORACLE: dict[str, str] = {}
 

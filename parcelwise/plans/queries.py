@@ -23,14 +23,14 @@ from parcelwise.operators import stats as S
 from parcelwise.operators import windows as W
 from parcelwise.operators.models import CAT_FEATS, NUM_FEATS
 from parcelwise.operators.reasons import reason_codes
-from parcelwise.plans import data
+from parcelwise.plans import data, order_rows
 from parcelwise.sources import io as IO
 from parcelwise.sources import store
 from parcelwise.sources.scratch import Scratch
 from parcelwise.sources.store import materialize
 from parcelwise.sources.tables import read_table
-from tests.orders_table import RAW_COLUMNS
 
+RAW_COLUMNS = order_rows("orders_table").RAW_COLUMNS
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 

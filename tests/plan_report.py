@@ -48,7 +48,8 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from parcelwise.plans.queries import QUERIES
     from parcelwise.session import build_session
-    from tests import orders_table
+    from parcelwise.plans import order_rows
+    orders_table = order_rows("orders_table")
     spark = build_session("local[8]")
     out = ["# PLANS — physical plans of the headline queries", "",
            f"Generated by `tests/plan_report.py` on `{sf}` (AQE plans before execution; the shared",
