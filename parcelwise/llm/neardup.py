@@ -13,7 +13,7 @@ compared exhaustively, on the minwise signature first and then on the full sets.
 nodes are cut in this order:
 
 * all documents are in one component already: nothing is left to find;
-* at most ``LEAF`` documents are outside the node's largest component: these are compared
+* at most ``CHUNK`` documents are outside the node's largest component: these are compared
   with the node's other documents, chunk by chunk;
 * chunks of the node are compared in themselves and with a few hubs, which joins large groups
   of near copies in one component at linear cost;
@@ -43,7 +43,8 @@ from parcelwise.llm.components import components
 from parcelwise.sources.scratch import Scratch
 
 POSITIONS, TREES, FIRST_TREES = 32, 8, 2
-LEAF, BRANCHES, HUBS = 1000, 3, 8
+LEAF, CHUNK, BRANCHES, HUBS = 8000, 2000, 3, 8
+BIT_BYTES = 100_000_000
 _RNG = np.random.Generator(np.random.PCG64(7919))
 _FACTOR = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64)
@@ -161,30 +162,52 @@ def _plausible(cutoff: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     return work
 
 
+def _overlaps(flat: np.ndarray, bounds: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function (i, others) -> sizes of the intersections of set i with other sets.
+
+    Only shingles of two sets or more can be shared; they are numbered, and a set becomes a
+    bit row of them. Sets of long texts with few neighbours stay sorted lists instead, so that
+    the rows never take more than ``BIT_BYTES``.
+    """
+    size = np.diff(bounds)
+    codes, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    width = int(shared.sum() + 63) // 64
+    if width * 8 * len(size) <= BIT_BYTES:
+        bits = np.zeros((len(size), max(width, 1)), dtype=np.uint64)
+        row, code = np.repeat(np.arange(len(size)), size)[shared[which]], number[which[shared[which]]]
+        np.bitwise_or.at(bits, (row, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+        return lambda i, others: np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+
+    def by_search(i: int, others: np.ndarray) -> np.ndarray:
+        mine, out = flat[bounds[i]:bounds[i + 1]], np.zeros(len(others), dtype=np.int64)
+        for k, j in enumerate(others.tolist()):
+            theirs = flat[bounds[j]:bounds[j + 1]]
+            found = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            out[k] = (mine[found] == theirs).sum()
+        return out
+    return by_search
+
+
 def _linked(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     """Edges of a spanning forest of the links between components of a group, by full sets."""
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        docs, comp = group.column("doc").to_numpy(), group.column("comp").to_numpy().copy()
+        comp = group.column("comp").to_numpy().copy()
         lists = group.column("set").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat = lists.flatten().to_numpy().view(np.uint64)
         size = lists.value_lengths().to_numpy().astype(np.int64)
-        ends = np.cumsum(size)
-        starts = ends - size
+        overlap = _overlaps(flat, np.concatenate([[0], np.cumsum(size)]))
         edges: list[tuple[int, int]] = []
-        for i in range(len(docs) - 1):
-            mine = flat[starts[i]:ends[i]]
+        for i in range(len(comp) - 1):
             others = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
             low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
             others = others[(100 * low >= percent * high) & (low > 0)]
             if not len(others):
                 continue
-            lengths = size[others]
-            at = np.cumsum(lengths)
-            theirs = flat[np.repeat(starts[others] - (at - lengths), lengths) + np.arange(at[-1])]
-            found = np.minimum(np.searchsorted(mine, theirs), size[i] - 1)
-            shared = np.add.reduceat((mine[found] == theirs).astype(np.int64), at - lengths)
-            for j in others[100 * shared >= percent * (size[i] + lengths - shared)].tolist():
+            shared = overlap(i, others)
+            for j in others[100 * shared >= percent * (size[i] + size[others] - shared)].tolist():
                 if comp[j] != comp[i]:
                     edges.append((comp[i], comp[j]))
                     comp[comp == comp[j]] = comp[i]
@@ -257,15 +280,15 @@ class Forest:
         by_comp = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
         main = by_comp.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("main"))
         rows = rows.join(main, "node").withColumn("outside", F.col("n") - F.col("main.c")) \
-            .withColumn("chunks", F.ceil(F.col("n") / LEAF)).where("outside > 0")
+            .withColumn("chunks", F.ceil(F.col("n") / CHUNK)).where("outside > 0")
         rows = scratch.table(rows, "large")
         chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
         task = lambda *parts: F.xxhash64("node", *parts).alias("task")
-        few = rows.where(F.col("outside") <= LEAF)
+        few = rows.where(F.col("outside") <= CHUNK)
         inner = few.where(F.col("comp") == F.col("main.comp")).select(task(chunk), "doc")
         outer = few.where(F.col("comp") != F.col("main.comp")).withColumn(
             "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(task("chunk"), "doc")
-        many = rows.where(F.col("outside") > LEAF)
+        many = rows.where(F.col("outside") > CHUNK)
         unstarred = many.where(~F.col("starred"))
         hubs = unstarred.groupBy("node", "chunks").agg(F.min_by("doc", F.xxhash64("doc", "node", F.lit(1))).alias("h0"), *[
             F.min_by("doc", F.xxhash64("doc", "node", F.lit(h + 1))).alias(f"h{h}") for h in range(1, HUBS)])
