@@ -33,9 +33,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from parcelwise.llm import wordhash as wh
 from parcelwise.llm.common import columns_of
@@ -44,7 +46,7 @@ from parcelwise.sources.scratch import Scratch
 
 POSITIONS, TREES, FIRST_TREES = 32, 8, 2
 LEAF, CHUNK, BRANCHES, HUBS = 8000, 2000, 3, 8
-BIT_BYTES = 100_000_000
+BIT_BYTES, ID_BITS = 100_000_000, 27
 _RNG = np.random.Generator(np.random.PCG64(7919))
 _FACTOR = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64)
@@ -218,6 +220,40 @@ def _linked(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     return work
 
 
+class IdBitmap:
+    """A set of ids as ``2 ** ID_BITS`` hashed bits (16 MB at any corpus size).
+
+    It may take other ids for its own, never its own for others. It only keeps texts that
+    cannot matter out of a shuffle; exact joins follow. Should it fill up, more texts pass."""
+
+    def __init__(self, ids: DataFrame):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = _id_places(batch.column(0).to_numpy())
+                bits = np.uint64(1) << (place & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)),
+                                                  pa.array(bits.view(np.int64))], names=["word", "bits"])
+        words = ids.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(1 << (ID_BITS - 6), dtype=np.uint64)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    def hit(self, column: str) -> Column:
+        """Whether an id (not null) may be one of the set."""
+        shared = self.shared
+
+        @pandas_udf("boolean")
+        def test(ids: pd.Series) -> pd.Series:
+            place = _id_places(ids.to_numpy())
+            words = shared.value[(place >> np.uint64(6)).astype(np.int64)]
+            return pd.Series((words >> (place & np.uint64(63))) & np.uint64(1) == 1)
+        return test(F.coalesce(F.col(column), F.lit(0)))
+
+
+def _id_places(ids: np.ndarray) -> np.ndarray:
+    return wh.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)
+
+
 class Forest:
     """The join's state: signatures, the edges found so far, and components."""
 
@@ -243,8 +279,10 @@ class Forest:
         wanted = pairs.select("doc").distinct()
         for known in self.sets:
             wanted = wanted.join(known.select("doc"), "doc", "left_anti")
-        texts = self.docs.join(wanted, self.docs["doc_id"] == wanted["doc"], "left_semi")
-        self.sets.append(scratch.table(full_sets(texts, self.width).dropDuplicates(["doc"]), "sets"))
+        wanted = scratch.table(wanted, "wanted")
+        texts = self.docs.where(F.col("doc_id").isNotNull() & IdBitmap(wanted).hit("doc_id"))
+        sets = full_sets(texts, self.width).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+        self.sets.append(scratch.table(sets, "sets"))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
@@ -340,9 +378,15 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` (all columns), one row of each component. A row without an
     id cannot be told from its copies by name and stays."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    kept = scratch.table(near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct(), "kept")
+    found = scratch.table(near_duplicates(docs, width, percent).where("doc_id is not null"), "components")
+    kept = found.where("kept").select("doc_id").distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = f"c{docs.columns.index('doc_id')}"
     rows = docs.toDF(*names)
-    named = rows.join(kept.withColumnRenamed("doc_id", at), at, "left_semi").select(*names).dropDuplicates([at])
-    return named.union(rows.where(F.col(at).isNull())).toDF(*docs.columns)
+    # most rows are kept and single; only texts of dropped or repeated ids are shuffled
+    doubtful = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
+    doubtful = IdBitmap(doubtful.where("n > 1 or not kept").select("doc_id"))
+    clear = rows.where(F.col(at).isNull() | ~doubtful.hit(at))
+    others = rows.where(F.col(at).isNotNull() & doubtful.hit(at))
+    others = others.join(kept.withColumnRenamed("doc_id", at), at, "left_semi").select(*names).dropDuplicates([at])
+    return clear.union(others).toDF(*docs.columns)
