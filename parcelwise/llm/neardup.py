@@ -46,7 +46,7 @@ from parcelwise.sources.scratch import Scratch
 
 POSITIONS, TREES, FIRST_TREES = 32, 8, 2
 LEAF, CHUNK, BRANCHES, HUBS = 8000, 2000, 3, 8
-BIT_BYTES, ID_BITS = 100_000_000, 27
+BIT_BYTES, ID_BITS, HASH_BYTES = 100_000_000, 27, 6
 _RNG = np.random.Generator(np.random.PCG64(7919))
 _FACTOR = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**64, POSITIONS, dtype=np.uint64)
@@ -106,12 +106,25 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, set): the whole set as sorted 48-bit shingle hashes, ``HASH_BYTES`` each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, flat, bounds in _slices(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _long_lists(flat, bounds)],
+                high = np.ascontiguousarray(flat.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+                sets = [high[HASH_BYTES * x:HASH_BYTES * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())],
                                                  names=["doc", "set"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, set binary")
+
+
+def unpack_sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, bounds) of packed sets."""
+    cells = column.to_pylist()
+    raw = np.frombuffer(b"".join(cells), dtype=np.uint8).reshape(-1, HASH_BYTES)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, 8 - HASH_BYTES:] = raw
+    sizes = np.array([len(c) // HASH_BYTES for c in cells], dtype=np.int64)
+    return wide.view(">u8").reshape(-1).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def in_groups(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -196,11 +209,9 @@ def _linked(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     """Edges of a spanning forest of the links between components of a group, by full sets."""
     def work(group: pa.Table) -> pa.RecordBatch | None:
         comp = group.column("comp").to_numpy().copy()
-        lists = group.column("set").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten().to_numpy().view(np.uint64)
-        size = lists.value_lengths().to_numpy().astype(np.int64)
-        overlap = _overlaps(flat, np.concatenate([[0], np.cumsum(size)]))
+        flat, bounds = unpack_sets(group.column("set"))
+        size = np.diff(bounds)
+        overlap = _overlaps(flat, bounds)
         edges: list[tuple[int, int]] = []
         for i in range(len(comp) - 1):
             others = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
@@ -257,7 +268,9 @@ def _id_places(ids: np.ndarray) -> np.ndarray:
 class Forest:
     """The join's state: signatures, the edges found so far, and components."""
 
-    def __init__(self, docs: DataFrame, sigs: DataFrame, width: int, percent: int, scratch: Scratch):
+    def __init__(self, docs: DataFrame, sigs: DataFrame, repeated: IdBitmap, width: int, percent: int,
+                 scratch: Scratch):
+        self.repeated = repeated  # ids of two rows or more
         self.docs, self.sigs, self.width, self.percent, self.scratch = docs, sigs, width, percent, scratch
         share = percent / 100
         self.cutoff = max(1, int(POSITIONS * (share - 5 * (share * (1 - share) / POSITIONS) ** 0.5)))
@@ -281,8 +294,10 @@ class Forest:
             wanted = wanted.join(known.select("doc"), "doc", "left_anti")
         wanted = scratch.table(wanted, "wanted")
         texts = self.docs.where(F.col("doc_id").isNotNull() & IdBitmap(wanted).hit("doc_id"))
-        sets = full_sets(texts, self.width).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-        self.sets.append(scratch.table(sets, "sets"))
+        # sets of ids that were not asked for find no partner in the join below
+        once = full_sets(texts.where(~self.repeated.hit("doc_id")), self.width)
+        again = full_sets(texts.where(self.repeated.hit("doc_id")), self.width).dropDuplicates(["doc"])
+        self.sets.append(scratch.table(once.union(again), "sets"))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
@@ -364,7 +379,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = classes.select(F.col("doc").alias("doc_id")).distinct()
     sigs = sketched.where("n_shingles > 0").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sigs = scratch.table(sigs.select(F.col("doc_id").alias("doc"), "sig"), "signatures")
-    forest = Forest(rows, sigs, width, percent, scratch)
+    repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    forest = Forest(rows, sigs, IdBitmap(repeated.where("n > 1").select("doc_id")), width, percent, scratch)
     forest.grow(range(FIRST_TREES))
     forest.grow(range(FIRST_TREES, TREES))
     members = sketched.select("doc_id", *keys).join(classes, keys, "left")
