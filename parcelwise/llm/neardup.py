@@ -379,11 +379,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = classes.select(F.col("doc").alias("doc_id")).distinct()
     sigs = sketched.where("n_shingles > 0").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sigs = scratch.table(sigs.select(F.col("doc_id").alias("doc"), "sig"), "signatures")
-    repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    members = scratch.table(sketched.select("doc_id", *keys), "members")
+    scratch.drop(sketched)  # the signatures that are needed are in a table of their own
+    repeated = members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     forest = Forest(rows, sigs, IdBitmap(repeated.where("n > 1").select("doc_id")), width, percent, scratch)
     forest.grow(range(FIRST_TREES))
     forest.grow(range(FIRST_TREES, TREES))
-    members = sketched.select("doc_id", *keys).join(classes, keys, "left")
+    members = members.join(classes, keys, "left")
     joined = members.join(forest.comps.withColumnRenamed("vertex", "doc"), "doc", "left")
     component = F.coalesce("component", "doc", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")) \
