@@ -7,6 +7,13 @@ terminal, negative the capacity to the boilerplate terminal. Neighbouring blocks
 that follow each other under one parent, are joined by smoothness edges, weaker across
 elements of different kind. The minimum cut (a maximum flow) separates content from the rest.
 
+An element speaks against content by its tag or a word of class, id or role (not by words after
+no, has, with and the like). A word that is a part of a longer name, or a form, may only describe
+the layout of a page wrapper: such an element is neutral if it holds most of the page's long
+paragraphs (those of article, main and content elements, if there are any), and content elements
+below it count. An element that is named after its kind, as sidebar or comments, is neutral only
+if no such paragraph stands outside elements of this sort.
+
 Script, style and other raw elements have no text; character references are decoded; white
 space inside a block becomes one space; content blocks are joined by one space.
 
@@ -51,6 +58,10 @@ _OUT_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs"
               "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "respond", "reply",
               "replies", "reviews", "login", "search", "searchbox", "pagination", "pager", "copyright", "disclaimer",
               "legal", "toolbar", "topbar", "contentinfo", "complementary", "form", "skip", "tags", "outbrain", "taboola"}
+#: Words that name sections with paragraphs of their own; words whose followers say nothing of the element.
+_TALK_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "reviews", "related",
+               "recommended", "recommendations", "legal", "disclaimer", "cookie", "cookies", "consent", "gdpr"}
+_ABOUT = {"no", "not", "has", "have", "with", "without", "hide", "show"}
 _HEAD_WORDS = {"header", "head", "top", "site-header"}
 _IN_TAGS = {"article", "main"}
 _IN_WORDS = {"article", "articlebody", "content", "post", "entry", "story", "main", "body", "text", "prose"}
@@ -61,32 +72,98 @@ W_OUT, W_IN, W_HEADING, W_PARAGRAPH, W_ITEM = -6.0, 3.0, 0.5, 1.0, -0.5
 W_WORDS, W_LINKS, W_SENTENCE, W_BIAS = 0.6, -3.0, 0.5, -1.5
 #: Capacities of smoothness edges: neighbours, same parent, and the factor across kinds.
 E_NEXT, E_SIBLING, E_ACROSS = 0.8, 0.8, 0.1
+#: Words of a long paragraph.
+LONG = 8
+
+
+#: How sure an element is no content: a form or a part of a name, such a part that names a section
+#: with paragraphs, an element of that name, a landmark or a section of that name.
+_LOOSE, _PART, _NAMED, _SECTION = 1, 2, 3, 4
+
+
+class _Mark:
+    """What an element's tag and attributes say, and the long paragraphs (in words) inside it."""
+    __slots__ = ("up", "good", "tagged", "bad", "held", "out", "inside")
+
+    def __init__(self, up: _Mark | None, good: bool, tagged: bool, bad: int):
+        self.up, self.good, self.tagged, self.bad = up, good, tagged, bad
+        self.held, self.out, self.inside = 0, 0, 0
+
+    def chain(self) -> Iterator[_Mark]:
+        mark: _Mark | None = self
+        while mark:
+            yield mark
+            mark = mark.up
+
+    def against(self) -> bool:
+        return self.bad > _LOOSE or self.bad == _LOOSE and not self.good
 
 
 class _Element:
-    __slots__ = ("tag", "out", "inside", "hidden")
+    __slots__ = ("tag", "mark", "hidden")
 
-    def __init__(self, tag: str, attributes: str, parent: _Element | None):
+    def __init__(self, tag: str, attributes: str, parent: _Element | None, marks: list[_Mark]):
         self.tag = tag
-        self.out = parent.out if parent else 0
-        self.inside = parent.inside if parent else 0
+        self.mark = parent.mark if parent else None
         self.hidden = parent.hidden if parent else False
-        words: set[str] = set()
+        names: list[str] = []
         if attributes and tag not in ("html", "body"):
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role"):
-                    words.update(_WORD_CUT.split(_CAMEL.sub("-", value).lower()))
+                    names.extend(value.split())
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or \
                         name == "style" and re.search(r"display\s*:\s*none", value):
                     self.hidden = True
-        good = tag in _IN_TAGS or bool(words & _IN_WORDS)
-        head = (tag == "header" or bool(words & _HEAD_WORDS)) and not self.inside and not good
-        bad = tag in _OUT_TAGS or head or bool(words & _OUT_WORDS)
-        if bad and not (good and tag in _IN_TAGS and not words & _OUT_WORDS):
-            self.out = 1
-        elif good:
-            self.inside = 1
+        tagged, bad, head = tag in _IN_TAGS, 0, _NAMED * (tag == "header")
+        good = tagged
+        for name in names:
+            words = [w for w in _WORD_CUT.split(_CAMEL.sub("-", name).lower()) if w]
+            for at, word in enumerate(words):
+                if word in _ABOUT:
+                    del words[at:]
+                    break
+            if not _OUT_WORDS.isdisjoint(words):
+                section = not _TALK_WORDS.isdisjoint(words)
+                bad = max(bad, _LOOSE + section + 2 * (len(words) == 1))
+            elif not _IN_WORDS.isdisjoint(words):
+                good = True
+            if not _HEAD_WORDS.isdisjoint(words):
+                head = max(head, _NAMED if len(words) == 1 else _LOOSE)
+        if tag in _OUT_TAGS:
+            bad = max(bad, _LOOSE if tag in ("form", "fieldset") else _SECTION)
+        if head and not good and not (self.mark and any(m.good and not m.bad for m in self.mark.chain())):
+            bad = max(bad, head)
+        if good or bad:
+            self.mark = _Mark(self.mark, good, tagged, bad)
+            marks.append(self.mark)
+
+
+def _resolve(marks: list[_Mark], paragraphs: list[tuple[_Mark | None, int]]) -> None:
+    """Sets ``out`` and ``inside`` of the marks (parents first) from the unlinked texts (in words)."""
+    content = [(m, n) for m, n in paragraphs if m and m.good and m.bad <= _LOOSE]
+    others = [(m, n) for m, n in paragraphs if not m or m.bad <= _PART]
+    kinds = [content] if content else [others, paragraphs]
+    base = next((x for kind in kinds if (x := [(m, n) for m, n in kind if n >= LONG])), content)
+    open_words = sum(n for m, n in others if not m or not any(x.against() for x in m.chain()))
+    total, free = sum(n for _, n in base), False
+    for mark, n in base:
+        against = False
+        for m in mark.chain() if mark else ():
+            m.held += n
+            against |= m.against()
+        free |= not against
+    for m in marks:
+        m.out, m.inside = (m.up.out, m.up.inside) if m.up else (0, 0)
+        most = 2 * m.held > total
+        neutral = not m.bad or m.bad == _LOOSE and (most or m.good and m.held > 0) or \
+            most and not free and 4 * open_words < m.held and (bool(content) or m.bad <= _NAMED)
+        if not neutral:
+            m.out = max(m.out, m.bad)
+        elif m.good:
+            m.inside = 1
+            if m.out == _LOOSE and m.held and content and (m.tagged or not free or 4 * m.held >= total):
+                m.out = 0
 
 
 class Block:
@@ -96,7 +173,7 @@ class Block:
         self.text, self.score, self.parent, self.out = text, score, parent, out
 
 
-def _score(text: str, linked: int, element: _Element, tags: set[str]) -> float:
+def _score(text: str, linked: int, tags: set[str]) -> float:
     words = text.count(" ") + 1
     score = W_BIAS + W_WORDS * min(words, 12) ** 0.5 + W_LINKS * min(1.0, linked / len(text))
     score += W_SENTENCE * (text[-1] in ".!?…\"'»”)")
@@ -106,14 +183,17 @@ def _score(text: str, linked: int, element: _Element, tags: set[str]) -> float:
         score += W_PARAGRAPH
     elif tags & {"li", "td", "th", "dt", "dd", "option"}:
         score += W_ITEM
-    return score + W_OUT * element.out + W_IN * (element.inside and not element.out)
+    return score
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in page order, scored."""
-    root = _Element("", "", None)
+    marks: list[_Mark] = []
+    root = _Element("", "", None, marks)
     stack, numbers, made = [root], [0], 1
     out: list[Block] = []
+    places: list[_Mark | None] = []
+    paragraphs: list[tuple[_Mark | None, int]] = []
     pieces: list[str] = []
     linked, in_link = 0, 0
 
@@ -129,7 +209,11 @@ def blocks(html: str) -> list[Block]:
                 tags = {e.tag for e in stack[max(1, at - 1):]}
                 parent = numbers[max(0, at - 1)] if stack[at].tag not in ("div", "section", "article", "main", "body", "") \
                     else numbers[at]
-                out.append(Block(text, _score(text, linked, stack[at], tags), parent, stack[at].out))
+                mark, words = stack[at].mark, text.count(" ") + 1
+                out.append(Block(text, _score(text, linked, tags), parent, 0))
+                places.append(mark)
+                if 2 * linked < len(text):
+                    paragraphs.append((mark, words))
             pieces.clear()
         linked = 0
 
@@ -180,10 +264,15 @@ def blocks(html: str) -> list[Block]:
                 if stack[at].tag not in _INLINE and not (until == "li" and stack[at].tag == "p"):
                     break
         if not attributes.endswith("/") or tag not in _INLINE:
-            stack.append(_Element(tag, attributes, stack[-1]))
+            stack.append(_Element(tag, attributes, stack[-1], marks))
             numbers.append(made)
             made += 1
     flush()
+    _resolve(marks, paragraphs)
+    for block, mark in zip(out, places, strict=True):
+        if mark:
+            block.out = int(mark.out > 0)
+            block.score += W_OUT * block.out + W_IN * (mark.inside and not mark.out)
     return out
 
 
