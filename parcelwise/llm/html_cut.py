@@ -14,8 +14,11 @@ paragraphs (those of article, main and content elements, if there are any), and
 below it count. An element that is named after its kind, as sidebar or comments, is neutral only
 if no such paragraph stands outside elements of this sort.
 
-Script, style and other raw elements have no text; character references are decoded; white
-space inside a block becomes one space; content blocks are joined by one space.
+Script and style have no text, up to their closing tag or the page's end. Media, template, iframe,
+svg, select and the like have none if they are closed; without a closing tag in the element
+around them, or closed in themselves (<svg/>), only the tag goes. The text of math stays. Character
+references are decoded; white space inside a block becomes one space; content blocks are joined
+by one space.
 
 Defined cases: null or empty html gives an empty text; open or wrongly nested elements are
 closed where the next block begins; a page without any positive block gives an empty text;
@@ -25,7 +28,7 @@ rows that repeat a page_id are pages of their own; every page is read whole.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,12 +42,22 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_RAW = {"script", "style", "template", "iframe", "object", "svg", "math", "noembed", "noframes",
-        "textarea", "title", "canvas", "audio", "video", "noscript", "select"}
+#: Elements whose text is no page text: up to the closing tag or else the page's end, or only if closed.
+_RAW = {"script", "style"}
+_UNSEEN = {"template", "iframe", "object", "svg", "noembed", "noframes", "textarea", "title", "canvas", "audio",
+           "video", "noscript", "select"}
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in _RAW}
+_PLAIN_END = re.compile(r"[^<]*+</([a-zA-Z]+)\s*>")
+#: Elements that an open one of these does not outlast.
+_HOLDERS = {"div", "section", "article", "main", "td", "body"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font",
            "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
-           "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+           "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+           "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror",
+           "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover",
+           "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mlabeledtr", "mtd", "maction", "semantics",
+           "annotation", "annotation-xml"}
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
            "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p",
            "pre", "section", "table", "ul"}
@@ -186,6 +199,42 @@ def _score(text: str, linked: int, tags: set[str]) -> float:
     return score
 
 
+def _tag_of(found: re.Match) -> tuple[str, bool, str]:
+    """Lower-case name ("" for text, comments and declarations), whether it closes, attributes."""
+    if found[2]:
+        return found[2].lower(), found[1] == "/", found[3]
+    return (found[5] or "").lower(), found[4] == "/", found[6] or ""
+
+
+def _unseen_ends(html: str) -> dict[int, int]:
+    """Where each closed element without page text ends, by the place of its opening tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    position, size = 0, len(html)
+    while position < size:
+        found = _TOKEN.match(html, position)
+        position = found.end()
+        tag, closing, attributes = _tag_of(found)
+        if tag in _RAW and not closing:
+            end = _RAW_END[tag].search(html, position)
+            position = end.end() if end else size
+        elif tag in _UNSEEN or tag in _HOLDERS:
+            if not closing:
+                if tag in _HOLDERS or not attributes.rstrip().endswith("/"):
+                    stack.append((tag, found.start()))
+                    opened[tag] += 1
+                continue
+            while opened[tag]:
+                name, start = stack.pop()
+                opened[name] -= 1
+                if name == tag:
+                    if tag in _UNSEEN:
+                        ends[start] = position
+                    break
+    return ends
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in page order, scored."""
     marks: list[_Mark] = []
@@ -217,6 +266,7 @@ def blocks(html: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
+    unseen: dict[int, int] | None = None
     position, size = 0, len(html)
     while position < size:
         found = _TOKEN.match(html, position)
@@ -227,18 +277,24 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 linked += len(text)
             continue
-        tag = found[2] or found[5]
-        if tag is None:
+        tag, closing, attributes = _tag_of(found)
+        if not tag:
             continue
-        tag = tag.lower()
-        closing = (found[1] if found[2] else found[4]) == "/"
-        attributes = found[3] if found[2] else found[6]
         if not closing and tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, position)
-            if tag not in ("noscript", "select", "title", "textarea") or end:
-                position = end.end() if end else size
-            if tag not in ("svg", "math"):
+            end = _RAW_END[tag].search(html, position)
+            position = end.end() if end else size
+            flush()
+            continue
+        if not closing and tag in _UNSEEN:
+            if tag != "svg":
                 flush()
+            if not attributes.rstrip().endswith("/"):
+                end = _PLAIN_END.match(html, position)
+                if end and end[1].lower() == tag:
+                    position = end.end()
+                else:
+                    unseen = _unseen_ends(html) if unseen is None else unseen
+                    position = unseen.get(found.start(), position)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
