@@ -116,7 +116,64 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM f"""
 
+def _tree_sql(name: str, height: int) -> str:
+    """CTEs of ``height`` tree levels over ``{name}_0`` (grp, pos, n, hash) and of each leaf's
+    ``{name}_path`` (folded, proof) over ``{name}_leaf`` (grp, pos, n, shown, ...)."""
+    out = []
+    for k in range(1, height + 1):
+        out.append(f"""{name}_kids_{k} AS (SELECT grp, pos // 8 AS pos, any_value(n) AS n, list(hash ORDER BY pos) AS kids
+            FROM {name}_{k - 1} GROUP BY grp, pos // 8),
+{name}_{k} AS (SELECT grp, pos, (n + 7) // 8 AS n,
+            CASE WHEN n = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS hash FROM {name}_kids_{k})""")
+    out.append(f"{name}_fold_0 AS (SELECT *, pos AS at, shown AS folded, '' AS proof FROM {name}_leaf)")
+    for k in range(1, height + 1):
+        left, right = "array_to_string(k.kids[1:f.at % 8], '')", "array_to_string(k.kids[f.at % 8 + 2:], '')"
+        out.append(f"""{name}_fold_{k} AS (SELECT f.* EXCLUDE (at, folded, proof), f.at // 8 AS at,
+            CASE WHEN k.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded,
+            CASE WHEN k.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof
+            FROM {name}_fold_{k - 1} f JOIN {name}_kids_{k} k ON f.grp = k.grp AND f.at // 8 = k.pos)""")
+    return ",\n".join(out)
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"({_field(c)})" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: crc32, bit by bit, of the ASCII text of an integer.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split({0}::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                               lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+#: Trees of up to 8^8 documents of one language and 8^3 languages.
+MANIFEST = f"""
+WITH d AS (SELECT *, {_CRC32.format("doc_id")} % 3 = 0 AS hit FROM documents),
+h AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, {_leaf_sql("text")} AS leaf,
+      CASE WHEN hit THEN {_leaf_sql(ASCII_LOWER.format("text"))} ELSE {_leaf_sql("text")} END AS shown FROM d),
+doc_leaf AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos,
+             count(*) OVER (PARTITION BY grp) AS n FROM h),
+doc_0 AS (SELECT grp, pos, n, leaf AS hash FROM doc_leaf),
+{_tree_sql("doc", 8)},
+lang_leaf AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, hash AS shown,
+              grp AS lang_key FROM doc_8),
+lang_0 AS (SELECT grp, pos, n, shown AS hash FROM lang_leaf),
+{_tree_sql("lang", 3)},
+folded AS (SELECT d.doc_id, d.leaf, u.shown AS subroot, (SELECT hash FROM lang_3) AS root, d.proof || u.proof AS proof,
+           d.folded, u.pos, u.n FROM doc_fold_8 d JOIN lang_fold_3 u ON d.grp = u.lang_key),
+lang_step AS (SELECT f.*, f.pos AS at_0, f.folded AS up_0 FROM folded f),
+up_1 AS (SELECT f.*, CASE WHEN k.n = 1 THEN up_0 ELSE sha256(array_to_string(k.kids[1:at_0 % 8], '') || up_0
+         || array_to_string(k.kids[at_0 % 8 + 2:], '')) END AS up_1 FROM lang_step f JOIN lang_kids_1 k ON f.at_0 // 8 = k.pos),
+up_2 AS (SELECT f.*, CASE WHEN k.n = 1 THEN up_1 ELSE sha256(array_to_string(k.kids[1:at_0 // 8 % 8], '') || up_1
+         || array_to_string(k.kids[at_0 // 8 % 8 + 2:], '')) END AS up_2 FROM up_1 f JOIN lang_kids_2 k ON f.at_0 // 64 = k.pos),
+up_3 AS (SELECT f.*, CASE WHEN k.n = 1 THEN up_2 ELSE sha256(array_to_string(k.kids[1:at_0 // 64 % 8], '') || up_2
+         || array_to_string(k.kids[at_0 // 64 % 8 + 2:], '')) END AS up_3 FROM up_2 f JOIN lang_kids_3 k ON f.at_0 // 512 = k.pos)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up_3 AS folded_root, up_3 = root AS verified FROM up_3"""
+
 ORACLE: dict[str, str] = {
     "op2_line_quality": QUALITY, "op4_source_mix": MIX, "op5_chosen_path": NEAR, "op7_site_lines": SITE_LINES,
     "op8_chat_format": CHAT, "op10_capture_index": WARC,
+    "op13_interval_manifest": MANIFEST,
 }

@@ -9,6 +9,7 @@ from parcelwise.llm import (
     chat,
     html_cut,
     line_quality,
+    merkle,
     mixing,
     neardup,
     packing,
@@ -69,6 +70,11 @@ def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op6_min_cut,
-    op7_site_lines, op8_chat_format, op9_spot_signatures, op10_capture_index)}
+    op7_site_lines, op8_chat_format, op9_spot_signatures, op10_capture_index,
+    op13_interval_manifest)}
