@@ -121,17 +121,17 @@ def _tree_sql(name: str, height: int) -> str:
     ``{name}_path`` (folded, proof) over ``{name}_leaf`` (grp, pos, n, shown, ...)."""
     out = []
     for k in range(1, height + 1):
-        out.append(f"""{name}_kids_{k} AS (SELECT grp, pos // 8 AS pos, any_value(n) AS n, list(hash ORDER BY pos) AS kids
+        out.append(f"""{name}_kids_{k} AS MATERIALIZED (SELECT grp, pos // 8 AS pos, any_value(n) AS n, list(hash ORDER BY pos) AS kids
             FROM {name}_{k - 1} GROUP BY grp, pos // 8),
-{name}_{k} AS (SELECT grp, pos, (n + 7) // 8 AS n,
+{name}_{k} AS MATERIALIZED (SELECT grp, pos, (n + 7) // 8 AS n,
             CASE WHEN n = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS hash FROM {name}_kids_{k})""")
-    out.append(f"{name}_fold_0 AS (SELECT *, pos AS at, shown AS folded, '' AS proof FROM {name}_leaf)")
+    out.append(f"{name}_fold_0 AS (SELECT *, pos AS place, shown AS folded, '' AS proof FROM {name}_leaf)")
     for k in range(1, height + 1):
-        left, right = "array_to_string(k.kids[1:f.at % 8], '')", "array_to_string(k.kids[f.at % 8 + 2:], '')"
-        out.append(f"""{name}_fold_{k} AS (SELECT f.* EXCLUDE (at, folded, proof), f.at // 8 AS at,
+        left, right = "array_to_string(k.kids[1:f.place % 8], '')", "array_to_string(k.kids[f.place % 8 + 2:], '')"
+        out.append(f"""{name}_fold_{k} AS MATERIALIZED (SELECT f.* EXCLUDE (place, folded, proof), f.place // 8 AS place,
             CASE WHEN k.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded,
             CASE WHEN k.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof
-            FROM {name}_fold_{k - 1} f JOIN {name}_kids_{k} k ON f.grp = k.grp AND f.at // 8 = k.pos)""")
+            FROM {name}_fold_{k - 1} f JOIN {name}_kids_{k} k ON f.grp = k.grp AND f.place // 8 = k.pos)""")
     return ",\n".join(out)
 
 
@@ -153,11 +153,11 @@ MANIFEST = f"""
 WITH d AS (SELECT *, {_CRC32.format("doc_id")} % 3 = 0 AS hit FROM documents),
 h AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, {_leaf_sql("text")} AS leaf,
       CASE WHEN hit THEN {_leaf_sql(ASCII_LOWER.format("text"))} ELSE {_leaf_sql("text")} END AS shown FROM d),
-doc_leaf AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos,
+doc_leaf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos,
              count(*) OVER (PARTITION BY grp) AS n FROM h),
 doc_0 AS (SELECT grp, pos, n, leaf AS hash FROM doc_leaf),
 {_tree_sql("doc", 8)},
-lang_leaf AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, hash AS shown,
+lang_leaf AS MATERIALIZED (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, hash AS shown,
               grp AS lang_key FROM doc_8),
 lang_0 AS (SELECT grp, pos, n, shown AS hash FROM lang_leaf),
 {_tree_sql("lang", 3)},
