@@ -172,8 +172,24 @@ up_3 AS (SELECT f.*, CASE WHEN k.n = 1 THEN up_2 ELSE sha256(array_to_string(k.k
          || array_to_string(k.kids[at_0 // 64 % 8 + 2:], '')) END AS up_3 FROM up_2 f JOIN lang_kids_3 k ON f.at_0 // 512 = k.pos)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up_3 AS folded_root, up_3 = root AS verified FROM up_3"""
 
+_TERMS = (r"regexp_extract_all(" + ASCII_LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+SEARCH = f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+      FROM p CROSS JOIN c GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, p.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT
+      AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d ON d.doc_id = p.doc_id CROSS JOIN c
+      GROUP BY item_id, p.doc_id),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
 ORACLE: dict[str, str] = {
     "op2_line_quality": QUALITY, "op4_source_mix": MIX, "op5_chosen_path": NEAR, "op7_site_lines": SITE_LINES,
     "op8_chat_format": CHAT, "op10_capture_index": WARC,
-    "op13_interval_manifest": MANIFEST,
+    "op12_block_max_search": SEARCH, "op13_interval_manifest": MANIFEST,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelwise.llm import (
     chat,
     html_cut,
+    lexical,
     line_quality,
     merkle,
     mixing,
@@ -70,6 +71,10 @@ def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
@@ -77,4 +82,4 @@ def op13_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op6_min_cut,
     op7_site_lines, op8_chat_format, op9_spot_signatures, op10_capture_index,
-    op13_interval_manifest)}
+    op12_block_max_search, op13_interval_manifest)}

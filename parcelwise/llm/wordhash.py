@@ -72,13 +72,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte bounds of all words, and the first word of each text."""
+def word_bounds(raw: np.ndarray, offsets: np.ndarray,
+                separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte bounds of all words, and the first word of each text.
+    ``separators`` says for each byte whether it stands outside words."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SEP[raw]
+    inside = ~separators[raw]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
