@@ -36,7 +36,6 @@ from parcelwise.llm.common import columns_of
 from parcelwise.sources.scratch import Scratch
 
 SHARD_BYTES = 16_000_000
-PIECE_BYTES = 2_000_000
 BLOCK = 64
 TOP = 50
 #: Terms of the queries that are held at a time; a block has at least one query.
@@ -78,24 +77,7 @@ def decode(raw: np.ndarray) -> np.ndarray:
 
 # ---- building -------------------------------------------------------------------------------
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about PIECE_BYTES that cut no term: they end at a text or a separator."""
-    start, n = 0, len(raw)
-    while start < n:
-        stop = min(n, start + PIECE_BYTES)
-        after = int(offsets[np.searchsorted(offsets, stop)]) if stop < n else n
-        at = stop
-        while at < after:
-            found = np.flatnonzero(_NO_TERM[raw[at:min(after, at + 4096)]])
-            if len(found):
-                at += int(found[0])
-                break
-            at = min(after, at + 4096)
-        yield start, min(at, after)
-        start = min(at, after)
-
-
-def _summed(term: np.ndarray, doc: np.ndarray, count: np.ndarray):
+def summed(term: np.ndarray, doc: np.ndarray, count: np.ndarray):
     """Rows ordered by (term, doc), the counts of equal pairs added."""
     order = np.lexsort((doc, term))
     term, doc, count = term[order], doc[order], count[order]
@@ -107,7 +89,7 @@ def _summed(term: np.ndarray, doc: np.ndarray, count: np.ndarray):
 
 def scan_terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(term, text number, count) of the texts, piece by piece."""
-    for a, b in _pieces(raw, offsets):
+    for a, b in wh.pieces(raw, offsets, _NO_TERM):
         inner = offsets[np.searchsorted(offsets, a, side="right"):np.searchsorted(offsets, b)]
         cuts = np.concatenate([[a], inner, [b]]) - a
         part = raw[a:b]
@@ -115,7 +97,7 @@ def scan_terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         if len(start):
             doc = np.searchsorted(offsets, start + a, side="right") - 1
             hashes = wh.word_hashes(part, start, end, lower=True)
-            yield _summed(hashes, doc, np.ones(len(doc), dtype=np.int64))
+            yield summed(hashes, doc, np.ones(len(doc), dtype=np.int64))
 
 
 class _Shard:
@@ -141,7 +123,7 @@ class _Shard:
         order = order[length[order] > 0]
         place = np.zeros(self.docs, dtype=np.int64)
         place[order] = np.arange(len(order))
-        term, at, tf = _summed(term, place[doc], count)
+        term, at, tf = summed(term, place[doc], count)
         heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else empty
         df = np.diff(np.append(heads, len(term)))
         inside = np.arange(len(term)) - np.repeat(heads, df)

@@ -14,6 +14,7 @@ from parcelwise.llm import (
     mixing,
     neardup,
     packing,
+    rule_ensemble,
     site_lines,
     spotsigs,
     token_scan,
@@ -71,6 +72,10 @@ def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -82,4 +87,4 @@ def op13_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pattern_packing, op2_line_quality, op3_separator_scan, op4_source_mix, op5_chosen_path, op6_min_cut,
     op7_site_lines, op8_chat_format, op9_spot_signatures, op10_capture_index,
-    op12_block_max_search, op13_interval_manifest)}
+    op11_rule_ensemble, op12_block_max_search, op13_interval_manifest)}

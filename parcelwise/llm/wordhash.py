@@ -72,6 +72,24 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
+def pieces(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP,
+           limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit`` that cut no word: they end at a text's end or a separator."""
+    start, n = 0, len(raw)
+    while start < n:
+        stop = min(n, start + limit)
+        after = int(offsets[np.searchsorted(offsets, stop)]) if stop < n else n
+        at = stop
+        while at < after:
+            found = np.flatnonzero(separators[raw[at:min(after, at + 4096)]])
+            if len(found):
+                at += int(found[0])
+                break
+            at = min(after, at + 4096)
+        start, last = at, start
+        yield last, at
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray,
                 separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte bounds of all words, and the first word of each text.
