@@ -114,9 +114,7 @@ class _Shard:
         self.bytes += len(raw) + 16 * len(ids)
 
     def batch(self, number: int) -> pa.RecordBatch:
-        empty = np.zeros(0, np.int64)
-        joined = [np.concatenate(x) for x in zip(*self.parts)] if self.parts else [empty.astype(np.uint64), empty, empty]
-        term, doc, count = joined
+        term, doc, count = (np.concatenate(x) for x in zip(*self.parts))
         length = np.zeros(self.docs, dtype=np.int64)
         np.add.at(length, doc, count)
         order = np.argsort(length, kind="stable")
@@ -124,7 +122,7 @@ class _Shard:
         place = np.zeros(self.docs, dtype=np.int64)
         place[order] = np.arange(len(order))
         term, at, tf = summed(term, place[doc], count)
-        heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else empty
+        heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         df = np.diff(np.append(heads, len(term)))
         inside = np.arange(len(term)) - np.repeat(heads, df)
         block = np.flatnonzero(inside % BLOCK == 0)
@@ -135,12 +133,12 @@ class _Shard:
         pairs[0::2], pairs[1::2] = delta, tf - 1
         data, starts = encode(pairs)
         lists = {
-            "doc_ids": pa.concat_arrays(self.ids).take(pa.array(order)) if self.ids else pa.array([], pa.int64()),
+            "doc_ids": pa.concat_arrays(self.ids).take(pa.array(order)),
             "lengths": pa.array(length[order]), "terms": pa.array(term[heads].view(np.int64)),
             "df": pa.array(df.astype(np.int32)),
             "first_block": pa.array(np.searchsorted(block, heads).astype(np.int32)),
             "block_first": pa.array(at[block].astype(np.int32)), "block_last": pa.array(at[block_end].astype(np.int32)),
-            "block_tf": pa.array((np.maximum.reduceat(tf, block) if len(block) else tf).astype(np.int32)),
+            "block_tf": pa.array(np.maximum.reduceat(tf, block).astype(np.int32)),
             "block_at": pa.array(starts[2 * block].astype(np.int32)),
         }
         columns = [pa.array([number]), pa.array([len(order)]), pa.array([int(length.sum())])]
@@ -158,10 +156,10 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             raw, offsets = wh.text_buffers(batch.column(1))
             for a, b in wh.slices(offsets, shard_bytes):
                 shard.add(batch.column(0)[a:b], raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                if shard.bytes >= shard_bytes:
+                if shard.parts and shard.bytes >= shard_bytes:
                     yield shard.batch(number)
                     number, shard = number + 1, _Shard()
-        if shard.docs:
+        if shard.parts:  # texts without a term are in no shard
             yield shard.batch(number)
     return columns_of(docs, "doc_id", "text").mapInArrow(run, INDEX)
 
@@ -190,12 +188,10 @@ class _Lists:
         self.at = np.append(row["block_at"], len(self.data))
         first = np.append(row["first_block"], len(row["block_at"]))
         terms = row["terms"].view(np.uint64)
-        found = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
-        self.here = (terms[found] == asked) if len(terms) else np.zeros(len(asked), bool)
-        self.lo = np.where(self.here, first[found], 0) if len(terms) else np.zeros(len(asked), int)
-        self.hi = np.where(self.here, first[found + 1], 0) if len(terms) else np.zeros(len(asked), int)
-        self.df = np.where(self.here, row["df"][found], 0) if len(terms) else np.zeros(len(asked), int)
-        self.weights, self.found = weights, found
+        found = np.minimum(np.searchsorted(terms, asked), len(terms) - 1)
+        self.here = terms[found] == asked
+        self.lo, self.hi, self.df = (np.where(self.here, x, 0) for x in (first[found], first[found + 1], row["df"][found]))
+        self.weights = weights
         top = _impact(row["block_tf"].astype(np.int64), row["lengths"][row["block_first"]], *self.stats)
         self.top = top
         self.bound = np.zeros(len(asked), dtype=np.int64)
@@ -345,8 +341,6 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
         best = [_Best(top) for _ in queries]
         for batch in batches:
             for row in _shard_rows(batch):
-                if not len(row["lengths"]):
-                    continue
                 lists = _Lists(row, asked, weights, *stats)
                 for (_, wanted), found in zip(queries, best):
                     places, score = best_in_shard(lists, wanted, found.least, top)
