@@ -3,16 +3,17 @@
 * :func:`feature_stages` -- scale 7 numbers (mean 0, sd 1) and one-hot 5 categories
   (all seen levels kept, unseen or NULL levels -> all zeros).
 * :func:`make_classifier` -- logistic regression (L2, C = 1, balanced weights), a depth-6
-  tree, a 300-tree depth-12 forest (both balanced), and gradient boosting (100 rounds of
-  depth-3 trees, step 0.1). KNN (k = 25) is the exact blocked scorer in ``knn``.
+  tree, a 300-tree depth-12 forest (both balanced). Gradient boosting (100 rounds of depth-3
+  trees, step 0.1, Newton leaves) is in ``boosting``, KNN (k = 25) is the exact blocked scorer
+  in ``knn``.
 * :func:`train_models` -- stratified hold-out, fit all five, one metrics row per model.
 * :func:`oof_scores` -- out-of-fold risk for every order (fit on four folds, score the
   fifth), mapped to the 300-900 score.
 * :func:`importances`, :func:`batch_score`, :func:`cv_auc`, :func:`class_weights`.
 
 The design frame is persisted once per call chain and unpersisted once the predictions
-are written as tables; long boosting runs cut lineage every 10 rounds through the
-session's checkpoint folder; independent fits run concurrently (``parallel_fits``).
+are written as tables; all boosted models (folds, hold-out) grow in the same scans; other
+independent fits run concurrently (``parallel_fits``).
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import score_from_risk
 from parcelwise.operators import metrics as M
+from parcelwise.operators.boosting import Booster, fit_boosters
 from parcelwise.operators.parallel_fits import run_concurrently
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.windows import join_null_safe, split_and_folds
@@ -96,9 +97,6 @@ def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=300, maxDepth=12, weightCol=weight_col, seed=seed,
                                       featureSubsetStrategy="sqrt", **common)
-    if name == "Gradient Boosting":
-        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed,
-                             checkpointInterval=10, **common)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -106,8 +104,10 @@ def _risk(pred: DataFrame) -> DataFrame:
     return pred.withColumn("Risk", vector_to_array("probability")[1])
 
 
-def predict(model: PipelineModel, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
-    """id, label, Risk and prediction of design rows by a fitted pipeline."""
+def predict(model: PipelineModel | Booster, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
+    """id, label, Risk and prediction of design rows by a fitted model."""
+    if isinstance(model, Booster):
+        return model.predict(rows, [id_col, label])
     return _risk(model.transform(rows)).select(id_col, label, "Risk", "prediction")
 
 
@@ -131,11 +131,12 @@ def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: i
             outs.append(te.join(sc, id_col).select(id_col, label, F.col("prob").alias("Risk"),
                                                   F.col("pred").cast("double").alias("prediction")))
         return feat, outs
+    if name == "Gradient Boosting":
+        (model,), _ = fit_boosters(train, [F.lit(True)], NUM_FEATS, CAT_FEATS, label, [id_col])
+        return model, [predict(model, t, label, id_col) for t in tests]
     n_rows = train.count() if name == "Logistic Regression" else None
     clf = make_classifier(name, seed, n_rows, label=label)
-    stages = feature_stages() + [clf]
-    tr = with_weights(train, label) if name != "Gradient Boosting" else train
-    model = Pipeline(stages=stages).fit(tr)
+    model = Pipeline(stages=feature_stages() + [clf]).fit(with_weights(train, label))
     outs = [predict(model, t, label, id_col) for t in tests]
     return model, outs
 
@@ -153,15 +154,18 @@ def _metrics_row(name: str, pred_test: DataFrame, pred_train: DataFrame, label:
                      F.round(mean_p, 6).alias("mean_predicted"))
 
 
-def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int = 42,
-                 test_share: float = 0.25) -> DataFrame:
-    """One metrics row per model on a stratified hold-out of ``cod``."""
+def train_models(cod: DataFrame, models: Sequence[str] = MODEL_NAMES, seed: int = 42, test_share: float = 0.25,
+                 fitted: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """One metrics row per model on a stratified hold-out of ``cod``. ``fitted`` has (test,
+    training) predictions of models that were fitted on the same split before."""
     d = split_and_folds(design(cod), "RTO", "OrderID", seed=seed, test_share=test_share)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
     spark = cod.sparkSession
 
     def fit_one(name):
+        if fitted and name in fitted:
+            return name, *fitted[name]
         _, (pt, ptr) = fit_predict(train, [test, train], name, seed)
         # predictions are written once to the shared folder; every metric reads that
         # table instead of re-running the model (KNN scoring, 300 trees) per metric
@@ -189,11 +193,31 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     return m
 
 
+def boosted(d: DataFrame, n_folds: int = 5, label: str = "RTO", id_col: str = "OrderID") -> tuple[Booster, DataFrame]:
+    """Of ``split_and_folds`` rows, in one pass: the booster of the training rows, and a table of
+    every row's ``Risk`` by it and ``FoldRisk`` by the booster of the other folds."""
+    members = [F.col("fold") != k for k in range(n_folds)] + [F.col("is_test") == 0]
+    fitted, out = fit_boosters(d, members, NUM_FEATS, CAT_FEATS, label, [id_col, label, "fold", "is_test"])
+    risks = F.col("risks")
+    return fitted[n_folds], out.select(id_col, label, "fold", "is_test", risks[n_folds].alias("Risk"),
+                                       F.element_at(risks, F.col("fold") + 1).alias("FoldRisk"))
+
+
+def out_of_fold(rows: DataFrame) -> DataFrame:
+    return rows.select("OrderID", "RTO", "fold", F.col("FoldRisk").alias("Risk"),
+                       score_from_risk("FoldRisk").alias("Score"))
+
+
 def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds: int = 5) -> DataFrame:
     """Out-of-fold Risk and Score for every order: fold k is scored by a model fitted on
     the other folds, so no order is scored by a model that saw it."""
     d = split_and_folds(design(cod), "RTO", "OrderID", seed=seed, n_folds=n_folds)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    if name == SCORE_MODEL:
+        _, rows = boosted(d, n_folds)
+        d.unpersist()  # the boosters' rows are a table
+        return out_of_fold(rows)
+
     def fold(k):
         _, (p,) = fit_predict(d.where(F.col("fold") != k), [d.where(F.col("fold") == k)], name, seed)
         p = materialize(d.sparkSession, p, f"oof_{k}")
@@ -204,19 +228,21 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("OrderID", "RTO", "fold", "Risk", score_from_risk("Risk").alias("Score"))
+    return out_of_fold(out.withColumnRenamed("Risk", "FoldRisk"))
 
 
 def importances(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, top: int = 12,
-                model: PipelineModel | None = None) -> DataFrame:
+                model: PipelineModel | Booster | None = None) -> DataFrame:
     """(feature, importance) of the fitted tree ensemble, expanded one-hot names."""
     d = design(cod)
     model = model or fit_predict(d, [], name, seed)[0]
-    clf = model.stages[-1]
-    names = _feature_names(model.transform(d.limit(1)).schema["features"].metadata)
-    imp = clf.featureImportances.toArray().tolist()
     spark = cod.sparkSession
-    rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
+    if isinstance(model, Booster):
+        rows = model.importances()
+    else:
+        names = _feature_names(model.transform(d.limit(1)).schema["features"].metadata)
+        imp = model.stages[-1].featureImportances.toArray().tolist()
+        rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -231,14 +257,18 @@ def _feature_names(meta: dict) -> dict[int, str]:
 
 def batch_score(cod: DataFrame, new_orders: DataFrame, name: str = SCORE_MODEL, seed: int = 42,
                 model_path: str | None = None, low: int = 580, high: int = 720,
-                model: PipelineModel | None = None) -> DataFrame:
-    """Fit once on ``cod`` (unless a fitted ``model`` is given), save the pipeline to the shared
+                model: PipelineModel | Booster | None = None) -> DataFrame:
+    """Fit once on ``cod`` (unless a fitted ``model`` is given), save the model to the shared
     folder, load it back and score ``new_orders``. Columns they lack are filled: hour 20,
     1 item, the most common state."""
     model = model or fit_predict(design(cod), [], name, seed)[0]
     path = model_path or Scratch(cod.sparkSession, "model").path(name.replace(" ", "_").lower())
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+    if isinstance(model, Booster):
+        model.save(cod.sparkSession, path)
+        loaded = Booster.load(cod.sparkSession, path)
+    else:
+        model.write().overwrite().save(path)
+        loaded = PipelineModel.load(path)
     mode_state = (cod.groupBy("State").agg(F.count(F.lit(1)).alias("n"))
                      .agg(F.min_by("State", F.struct(-F.col("n"), F.col("State")))).scalar())
     filled = new_orders
@@ -252,7 +282,7 @@ def batch_score(cod: DataFrame, new_orders: DataFrame, name: str = SCORE_MODEL,
         filled = filled.withColumn("FirstTime", (F.col("PriorOrders") == 0).cast("int"))
     if "RTO" not in filled.columns:
         filled = filled.withColumn("RTO", F.lit(0))
-    scored = _risk(loaded.transform(design(filled)))
+    scored = predict(loaded, design(filled))
     score = score_from_risk("Risk")
     tier = (F.when(score >= high, F.lit("Free COD")).when(score < low, F.lit("Prepaid-only"))
             .otherwise(F.lit("COD + fee")))

@@ -739,14 +739,31 @@ def q_class_weights(spark, sf):
     return ML.class_weights(data.cod(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
-def _holdout(spark, sf):
-    d = frame(spark, sf, "design", lambda: W.split_and_folds(
+def _design(spark, sf):
+    return frame(spark, sf, "design", lambda: W.split_and_folds(
         ML.design(data.cod(spark, sf)), "RTO", "OrderID", seed=42))
+
+
+def _holdout(spark, sf):
+    d = _design(spark, sf)
     return d.where("is_test = 0"), d.where("is_test = 1")
 
 
+def _boosted(spark, sf):
+    """(booster of the training rows, every row's risk by it and by its fold's), fitted once."""
+    return _once(spark, sf, "boosted", lambda: ML.boosted(_design(spark, sf)))
+
+
+def _boosted_predictions(spark, sf, is_test):
+    rows = _boosted(spark, sf)[1].where(F.col("is_test") == is_test)
+    return rows.select("OrderID", "RTO", "Risk", (F.col("Risk") >= 0.5).cast("double").alias("prediction"))
+
+
 def _fitted(spark, sf, name):
     """(model, hold-out predictions) of one fit on the training rows, shared by all queries."""
+    if name == ML.SCORE_MODEL:
+        return _boosted(spark, sf)[0], _boosted_predictions(spark, sf, 1)
+
     def make():
         train, test = _holdout(spark, sf)
         model, (p,) = ML.fit_predict(train, [test], name)
@@ -768,7 +785,9 @@ for _key, _name in [("model_logreg", "Logistic Regression"), ("model_knn", "KNN"
 
 
 def _train_models(spark, sf):
-    return frame(spark, sf, "train_models", lambda: ML.train_models(data.cod(spark, sf)))
+    return frame(spark, sf, "train_models", lambda: ML.train_models(
+        data.cod(spark, sf),
+        fitted={ML.SCORE_MODEL: tuple(_boosted_predictions(spark, sf, t) for t in (1, 0))}))
 
 
 @query("train_models")
@@ -821,7 +840,7 @@ def q_predict_rows(spark, sf):
 
 
 def _oof(spark, sf):
-    return frame(spark, sf, "oof_scores", lambda: ML.oof_scores(data.cod(spark, sf)))
+    return ML.out_of_fold(_boosted(spark, sf)[1])
 
 
 @query("oof_scores")
