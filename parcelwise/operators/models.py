@@ -2,8 +2,8 @@
 
 * :func:`feature_stages` -- scale 7 numbers (mean 0, sd 1) and one-hot 5 categories
   (all seen levels kept, unseen or NULL levels -> all zeros).
-* :func:`make_classifier` -- logistic regression (L2, C = 1, balanced weights), a depth-6
-  tree, a 300-tree depth-12 forest (both balanced). Gradient boosting (100 rounds of depth-3
+* :func:`make_classifier` -- logistic regression (L2, C = 1, balanced weights) and a 300-tree
+  depth-12 forest (balanced). The depth-6 tree (balanced) is in ``exact_tree``. Gradient boosting (100 rounds of depth-3
   trees, step 0.1, Newton leaves) is in ``boosting``, KNN (k = 25) is the exact blocked scorer
   in ``knn``.
 * :func:`train_models` -- stratified hold-out, fit all five, one metrics row per model.
@@ -22,13 +22,14 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import score_from_risk
+from parcelwise.operators import exact_tree as T
 from parcelwise.operators import metrics as M
 from parcelwise.operators.boosting import Booster, fit_boosters
 from parcelwise.operators.parallel_fits import run_concurrently
@@ -92,8 +93,6 @@ def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight
         reg = 1.0 / max(n_rows or 1, 1)
         return LogisticRegression(maxIter=3000, regParam=reg, elasticNetParam=0.0,
                                   standardization=False, weightCol=weight_col, tol=1e-4, **common)
-    if name == "Decision Tree":
-        return DecisionTreeClassifier(maxDepth=6, weightCol=weight_col, seed=seed, **common)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=300, maxDepth=12, weightCol=weight_col, seed=seed,
                                       featureSubsetStrategy="sqrt", **common)
@@ -104,10 +103,13 @@ def _risk(pred: DataFrame) -> DataFrame:
     return pred.withColumn("Risk", vector_to_array("probability")[1])
 
 
-def predict(model: PipelineModel | Booster, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
+def predict(model: PipelineModel | Booster | T.Tree, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
     """id, label, Risk and prediction of design rows by a fitted model."""
     if isinstance(model, Booster):
         return model.predict(rows, [id_col, label])
+    if isinstance(model, T.Tree):
+        scored = rows.select(id_col, label, T.risk(model).alias("Risk"))
+        return scored.withColumn("prediction", (F.col("Risk") > 0.5).cast("double"))
     return _risk(model.transform(rows)).select(id_col, label, "Risk", "prediction")
 
 
@@ -134,6 +136,9 @@ def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: i
     if name == "Gradient Boosting":
         (model,), _ = fit_boosters(train, [F.lit(True)], NUM_FEATS, CAT_FEATS, label, [id_col])
         return model, [predict(model, t, label, id_col) for t in tests]
+    if name == "Decision Tree":
+        model = T.grow(train, NUM_FEATS, CAT_FEATS, label)
+        return model, [predict(model, t, label, id_col) for t in tests]
     n_rows = train.count() if name == "Logistic Regression" else None
     clf = make_classifier(name, seed, n_rows, label=label)
     model = Pipeline(stages=feature_stages() + [clf]).fit(with_weights(train, label))

@@ -332,6 +332,63 @@ SELECT OrderID, split_rank, CASE WHEN split_rank <= ceil(n * 0.25) THEN 1 ELSE 0
     "cod_clean"))
 sql("win_stratified_folds", with_ctes_extra(_SPLIT.format(src="cod"), """
 SELECT OrderID, RTO, CAST(split_rank % 5 AS INTEGER) AS fold FROM split""", "cod"))
+
+
+def tree_sql(rows: str, num: list[str], cat: list[str], a: str, b: str, measure: str, depth: int = 6) -> str:
+    """CTEs ``t0 .. t<depth>``: the rows of ``rows`` (with is_test) and the tree node (from 1,
+    children 2n and 2n + 1) that each has reached after that many levels; ``a`` and ``b`` are what
+    is summed over the training rows."""
+    n = len(num)
+    xs = ", ".join(f"x{i}" for i in range(n))
+    ss = ", ".join(f"s{i}" for i in range(len(cat)))
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM {rows} WHERE is_test = 0), 0) AS x{i}"
+                       for i, c in enumerate(num))
+    if measure == "gini":
+        w = [f"(SELECT count(*) / (2.0::DOUBLE * count(*) FILTER ({c} = 1)) FROM t0 WHERE is_test = 0)" for c in (a, b)]
+        x, y = f"({{0}}a::DOUBLE * {w[0]})", f"({{0}}b::DOUBLE * {w[1]})"
+        one = f"(({x} * {x} + {y} * {y}) / ({x} + {y}))"
+        valid = "ta > 0 AND tb > 0 AND la + lb > 0 AND ta - la + tb - lb > 0"
+    else:
+        one, valid = "({0}b::DOUBLE * {0}b::DOUBLE / {0}a::DOUBLE)", "la > 0 AND ta - la > 0"
+    out = [f"t0 AS MATERIALIZED (SELECT *, {filled}, " + ", ".join(f"{c} AS s{i}" for i, c in enumerate(cat))
+           + f", 1 AS node FROM {rows})"]
+    for k in range(depth):
+        here = f"FROM t{k} WHERE is_test = 0 AND node >= {1 << k} AND node < {2 << k}"
+        each = [f"SELECT node, {j} AS col, x{j} AS v, NULL::VARCHAR AS lev, sum({a}) AS a, sum({b}) AS b {here} GROUP BY node, x{j}"
+                for j in range(n)]
+        each += [f"SELECT node, {n + j} AS col, NULL::DOUBLE AS v, s{j} AS lev, sum({a}) AS a, sum({b}) AS b {here} GROUP BY node, s{j}"
+                 for j in range(len(cat))]
+        out.append(f"u{k} AS MATERIALIZED (" + " UNION ALL ".join(each) + ")")
+        out.append(f"""w{k} AS MATERIALIZED (SELECT node, col, lev, (v + lead(v) OVER run) / 2 AS thr,
+            CASE WHEN col < {n} THEN sum(a) OVER run ELSE sum(a) OVER every - a END AS la,
+            CASE WHEN col < {n} THEN sum(b) OVER run ELSE sum(b) OVER every - b END AS lb,
+            sum(a) OVER every AS ta, sum(b) OVER every AS tb FROM u{k}
+            WINDOW run AS (PARTITION BY node, col ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                   every AS (PARTITION BY node, col))""")
+        out.append(f"""c{k} AS MATERIALIZED (SELECT node, col, lev, thr, la, lb, ta - la AS ra, tb - lb AS rb FROM w{k}
+            WHERE (thr IS NOT NULL OR lev IS NOT NULL) AND {valid})""")
+        out.append(f"""b{k} AS MATERIALIZED (SELECT node, col, lev, thr FROM c{k} QUALIFY row_number() OVER (PARTITION BY node
+            ORDER BY {one.format('l')} + {one.format('r')} DESC, col, coalesce(thr, 0), coalesce(lev, '')) = 1)""")
+        out.append(f"""t{k + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node ELSE 2 * r.node
+            + (CASE WHEN b.col < {n} THEN list_value({xs})[b.col + 1] > b.thr
+               ELSE coalesce(list_value({ss})[b.col - {n - 1}] = b.lev, false) END)::INT END AS node
+            FROM t{k} r LEFT JOIN b{k} b ON r.node = b.node)""")
+    return ",\n".join(out)
+
+
+_NUM = ["OrderValue", "DiscountPct", "PriorOrders", "PriorRTORate", "FirstTime", "OrderHour", "Items"]
+_CAT = ["CityTier", "State", "Category", "Device", "AddressQuality"]
+_HELD = """
+held AS (SELECT *, CASE WHEN split_rank <= ceil(n_class * 0.25) THEN 1 ELSE 0 END AS is_test,
+         (RTO = 0)::INT AS is0, (RTO = 1)::INT AS is1 FROM split)"""
+sql("model_tree", with_ctes_extra(
+    _SPLIT.format(src="cod") + "," + _HELD + ",\n" + tree_sql("held", _NUM, _CAT, "is0", "is1", "gini") + """,
+cw AS (SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (is0 = 1)) AS w0, count(*) / (2.0::DOUBLE * count(*) FILTER (is1 = 1)) AS w1
+       FROM t6 WHERE is_test = 0),
+leaf AS (SELECT node, sum(is1)::DOUBLE * any_value(w1) / (sum(is0)::DOUBLE * any_value(w0) + sum(is1)::DOUBLE * any_value(w1)) AS risk
+         FROM t6 CROSS JOIN cw WHERE is_test = 0 GROUP BY node)""", """
+SELECT OrderID, RTO, round(risk, 6) AS Risk, (risk > 0.5)::INT::DOUBLE AS prediction
+FROM t6 JOIN leaf ON t6.node = leaf.node WHERE is_test = 1""", "cod"))
 sql("top_low_mid_high", with_ctes_extra(f"""
 ranked AS (SELECT OrderID, CustomerID, CityTier, Category, OrderValue, PriorOrders, PriorReturns, Score,
                   row_number() OVER (ORDER BY Score, {hbits('OrderID', 'mid')}, OrderID) - 1 AS pos,
