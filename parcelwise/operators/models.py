@@ -2,8 +2,8 @@
 
 * :func:`feature_stages` -- scale 7 numbers (mean 0, sd 1) and one-hot 5 categories
   (all seen levels kept, unseen or NULL levels -> all zeros).
-* :func:`make_classifier` -- logistic regression (L2, C = 1, balanced weights) and a 300-tree
-  depth-12 forest (balanced). The depth-6 tree (balanced) is in ``exact_tree``. Gradient boosting (100 rounds of depth-3
+* :func:`make_classifier` -- a 300-tree depth-12 forest (balanced). Logistic regression (L2,
+  C = 1, balanced) is in ``gram``, the depth-6 tree (balanced) in ``exact_tree``. Gradient boosting (100 rounds of depth-3
   trees, step 0.1, Newton leaves) is in ``boosting``, KNN (k = 25) is the exact blocked scorer
   in ``knn``.
 * :func:`train_models` -- stratified hold-out, fit all five, one metrics row per model.
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -32,6 +32,7 @@ from parcelwise.functions.exprs import score_from_risk
 from parcelwise.operators import exact_tree as T
 from parcelwise.operators import metrics as M
 from parcelwise.operators.boosting import Booster, fit_boosters
+from parcelwise.operators.gram import Linear, logistic
 from parcelwise.operators.parallel_fits import run_concurrently
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.windows import join_null_safe, split_and_folds
@@ -85,14 +86,8 @@ def with_weights(df: DataFrame, label: str = "RTO", out: str = "w") -> DataFrame
     return join_null_safe(df, F.broadcast(w), [label])  # one row per class
 
 
-def make_classifier(name: str, seed: int = 42, n_rows: int | None = None, weight_col: str = "w",
-                    label: str = "RTO"):
+def make_classifier(name: str, seed: int = 42, weight_col: str = "w", label: str = "RTO"):
     common = dict(featuresCol="features", labelCol=label)
-    if name == "Logistic Regression":
-        # sklearn C=1 with balanced weights (sum of weights = n) <=> regParam = 1 / n
-        reg = 1.0 / max(n_rows or 1, 1)
-        return LogisticRegression(maxIter=3000, regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, weightCol=weight_col, tol=1e-4, **common)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=300, maxDepth=12, weightCol=weight_col, seed=seed,
                                       featureSubsetStrategy="sqrt", **common)
@@ -103,12 +98,13 @@ def _risk(pred: DataFrame) -> DataFrame:
     return pred.withColumn("Risk", vector_to_array("probability")[1])
 
 
-def predict(model: PipelineModel | Booster | T.Tree, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
+def predict(model: PipelineModel | Booster | T.Tree | Linear, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
     """id, label, Risk and prediction of design rows by a fitted model."""
     if isinstance(model, Booster):
         return model.predict(rows, [id_col, label])
-    if isinstance(model, T.Tree):
-        scored = rows.select(id_col, label, T.risk(model).alias("Risk"))
+    if isinstance(model, (T.Tree, Linear)):
+        risk = T.risk(model) if isinstance(model, T.Tree) else model.risk()
+        scored = rows.select(id_col, label, risk.alias("Risk"))
         return scored.withColumn("prediction", (F.col("Risk") > 0.5).cast("double"))
     return _risk(model.transform(rows)).select(id_col, label, "Risk", "prediction")
 
@@ -139,8 +135,10 @@ def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: i
     if name == "Decision Tree":
         model = T.grow(train, NUM_FEATS, CAT_FEATS, label)
         return model, [predict(model, t, label, id_col) for t in tests]
-    n_rows = train.count() if name == "Logistic Regression" else None
-    clf = make_classifier(name, seed, n_rows, label=label)
+    if name == "Logistic Regression":
+        (model,) = logistic(train, [F.lit(True)], NUM_FEATS, CAT_FEATS, label)
+        return model, [predict(model, t, label, id_col) for t in tests]
+    clf = make_classifier(name, seed, label=label)
     model = Pipeline(stages=feature_stages() + [clf]).fit(with_weights(train, label))
     outs = [predict(model, t, label, id_col) for t in tests]
     return model, outs
@@ -300,30 +298,21 @@ CV_CAT = ["CityTier", "Category", "AddressQuality", "Device"]
 
 
 def cv_auc(cod: DataFrame, n_folds: int = 4, seed: int = 42) -> DataFrame:
-    """Mean and sd of the held-out AUC of an unweighted logistic model over k folds."""
-    d = split_and_folds(design(cod, CV_NUM, CV_CAT), "RTO", "OrderID", seed=seed, n_folds=n_folds)
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    """Mean and sd of the held-out AUC of an unweighted logistic model over k folds. The models of
+    all folds are fitted together; numbers are left as they are, a missing level is a level."""
+    rows = design(cod, CV_NUM, CV_CAT).fillna("NA", CV_CAT)
+    spark = cod.sparkSession
+    d = materialize(spark, split_and_folds(rows, "RTO", "OrderID", seed=seed, n_folds=n_folds), "cv_rows")
+    fitted = logistic(d, [F.col("fold") != k for k in range(n_folds)], CV_NUM, CV_CAT, balanced=False, scale=False)
+    risk = F.coalesce(*[F.when(F.col("fold") == k, m.risk()) for k, m in enumerate(fitted)])
+    scored = materialize(spark, d.select("RTO", "fold", risk.alias("Risk")), "cv_scores")
+
     def fold_auc(k):
-        train = d.where(F.col("fold") != k)
-        stages = [
-            StringIndexer(inputCols=CV_CAT, outputCols=[f"{c}__idx" for c in CV_CAT], handleInvalid="keep",
-                          stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=[f"{c}__idx" for c in CV_CAT], outputCols=[f"{c}__vec" for c in CV_CAT]),
-            Imputer(inputCols=CV_NUM, outputCols=[f"{c}__full" for c in CV_NUM], strategy="median"),
-            VectorAssembler(inputCols=[f"{c}__full" for c in CV_NUM] + [f"{c}__vec" for c in CV_CAT],
-                            outputCol="features"),
-            LogisticRegression(maxIter=1000, labelCol="RTO", regParam=1.0 / max(train.count(), 1),
-                               standardization=False),
-        ]
-        m = Pipeline(stages=stages).fit(train)
-        p = _risk(m.transform(d.where(F.col("fold") == k)))
-        return materialize(d.sparkSession, M.auc(p, "RTO", "Risk").withColumn("fold", F.lit(k)), "fold_auc")
+        return materialize(spark, M.auc(scored.where(F.col("fold") == k), "RTO", "Risk").withColumn("fold", F.lit(k)), "fold_auc")
 
     aucs = run_concurrently(fold_auc, range(n_folds))
-    d.unpersist()
     out = aucs[0]
     for a in aucs[1:]:
         out = out.unionByName(a)
     return out.agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.round(F.stddev_pop("auc"), 6).alias("sd_auc"),
                    F.count(F.lit(1)).alias("folds"))
-

@@ -1,27 +1,24 @@
 """Order-value regression: what sets basket size?
 
-Four regressors (ordinary least squares, ridge alpha = 1, lasso alpha = 1, depth-6 tree)
-on a 25 % hold-out, scored by R^2 and MAE computed as SQL aggregates; plus the
-category-only baseline, which is exactly the category mean on the training rows (a
-group-by joined back to the test rows).
-
-Ridge/lasso parameter mapping to Spark (objective scaled by 1/n; Spark divides the L2
-term by the label sd when it standardises the label internally):
-  ridge: regParam = alpha * sd(y) / n, elasticNetParam = 0, standardization = False
-  lasso: regParam = alpha,             elasticNetParam = 1, standardization = False
+Four regressors (ordinary least squares, ridge alpha = 1, lasso alpha = 1, depth-6 tree) on a
+25 % hold-out, scored by R^2 and MAE computed as SQL aggregates; plus the category-only baseline,
+which is exactly the category mean on the training rows (a group-by joined back to the test rows).
+
+The linear models are solved on one matrix of sums of products of the training rows (``gram``):
+all three need a single scan. The tree has exact thresholds (``exact_tree``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.operators.models import design, feature_stages
+from parcelwise.operators import exact_tree as T
+from parcelwise.operators import gram as G
+from parcelwise.operators.models import design
 from parcelwise.operators.windows import split_and_folds
 from parcelwise.sources.scratch import Scratch
 
@@ -47,37 +44,29 @@ def r2_mae(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                     F.round("mae", 6).alias("mae"))
 
 
-def make_regressor(name: str, n: int, y_sd: float, seed: int = 42, alpha: float = 1.0):
-    common = dict(featuresCol="features", labelCol="y", predictionCol="p")
-    if name == "Linear":
-        return LinearRegression(regParam=0.0, solver="normal", **common)
-    if name == "Ridge":
-        return LinearRegression(regParam=alpha * y_sd / max(n, 1), elasticNetParam=0.0,
-                                standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-10, **common)
-    if name == "Lasso":
-        return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
-                                maxIter=1000, tol=1e-10, **common)
-    if name == "Decision Tree":
-        return DecisionTreeRegressor(maxDepth=6, seed=seed, **common)
-    raise ValueError(name)
+def fit_regressors(train: DataFrame, models: Sequence[str] = REG_MODELS, alpha: float = 1.0) -> dict[str, Column]:
+    """Each model's prediction as a column over the input columns."""
+    out: dict[str, Column] = {}
+    if set(models) - {"Decision Tree"}:
+        inputs = G.scaled_inputs(train, REG_NUM, REG_CAT)
+        (matrix,) = G.grams(train, inputs, "y", F.lit(0), 1)
+    for name in models:
+        if name == "Decision Tree":
+            out[name] = T.mean(T.grow(train, REG_NUM, REG_CAT, "y", "squares"))
+        else:
+            out[name] = G.solve(inputs, matrix, name.lower(), alpha).column()
+    return out
 
 
 def regression_models(clean: DataFrame, models: Sequence[str] = REG_MODELS, seed: int = 42) -> DataFrame:
     """(model, r2, mae) on the hold-out."""
-    d = split(clean, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    scratch = Scratch(clean.sparkSession, "regress")
+    d = scratch.table(split(clean, seed), "split")
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("sd")).first()
-    rows = []
-    for name in models:
-        reg = make_regressor(name, int(stats["n"]), float(stats["sd"] or 0.0), seed)
-        m = Pipeline(stages=feature_stages(REG_NUM, REG_CAT) + [reg]).fit(train)
-        rows.append(r2_mae(m.transform(test)).withColumn("model", F.lit(name)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    out = Scratch(clean.sparkSession, "regress").table(out.select("model", "r2", "mae"), "metrics")
-    d.unpersist()
-    return out
+    fitted = fit_regressors(train, models)
+    scored = scratch.table(test.select("y", *[p.alias(f"p{i}") for i, p in enumerate(fitted.values())]), "scored")
+    rows = [r2_mae(scored, "y", f"p{i}").select(F.lit(name).alias("model"), "r2", "mae") for i, name in enumerate(fitted)]
+    return scratch.table(reduce(DataFrame.unionByName, rows), "metrics")
 
 
 def category_only(clean: DataFrame, seed: int = 42) -> DataFrame:
@@ -85,7 +74,7 @@ def category_only(clean: DataFrame, seed: int = 42) -> DataFrame:
     least-squares fit on category dummies); unseen category -> training mean."""
     d = split(clean, seed)
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
-    means = train.groupBy("Category").agg(F.avg("y").alias("__cm"))  # one row per category
+    means = train.groupBy("Category").agg(F.avg("y").alias("__cm"))
     overall = train.agg(F.avg("y")).scalar()
-    return (test.join(F.broadcast(means), "Category", "left")
+    return (test.join(means, "Category", "left")
                 .select("OrderID", "Category", "y", F.coalesce("__cm", overall).alias("p")))

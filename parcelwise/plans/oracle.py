@@ -614,6 +614,28 @@ sql("metric_r2", with_ctes_extra(_CAT_ONLY, "SELECT round(1.0 - sse / sst, 6) AS
                                  "cod_clean"))
 sql("metric_mae", with_ctes_extra(_CAT_ONLY, "SELECT round(mae, 6) AS mae FROM fit", "cod_clean"))
 
+_REG_NUM = ["DiscountPct", "Items", "OrderHour", "FirstTime", "PriorOrders"]
+_REG_CAT = ["Category", "CityTier", "Device", "AddressQuality", "PaymentMethod"]
+sql("reg_tree", with_ctes_extra(f"""
+numbered AS (SELECT *, CAST(OrderValue AS DOUBLE) AS y, CAST(OrderValue AS DECIMAL(20,4)) AS y_dec, 1::BIGINT AS one,
+             CAST(row_number() OVER (ORDER BY {hbits('OrderID', '42')}, OrderID) AS BIGINT) AS split_rank, count(*) OVER () AS n_all
+             FROM cod_clean),
+held AS (SELECT *, CASE WHEN split_rank <= ceil(n_all * 0.25) THEN 1 ELSE 0 END AS is_test FROM numbered),
+""" + tree_sql("held", _REG_NUM, _REG_CAT, "one", "y_dec", "squares") + """,
+leaf AS (SELECT node, sum(y_dec)::DOUBLE / count(*) AS p FROM t6 WHERE is_test = 0 AND y IS NOT NULL GROUP BY node),
+pred AS (SELECT y, p FROM t6 JOIN leaf ON t6.node = leaf.node WHERE is_test = 1)""", """
+SELECT 'Decision Tree' AS model, round(1.0 - sum(pow(y - p, 2)) / (var_pop(y) * count(y)), 6) AS r2,
+       round(avg(abs(y - p)), 6) AS mae FROM pred""", "cod_clean"))
+_LEVELS = ", ".join(f"(SELECT list(DISTINCT {c} ORDER BY {c}) FILTER ({c} IS NOT NULL) FROM cod) AS l{i}" for i, c in enumerate(_CAT))
+_HOT = " || ".join(f"list_transform(l{i}, lambda v: CASE WHEN {c} = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for i, c in enumerate(_CAT))
+sql("prep_onehot", with_ctes_extra(f"lev AS (SELECT {_LEVELS})",
+                                   f"SELECT OrderID, {_HOT} AS onehot FROM cod CROSS JOIN lev", "cod"))
+_FILLED = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM cod)) AS x{i}" for i, c in enumerate(_NUM))
+_STATS = ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(len(_NUM)))
+_SCALED = ", ".join(f"round(coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0), 6)" for i in range(len(_NUM)))
+sql("prep_pipeline", with_ctes_extra(f"""
+lev AS (SELECT {_LEVELS}), filled AS (SELECT *, {_FILLED} FROM cod), st AS (SELECT {_STATS} FROM filled)""",
+    f"SELECT OrderID, [{_SCALED}] || {_HOT} AS features, RTO FROM filled CROSS JOIN lev CROSS JOIN st", "cod"))
 sql("rate_by", with_ctes(rate_by_sql("cod", "Device", "Device", 20), "cod"))
 sql("basket_onehot", with_ctes_extra(_BASKET, """
 SELECT OrderID, CAST(len(list_distinct([tier, cat, addr, dev, disc, first, out])) AS INTEGER) AS n_items,

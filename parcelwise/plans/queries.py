@@ -700,12 +700,13 @@ def q_fmt_rules(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.7 preparation and models
+from parcelwise.operators import gram as G  # noqa: E402
 from parcelwise.operators import knn as K  # noqa: E402
 from parcelwise.operators import models as ML  # noqa: E402
 from parcelwise.operators import regress as RG  # noqa: E402
 from parcelwise.operators import segment as SG  # noqa: E402
+from parcelwise.operators.encoding import Encoding  # noqa: E402
 from parcelwise.sources.store import frame  # noqa: E402
-from pyspark.ml import Pipeline  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 
@@ -721,17 +722,14 @@ def q_prep_scale(spark, sf):
 @query("prep_onehot")
 def q_prep_onehot(spark, sf):
     d = ML.design(data.cod(spark, sf))
-    m = Pipeline(stages=ML.feature_stages()[:2]).fit(d)
-    t = m.transform(d)
-    vecs = [vector_to_array(f"{c}__vec") for c in ML.CAT_FEATS]
-    return t.select("OrderID", F.concat(*vecs).alias("onehot"))
+    return d.select("OrderID", G.one_hot(Encoding.fit(d, [], ML.CAT_FEATS)).alias("onehot"))
 
 
 @query("prep_pipeline")
 def q_prep_pipeline(spark, sf):
     d = ML.design(data.cod(spark, sf))
-    m = Pipeline(stages=ML.feature_stages()).fit(d)
-    return m.transform(d).select("OrderID", vector_to_array("features").alias("features"), "RTO")
+    vector = G.scaled_inputs(d, ML.NUM_FEATS, ML.CAT_FEATS).vector()
+    return d.select("OrderID", F.transform(vector, lambda x: F.round(x, 6)).alias("features"), "RTO")
 
 
 @query("class_weights")
