@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency.
 
 Lines are hashed in normal form and counted per host (``source``) over distinct documents.
-A line in more than ``min_docs`` documents and more than ``share`` of its host's documents
-is removed from all but the host's first document (smallest doc_id) with it. A document is
+A line in more than ``min_docs`` documents and more than ``share`` of its host's documents or more
+than ``limit`` of them (a hot host's lines are judged by this number) is removed from all but the host's first document (smallest doc_id) with it. A document is
 rejected if it fails the base rules (under 20 words, or over 30 % of its words in 8-word
 windows found twice or more), or if it is depleted: under ``left`` of its words remain after
 the removal.
@@ -24,7 +24,7 @@ from parcelwise.llm.common import columns_of
 from parcelwise.llm.lines import Scan, flagged_mask, frequent_lines, host_key, in_document, without_lines
 from parcelwise.sources.scratch import Scratch
 
-SHARE, MIN_DOCS, LEFT = 0.05, 20, 0.3
+SHARE, MIN_DOCS, LIMIT, LEFT = 0.05, 2, 1000, 0.3
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -79,7 +79,7 @@ def _judge(batch: pa.RecordBatch, left: float, with_text: bool):
         kept = ~failed & ~((removed > 0) & (n_words - removed < left * n_words))
         columns = [ids, pa.array(n_words), pa.array(_sums(chars, scan.offsets)),
                    pa.array(_sums(_SYMBOL[scan.raw], scan.offsets)), pa.array(lines - distinct),
-                   pa.array(repeat), pa.array(removed), pa.array(failed), pa.array(kept)]
+                   pa.array(repeat), pa.array(failed), pa.array(kept), pa.array(removed)]
         if with_text:
             columns.append(pa.array([without_lines(scan, drop, i) for i in range(docs)], pa.string()))
             columns.extend(batch.column(i)[a:b] for i in range(3, batch.num_columns))
@@ -87,19 +87,20 @@ def _judge(batch: pa.RecordBatch, left: float, with_text: bool):
 
 
 COUNTS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, removed_words long, base_failed boolean, kept boolean")
+          "n_repeat_words long, base_failed boolean, kept boolean, removed_words long")
 
 
-def _flagged(docs: DataFrame, share: float, min_docs: int, extra: list[str]) -> DataFrame:
+def _flagged(docs: DataFrame, share: float, min_docs: int, limit: int | None, extra: list[str]) -> DataFrame:
     """doc_id, text, flagged lines of the host, and further columns."""
     scratch = Scratch(docs.sparkSession, "line_quality")
     rows = columns_of(docs, "doc_id", "source", "text", *extra)
     keyed = rows.withColumn("host", host_key(F.col("source")))
-    flagged = frequent_lines(keyed.select("doc_id", "host", "text"), share, min_docs, scratch)
+    flagged = frequent_lines(keyed.select("doc_id", "host", "text"), share, min_docs, scratch, limit)
     return keyed.join(flagged, "host", "left").select("doc_id", "text", "flagged", "source", *extra)
 
 
-def quality(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, left: float = LEFT) -> DataFrame:
+def quality(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, left: float = LEFT,
+            limit: int | None = LIMIT) -> DataFrame:
     """Counts and verdict of every document."""
     names = [part.split()[0] for part in COUNTS.split(", ")]
 
@@ -107,20 +108,21 @@ def quality(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, lef
         for batch in batches:
             for columns in _judge(batch, left, False):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-    rows = _flagged(docs, share, min_docs, []).select("doc_id", "text", "flagged")
+    rows = _flagged(docs, share, min_docs, limit, []).select("doc_id", "text", "flagged")
     return rows.mapInArrow(run, COUNTS)
 
 
-def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, left: float = LEFT) -> DataFrame:
+def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, left: float = LEFT,
+              limit: int | None = LIMIT) -> DataFrame:
     """The kept documents, their frequent lines removed (columns of ``documents``)."""
     names = ["doc_id", "text", "source", "lang"]
 
     def run(batches):
         for batch in batches:
             for columns in _judge(batch, left, True):
-                kept = columns[8]
+                kept = columns[7]
                 yield pa.RecordBatch.from_arrays(
                     [x.filter(kept) for x in (columns[0], columns[9], columns[10], columns[11])], names=names)
-    rows = _flagged(docs, share, min_docs, ["lang"])
+    rows = _flagged(docs, share, min_docs, limit, ["lang"])
     out = rows.mapInArrow(run, "doc_id long, text string, source string, lang string")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

@@ -89,9 +89,10 @@ def _distinct_lines(batch: pa.RecordBatch):
             names=["doc_id", "host", "text", "lines"])
 
 
-def frequent_lines(rows: DataFrame, share: float, min_docs: int, scratch) -> DataFrame:
+def frequent_lines(rows: DataFrame, share: float, min_docs: int, scratch, limit: int | None = None) -> DataFrame:
     """Per host an array of (line, first_doc): lines in more than ``min_docs`` documents and
-    more than ``share`` of the host's documents. ``rows``: doc_id, host, text."""
+    more than ``share`` of the host's documents or, if there is one, more than ``limit``
+    documents. ``rows``: doc_id, host, text."""
     def run(batches):
         for batch in batches:
             yield from _distinct_lines(batch)
@@ -102,8 +103,10 @@ def frequent_lines(rows: DataFrame, share: float, min_docs: int, scratch) -> Dat
     each = seen.select("host", "text", "doc_id", F.explode("lines").alias("line"))
     each = each.groupBy("host", "line", "text").agg(F.min("doc_id").alias("doc_id"))
     counted = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
-    over = counted.where(F.col("docs") > min_docs).join(hosts, "host") \
-        .where(F.col("docs") > F.col("host_docs") * F.lit(float(share)))
+    most = F.col("host_docs") * F.lit(float(share))
+    if limit is not None:
+        most = F.least(most, F.lit(float(limit)))
+    over = counted.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > most)
     flagged = over.groupBy("host").agg(
         F.sort_array(F.collect_list(F.struct("line", "first_doc"))).alias("flagged"))
     out = scratch.table(flagged, "frequent_lines")

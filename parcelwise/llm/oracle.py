@@ -24,10 +24,10 @@ full_line AS (SELECT * FROM l WHERE n_words > 0),
 hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
 counted AS (SELECT host, norm, count(DISTINCT t) AS docs, min(doc_id) AS first_doc FROM full_line GROUP BY host, norm),
 flagged AS (SELECT c.host, c.norm, c.first_doc FROM counted c JOIN hosts h ON c.host = h.host
-            WHERE c.docs > {{min_docs}} AND c.docs > h.host_docs * {{share}}::DOUBLE)"""
+            WHERE c.docs > {{min_docs}} AND c.docs > least(h.host_docs * {{share}}::DOUBLE, {{limit}}::DOUBLE))"""
 
 QUALITY = f"""
-WITH {LINES.format(min_docs=line_quality.MIN_DOCS, share=line_quality.SHARE)},
+WITH {LINES.format(min_docs=line_quality.MIN_DOCS, share=line_quality.SHARE, limit=line_quality.LIMIT)},
 w AS (SELECT doc_id, t, {WORDS.format('t')} AS words FROM d),
 runs AS (SELECT doc_id, no, array_to_string(words[no:no + 7], ' ') AS run
          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS no FROM w WHERE len(words) >= 8)),
@@ -49,7 +49,7 @@ SELECT *, NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words
 AS kept FROM b"""
 
 SITE_LINES = f"""
-WITH {LINES.format(min_docs=site_lines.MIN_DOCS, share=site_lines.RATIO)},
+WITH {LINES.format(min_docs=site_lines.MIN_DOCS, share=site_lines.RATIO, limit="'infinity'")},
 marked AS (SELECT l.*, n_words > 0 AND f.norm IS NOT NULL AND l.doc_id IS DISTINCT FROM f.first_doc AS dropped
            FROM l LEFT JOIN flagged f ON l.host = f.host AND l.norm = f.norm)
 SELECT doc_id, count(*) FILTER (n_words > 0) AS n_lines, count(*) FILTER (dropped) AS n_dropped_lines,

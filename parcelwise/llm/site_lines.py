@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 Documents are grouped by host (``source``). The documents that hold a line are divided by the
-host's documents; a line above ``ratio`` (and in more than ``min_docs`` documents, so that a
-small host's lines are not boilerplate by arithmetic alone) is dropped from every document
+host's documents; a line above ``ratio`` (and in more than ``min_docs`` documents, as one shared
+line is above any ratio on a host of two) is dropped from every document
 of the host but the first with it, so that its text survives once.
 
 Lines are compared in normal form (see ``lines``); equal texts of a host count as one
@@ -21,7 +21,7 @@ from parcelwise.llm import wordhash as wh
 from parcelwise.llm.lines import Scan, flagged_mask, frequent_lines, host_key, without_lines
 from parcelwise.sources.scratch import Scratch
 
-RATIO, MIN_DOCS = 0.02, 10
+RATIO, MIN_DOCS = 0.02, 2
 
 
 def _clean(batch: pa.RecordBatch):

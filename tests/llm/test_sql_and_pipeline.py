@@ -56,7 +56,7 @@ def _corpus():
     return rows
 
 
-def _flagged(rows, share, least):
+def _flagged(rows, share, least, limit=float("inf")):
     texts, hosts, first = defaultdict(set), defaultdict(set), {}
     for doc, text, _, host, _ in rows:
         hosts[host].add(text or "")
@@ -65,7 +65,7 @@ def _flagged(rows, share, least):
             if norm:
                 texts[host, norm].add(text)
                 first[host, norm] = min(first.get((host, norm), doc), doc)
-    return {k: first[k] for k, t in texts.items() if len(t) > least and len(t) > share * len(hosts[k[0]])}
+    return {k: first[k] for k, t in texts.items() if len(t) > least and len(t) > min(share * len(hosts[k[0]]), limit)}
 
 
 def _without(row, flagged):
@@ -75,8 +75,8 @@ def _without(row, flagged):
     return doc, "\n".join(kept), lang, host, len("\n".join(kept))
 
 
-def _plain_quality(rows):
-    flagged, out = _flagged(rows, line_quality.SHARE, line_quality.MIN_DOCS), []
+def _plain_quality(rows, limit=line_quality.LIMIT):
+    flagged, out = _flagged(rows, line_quality.SHARE, line_quality.MIN_DOCS, limit), []
     for row in rows:
         words = WORD.findall(row[1] or "")
         runs = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
@@ -90,6 +90,23 @@ def _plain_quality(rows):
     return out
 
 
+def test_line_limits_and_depleted_documents(spark):
+    """Small hosts are judged by the ratio, a hot host by the number of documents."""
+    shared = "\n".join(prose(5000 + i, 12) for i in range(4))
+    rows = [(i, prose(i, 40) + "\n" + shared.split("\n")[i % 4], "en", "small", 1) for i in range(12)]
+    rows += [(100 + i, prose(100 + i, 40) + ("\n" + shared.split("\n")[0] if i < 30 else ""), "en", "hot", 1) for i in range(900)]
+    rows += [(50, shared + "\n" + prose(50, 10), "en", "small", 1), (51, shared + "\nsome more words", "en", "small", 1)]
+    frame = documents(spark, rows)
+    for limit, hot_removed in ((1000, 0), (20, 29)):
+        found = {r["doc_id"]: r for r in line_quality.quality(frame, limit=limit).collect()}
+        assert sorted(r[0] for r in _plain_quality(rows, limit)) == sorted(k for k, r in found.items() if r["kept"])
+        assert not found[50]["base_failed"] and not found[50]["kept"] and not found[51]["kept"]
+        assert sum(r["removed_words"] > 0 for k, r in found.items() if k >= 100) == hot_removed
+        assert sum(r["removed_words"] > 0 for k, r in found.items() if k < 12) == 8
+    dropped = {r["doc_id"]: r["n_dropped_lines"] for r in site_lines.drop_site_lines(frame).collect()}
+    assert sum(dropped[i] for i in range(12)) == 8 and dropped[50] == dropped[51] == 4
+
+
 def test_pipeline_stages_equal_a_plain_version(spark):
     assert [s[0] for s in corpus_pipeline.STAGES] == [
         "quality rules", "line dedup", "near dedup", "source mix", "pattern packing"]
