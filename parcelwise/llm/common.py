@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -54,6 +56,25 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | I
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give freed memory of this worker process back to the system. Workers wait idle between
+    stages, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return
+
+
+def frees_memory(run: Callable) -> Callable:
+    """A batch function whose worker gives its freed memory back when the task ends."""
+    def task(batches):
+        yield from run(batches)
+        release_memory()
+    return task
+
+
 def ranked(df: DataFrame, order: list, scratch: Scratch, rank: str) -> DataFrame:
     """``df`` with its 0-based position in the order ``order``, without one global sort task.
 

@@ -2,8 +2,8 @@
 
 Words are runs of non-white-space, A-Z lower-cased; a document's set holds its distinct
 shingles of ``width`` words (with fewer words, the whole sequence). Two documents are linked
-if intersection / union of the full sets is at least ``percent`` / 100. Documents with equal
-sets form a class, and one of each class (the smallest doc_id) goes on.
+if intersection / union of the full sets is at least ``percent`` / 100. Rows with equal sets
+form a class, whatever their ids; a class is one vertex of the join.
 
 Forest: in each of ``TREES`` independent trees a document goes from the root to the node of
 one chosen minwise token (the least shingle under the tree's own hash). A pair of similarity
@@ -23,9 +23,11 @@ nodes are cut in this order:
 Only pairs from different components are compared, and a comparison emits the edges of a
 spanning forest, not all links: results are components, which lose no link between texts.
 
-Defined cases: null or blank text has an empty set and is linked with nothing; a null doc_id
-joins the component of an equal set that has an id, else its component is null and it counts
-as not kept; rows that repeat a doc_id share its vertex.
+Defined cases: null or blank text has an empty set and is linked with nothing. A row without
+an id takes part like any other: its component_id is the smallest doc_id reachable, or null where
+no row has one, and it is not kept. Rows that repeat a doc_id are linked with each other, whatever
+their texts. ``keep_one`` goes by texts alone: of each group of linked texts the row of the smallest
+doc_id stays (of each text, if that id has several), and every row without an id.
 """
 
 from __future__ import annotations
@@ -33,14 +35,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from parcelwise.llm import wordhash as wh
-from parcelwise.llm.common import columns_of
+from parcelwise.llm.common import columns_of, frees_memory
 from parcelwise.llm.components import components
 from parcelwise.sources.scratch import Scratch
 
@@ -88,33 +88,54 @@ def _long_lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
+def _keys(flat: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """The size and two hashes of each whole set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(wh.mix(flat ^ s), dtype=np.uint64)]) for s in _SHIFT[:2]]
+    return [pa.array(np.diff(bounds)), *[pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]]
+
+
+KEYS = ["n_shingles", "key1", "key2"]
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, and its minwise signature."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, flat, bounds in _slices(batch, width):
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(wh.mix(flat ^ s), dtype=np.uint64)])
-                        for s in _SHIFT[:2]]
-                one, two = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
                 sig = signatures(flat, bounds)
                 steps = np.arange(b - a + 1) * POSITIONS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(np.diff(bounds)), pa.array(one), pa.array(two),
-                     _long_lists(sig.reshape(-1), steps)], names=["doc_id", "n_shingles", "key1", "key2", "sig"])
+                    [batch.column(0)[a:b], *_keys(flat, bounds), _long_lists(sig.reshape(-1), steps)],
+                    names=["doc_id", *KEYS, "sig"])
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, set): the whole set as sorted 48-bit shingle hashes, ``HASH_BYTES`` each."""
+    """The keys of each text's set, and ``set``: its sorted 48-bit shingle hashes, ``HASH_BYTES`` each."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, flat, bounds in _slices(batch, width):
+            for _, _, flat, bounds in _slices(batch, width):
                 high = np.ascontiguousarray(flat.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
                 sets = [high[HASH_BYTES * x:HASH_BYTES * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())],
-                                                 names=["doc", "set"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, set binary")
+                yield pa.RecordBatch.from_arrays([*_keys(flat, bounds), pa.array(sets, pa.binary())], names=[*KEYS, "set"])
+    return docs.select("doc_id", "text").mapInArrow(run, "n_shingles long, key1 long, key2 long, set binary")
+
+
+def with_keys(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """``rows`` and the keys of the set of their column ``text``."""
+    names = rows.columns
+
+    @frees_memory
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, flat, bounds in _slices(batch, width):
+                yield pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns[2:]], *_keys(flat, bounds)],
+                                                 names=[*names, *KEYS])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"{k} long" for k in KEYS])
+    return rows.select(F.lit(0).alias("first"), F.col(text).alias("second"), *names).mapInArrow(run, schema)
 
 
 def unpack_sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +151,7 @@ def unpack_sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def in_groups(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``work`` on the rows of each ``task`` (its first column), streamed from sorted partitions.
     Groups are bounded by the caller; a partition is never held whole."""
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -231,51 +253,45 @@ def _linked(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     return work
 
 
-class IdBitmap:
-    """A set of ids as ``2 ** ID_BITS`` hashed bits (16 MB at any corpus size).
-
-    It may take other ids for its own, never its own for others. It only keeps texts that
-    cannot matter out of a shuffle; exact joins follow. Should it fill up, more texts pass."""
+class IdBits:
+    """A set of ids as hashed bits: at most ``2 ** (ID_BITS - 6)`` words of 64, at any corpus size.
 
-    def __init__(self, ids: DataFrame):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = _id_places(batch.column(0).to_numpy())
-                bits = np.uint64(1) << (place & np.uint64(63))
-                yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)),
-                                                  pa.array(bits.view(np.int64))], names=["word", "bits"])
-        words = ids.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        table = np.zeros(1 << (ID_BITS - 6), dtype=np.uint64)
-        table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+    It may take other ids for its own, never its own for others. It only keeps texts that cannot
+    matter out of a shuffle; exact joins follow. Should it fill up, more texts pass."""
 
-    def hit(self, column: str) -> Column:
-        """Whether an id (not null) may be one of the set."""
-        shared = self.shared
+    def __init__(self, ids: DataFrame, column: str, scratch: Scratch):
+        word, bit = self._place(F.col(column))
+        one = F.expr("shiftleft(1L, bit)")
+        words = ids.where(F.col(column).isNotNull()).select(word.alias("word"), bit.alias("bit"))
+        self.words = scratch.table(words.groupBy("word").agg(F.bit_or(one).alias("bits")), "id_bits")
 
-        @pandas_udf("boolean")
-        def test(ids: pd.Series) -> pd.Series:
-            place = _id_places(ids.to_numpy())
-            words = shared.value[(place >> np.uint64(6)).astype(np.int64)]
-            return pd.Series((words >> (place & np.uint64(63))) & np.uint64(1) == 1)
-        return test(F.coalesce(F.col(column), F.lit(0)))
+    @staticmethod
+    def _place(column: Column) -> tuple[Column, Column]:
+        place = F.shiftrightunsigned(F.xxhash64(column.cast("long")), 64 - ID_BITS)
+        return F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
 
-
-def _id_places(ids: np.ndarray) -> np.ndarray:
-    return wh.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)
+    def mark(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """``rows`` with a column ``name``: whether ``column`` may be one of the ids (null: no)."""
+        word, bit = self._place(F.col(column))
+        known = self.words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+        joined = rows.withColumn("__bit", bit).join(F.broadcast(known), word == F.col("__word"), "left")
+        hit = F.expr("shiftrightunsigned(__bits, __bit) & 1 = 1")
+        return joined.withColumn(name, F.coalesce(F.col(column).isNotNull() & hit, F.lit(False))).drop("__word", "__bits", "__bit")
 
 
 class Forest:
     """The join's state: signatures, the edges found so far, and components."""
 
-    def __init__(self, docs: DataFrame, sigs: DataFrame, repeated: IdBitmap, width: int, percent: int,
-                 scratch: Scratch):
-        self.repeated = repeated  # ids of two rows or more
-        self.docs, self.sigs, self.width, self.percent, self.scratch = docs, sigs, width, percent, scratch
+    def __init__(self, docs: DataFrame, classes: DataFrame, sigs: DataFrame, repeated: IdBits, width: int,
+                 percent: int, scratch: Scratch):
+        self.docs = repeated.mark(docs, "doc_id", "again")  # rows that may be one of several of their class
+        self.classes = classes  # doc (the vertex), rep (an id of the class, or null) and the keys
+        self.sigs, self.width, self.percent, self.scratch = sigs, width, percent, scratch
         share = percent / 100
         self.cutoff = max(1, int(POSITIONS * (share - 5 * (share * (1 - share) / POSITIONS) ** 0.5)))
         self.comps: DataFrame | None = None
         self.sets: list[DataFrame] = []
+        self.asked: list[DataFrame] = []
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
         if self.comps is None:
@@ -290,18 +306,20 @@ class Forest:
         signed = rows.join(self.sigs, "doc").select("task", "doc", "comp", "sig")
         pairs = scratch.table(in_groups(signed, _plausible(self.cutoff), "task long, doc long, comp long"), "plausible")
         wanted = pairs.select("doc").distinct()
-        for known in self.sets:
-            wanted = wanted.join(known.select("doc"), "doc", "left_anti")
-        wanted = scratch.table(wanted, "wanted")
-        texts = self.docs.where(F.col("doc_id").isNotNull() & IdBitmap(wanted).hit("doc_id"))
-        # sets of ids that were not asked for find no partner in the join below
-        once = full_sets(texts.where(~self.repeated.hit("doc_id")), self.width)
-        again = full_sets(texts.where(self.repeated.hit("doc_id")), self.width).dropDuplicates(["doc"])
-        self.sets.append(scratch.table(once.union(again), "sets"))
+        for known in self.asked:
+            wanted = wanted.join(known, "doc", "left_anti")
+        wanted = scratch.table(wanted.join(self.classes, "doc").select("doc", "rep"), "wanted")
+        texts = IdBits(wanted, "rep", scratch).mark(self.docs, "doc_id", "asked")
+        texts = texts.where(F.col("asked") | F.col("doc_id").isNull())
+        # sets that were not asked for find no partner in the join below
+        several = F.col("again") | F.col("doc_id").isNull()
+        once, again = full_sets(texts.where(~several), self.width), full_sets(texts.where(several), self.width)
+        self.sets.append(scratch.table(once.union(again.dropDuplicates(KEYS)), "sets"))
+        self.asked.append(wanted.select("doc"))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
-        held = pairs.join(sets, "doc").select("task", "doc", "comp", "set")
+        held = pairs.join(self.classes.select("doc", *KEYS), "doc").join(sets, KEYS).select("task", "doc", "comp", "set")
         edges = in_groups(held, _linked(self.percent), "a long, b long")
         if self.comps is not None:
             edges = edges.union(self.comps.select("vertex", "component"))
@@ -369,42 +387,62 @@ class Forest:
         return left
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    scratch = Scratch(docs.sparkSession, "neardup")
+def _classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id and keys of every row; classes: keys, doc, rep and comp, the least vertex of
+    the texts linked with it)."""
     rows = columns_of(docs, "doc_id", "text")
     sketched = scratch.table(sketches(rows, width), "sketches")
-    keys = ["n_shingles", "key1", "key2"]
-    classes = scratch.table(sketched.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc")), "classes")
-    first = classes.select(F.col("doc").alias("doc_id")).distinct()
-    sigs = sketched.where("n_shingles > 0").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sigs = scratch.table(sigs.select(F.col("doc_id").alias("doc"), "sig"), "signatures")
-    members = scratch.table(sketched.select("doc_id", *keys), "members")
+    # rows of equal keys have equal signatures
+    grouped = sketched.where("n_shingles > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    grouped = scratch.table(grouped.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    classes, sigs = grouped.select("doc", "rep", *KEYS), grouped.select("doc", "sig")
+    members = scratch.table(sketched.select("doc_id", *KEYS), "members")
     scratch.drop(sketched)  # the signatures that are needed are in a table of their own
-    repeated = members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    forest = Forest(rows, sigs, IdBitmap(repeated.where("n > 1").select("doc_id")), width, percent, scratch)
+    repeated = members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    forest = Forest(rows, classes, sigs, IdBits(repeated, "doc_id", scratch), width, percent, scratch)
     forest.grow(range(FIRST_TREES))
     forest.grow(range(FIRST_TREES, TREES))
-    members = members.join(classes, keys, "left")
-    joined = members.join(forest.comps.withColumnRenamed("vertex", "doc"), "doc", "left")
-    component = F.coalesce("component", "doc", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")) \
+    return members, scratch.table(forest.with_comp(classes), "solved")
+
+
+def _labels(classes: DataFrame) -> DataFrame:
+    """Per component the smallest doc_id of its rows."""
+    return classes.groupBy("comp").agg(F.min("rep").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    members, classes = _classes(docs, width, percent, scratch)
+    held = members.join(classes.select(*KEYS, "comp"), KEYS)
+    apart = held.where("doc_id is not null").groupBy("doc_id").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    apart = scratch.table(apart.where("least <> most").select("doc_id", "least"), "apart")
+    if not apart.isEmpty():  # ids whose rows hold different texts link these texts
+        edges = held.join(apart, "doc_id").select(F.col("comp").alias("a"), F.col("least").alias("b"))
+        joined = scratch.table(components(edges, scratch), "joined").withColumnRenamed("vertex", "comp")
+        classes = classes.join(joined, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+    solved = classes.join(_labels(classes), "comp").select(*KEYS, "label")
+    component = F.coalesce("label", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
+    return members.join(solved, KEYS, "left").select("doc_id", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of ``docs`` (all columns), one row of each component. A row without an
-    id cannot be told from its copies by name and stays."""
+    """The documents of ``docs`` (all columns), one row of each group of linked texts. A row without
+    an id cannot be told from its copies by name and stays; empty texts stay, once per id."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    found = scratch.table(near_duplicates(docs, width, percent).where("doc_id is not null"), "components")
-    kept = found.where("kept").select("doc_id").distinct()
+    members, classes = _classes(docs, width, percent, scratch)
+    solved = classes.join(_labels(classes), "comp").select(*KEYS, "label")
+    kept = F.coalesce(F.col("doc_id") == F.col("label"), F.col("n_shingles") == 0)
+    found = scratch.table(members.where("doc_id is not null").join(solved, KEYS, "left")
+                          .select("doc_id", *KEYS, kept.alias("kept")), "components")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = f"c{docs.columns.index('doc_id')}"
-    rows = docs.toDF(*names)
+    at, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     # most rows are kept and single; only texts of dropped or repeated ids are shuffled
     doubtful = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
-    doubtful = IdBitmap(doubtful.where("n > 1 or not kept").select("doc_id"))
-    clear = rows.where(F.col(at).isNull() | ~doubtful.hit(at))
-    others = rows.where(F.col(at).isNotNull() & doubtful.hit(at))
-    others = others.join(kept.withColumnRenamed("doc_id", at), at, "left_semi").select(*names).dropDuplicates([at])
+    rows = IdBits(doubtful.where("n > 1 or not kept"), "doc_id", scratch).mark(docs.toDF(*names), at, "doubtful")
+    clear = rows.where(~F.col("doubtful")).select(*names)
+    others = with_keys(rows.where("doubtful").select(*names), text, width)
+    wanted = found.where("kept").select(F.col("doc_id").alias(at), *KEYS).distinct()
+    others = others.join(wanted, [at, *KEYS], "left_semi").dropDuplicates([at, *KEYS]).select(*names)
     return clear.union(others).toDF(*docs.columns)
