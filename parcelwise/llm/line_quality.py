@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import wordhash as wh
-from parcelwise.llm.common import columns_of
+from parcelwise.llm.common import columns_of, frees_memory
 from parcelwise.llm.lines import Scan, flagged_mask, frequent_lines, host_key, in_document, without_lines
 from parcelwise.sources.scratch import Scratch
 
@@ -104,6 +104,7 @@ def quality(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, lef
     """Counts and verdict of every document."""
     names = [part.split()[0] for part in COUNTS.split(", ")]
 
+    @frees_memory
     def run(batches):
         for batch in batches:
             for columns in _judge(batch, left, False):
@@ -117,6 +118,7 @@ def keep_good(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, l
     """The kept documents, their frequent lines removed (columns of ``documents``)."""
     names = ["doc_id", "text", "source", "lang"]
 
+    @frees_memory
     def run(batches):
         for batch in batches:
             for columns in _judge(batch, left, True):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import wordhash as wh
+from parcelwise.llm.common import frees_memory
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _Q_INVERSE = np.uint64(pow(int(_Q), -1, 1 << 64))
@@ -93,6 +94,7 @@ def frequent_lines(rows: DataFrame, share: float, min_docs: int, scratch, limit:
     """Per host an array of (line, first_doc): lines in more than ``min_docs`` documents and
     more than ``share`` of the host's documents or, if there is one, more than ``limit``
     documents. ``rows``: doc_id, host, text."""
+    @frees_memory
     def run(batches):
         for batch in batches:
             yield from _distinct_lines(batch)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import columns_of
-from parcelwise.llm.tokens import default_tokenizer, encoder
+from parcelwise.llm.common import columns_of, frees_memory
+from parcelwise.llm.tokens import default_tokenizer, encoder, forget
 from parcelwise.sources.scratch import Scratch
 
 CAPACITY, END_ID, GRID = 4096, 1, 32
@@ -40,6 +40,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     among that task's pieces of its length (``nth``); ``ids`` (binary) on request."""
     path = path or default_tokenizer()
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
@@ -67,6 +68,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                     columns.append(pa.array([bytes(c) for c in cuts], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        forget()
     schema = PIECES + ", part int, nth long" + (", ids binary" if with_ids else "")
     return columns_of(docs, "doc_id", "text").mapInArrow(run, schema)
 
@@ -248,6 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataF
     kinds = {f.name: f.dataType.simpleString() for f in written.schema.fields}
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "sequence_id long", "offset long"])
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(names.index("length")).to_numpy()
@@ -267,6 +270,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     one = packed.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("items"))
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.frombuffer(b"".join(x["ids"] for x in items), dtype="<u4").astype(np.int64)

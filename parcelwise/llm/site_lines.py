@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import wordhash as wh
+from parcelwise.llm.common import frees_memory
 from parcelwise.llm.lines import Scan, flagged_mask, frequent_lines, host_key, without_lines
 from parcelwise.sources.scratch import Scratch
 
@@ -56,6 +57,7 @@ def drop_site_lines(docs: DataFrame, ratio: float = RATIO, min_docs: int = MIN_D
     kinds = {n: f.dataType.simpleString() for n, f in zip(names, docs.schema.fields, strict=True)}
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in rest), "new_text string", "n_lines long", "n_dropped long"])
 
+    @frees_memory
     def run(batches):
         for batch in batches:
             for a, b, text, lines, dropped in _clean(batch):

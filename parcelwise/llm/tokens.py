@@ -23,8 +23,8 @@ import pyarrow as pa
 from parcelwise.llm import wordhash as wh
 
 #: Distinct words a worker keeps; beyond it the table starts anew (results do not change).
-KNOWN_WORDS = 1_500_000
-SLICE_BYTES = 4_000_000
+KNOWN_WORDS = 400_000
+SLICE_BYTES = 1_000_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -238,3 +238,9 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, special_as_text)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Let go of all encoders: the word table of a large slice of texts is as large as the slice,
+    and the worker process goes on to other stages."""
+    _ENCODERS.clear()
