@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.operators import metrics as M
+from parcelwise.operators.encoding import SCHEMA as ENCODING
 from parcelwise.operators.encoding import Encoding
 from parcelwise.sources.scratch import Scratch
 
@@ -94,20 +95,17 @@ class Booster:
     def save(self, spark: SparkSession, path: str) -> None:
         """One table: a row per tree and the encoding (bounded by the model, not by the data)."""
         rows = [(t, self.start, self.rate, [int(x) for x in c], [float(x) for x in b], [float(x) for x in v],
-                 [float(x) for x in g], list(self.encoding.num), list(self.encoding.cat), list(self.encoding.medians),
-                 [list(x) for x in self.encoding.levels])
+                 [float(x) for x in g], *self.encoding.row())
                 for t, (c, b, v, g) in enumerate(zip(self.column, self.bound, self.value, self.gain))]
         schema = ("tree int, start double, rate double, column array<int>, bound array<double>, value array<double>, "
-                  "gain array<double>, num array<string>, cat array<string>, medians array<double>, "
-                  "levels array<array<string>>")
+                  f"gain array<double>, {ENCODING}")
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Booster:
         rows = spark.read.parquet(path).orderBy("tree").collect()
         r = rows[0]
-        enc = Encoding(tuple(r["num"]), tuple(r["cat"]), tuple(r["medians"]), tuple(tuple(x) for x in r["levels"]))
-        return Booster(enc, r["start"], r["rate"], *[np.array([x[c] for x in rows]) for c in ("column", "bound", "value", "gain")])
+        return Booster(Encoding.of(r), r["start"], r["rate"], *[np.array([x[c] for x in rows]) for c in ("column", "bound", "value", "gain")])
 
 
 def _logistic(margin: np.ndarray) -> np.ndarray:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from parcelwise.operators import metrics as M
 
 
+SCHEMA = "num array<string>, cat array<string>, medians array<double>, levels array<array<string>>"
+
+
 @dataclass(frozen=True)
 class Encoding:
     num: tuple[str, ...]
@@ -29,6 +32,14 @@ class Encoding:
         medians = [M.exact_quantiles(train, c, [0.5])[0] or 0.0 if row[f"n{i}"] else 0.0 for i, c in enumerate(num)]
         return Encoding(tuple(num), tuple(cat), tuple(medians), tuple(tuple(row[f"l{i}"]) for i in range(len(cat))))
 
+    def row(self) -> tuple:
+        """As a row of ``SCHEMA``, to save with a model."""
+        return list(self.num), list(self.cat), list(self.medians), [list(x) for x in self.levels]
+
+    @staticmethod
+    def of(row) -> Encoding:
+        return Encoding(tuple(row["num"]), tuple(row["cat"]), tuple(row["medians"]), tuple(tuple(x) for x in row["levels"]))
+
     def numbers(self) -> list[Column]:
         return [F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(f"x{i}")
                 for i, (c, m) in enumerate(zip(self.num, self.medians))]

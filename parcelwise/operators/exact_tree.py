@@ -17,9 +17,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelwise.operators.encoding import SCHEMA as ENCODING
 from parcelwise.operators.encoding import Encoding
 from parcelwise.sources.scratch import Scratch
 
@@ -55,6 +56,21 @@ class Tree:
             return value(node)
         return F.when(self.right(node), self.choose(value, 2 * node + 1)).otherwise(self.choose(value, 2 * node))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A row per node (bounded by the depth) with the encoding."""
+        rows = []
+        for node, (a, b) in sorted(self.leaves.items()):
+            s = self.splits.get(node)
+            rows.append((node, float(a), float(b), s and s.column, s and s.threshold, s and s.level, *self.encoding.row()))
+        schema = f"node int, a double, b double, column int, threshold double, level string, {ENCODING}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Tree:
+        rows = spark.read.parquet(path).collect()
+        splits = {r["node"]: Split(r["column"], r["threshold"], r["level"]) for r in rows if r["column"] is not None}
+        return Tree(Encoding.of(rows[0]), splits, {r["node"]: (r["a"], r["b"]) for r in rows})
+
     def leaf(self) -> Column:
         return self.choose(F.lit)
 

@@ -22,9 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelwise.operators.encoding import SCHEMA as ENCODING
 from parcelwise.operators.encoding import Encoding
 from parcelwise.sources.scratch import Scratch
 
@@ -93,6 +94,17 @@ class Linear:
     def risk(self) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.column()))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = ([float(x) for x in self.weights], [float(x) for x in self.inputs.mean], [float(x) for x in self.inputs.sd],
+               *self.inputs.encoding.row())
+        schema = f"weights array<double>, mean array<double>, sd array<double>, {ENCODING}"
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Linear:
+        r = spark.read.parquet(path).first()
+        return Linear(Scaled(Encoding.of(r), np.array(r["mean"]), np.array(r["sd"])), np.array(r["weights"]))
+
     def coefficients(self) -> dict[str, float]:
         """On the numbers as they are: intercept and one weight per number and level."""
         n_num = len(self.inputs.mean)

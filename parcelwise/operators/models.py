@@ -25,7 +25,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import score_from_risk
@@ -98,15 +98,36 @@ def _risk(pred: DataFrame) -> DataFrame:
     return pred.withColumn("Risk", vector_to_array("probability")[1])
 
 
-def predict(model: PipelineModel | Booster | T.Tree | Linear, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID") -> DataFrame:
-    """id, label, Risk and prediction of design rows by a fitted model."""
+Model = PipelineModel | Booster | T.Tree | Linear
+
+
+def predict(model: Model, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID",
+            extra: Sequence[str] = ()) -> DataFrame:
+    """id, label, further columns, Risk and prediction of design rows by a fitted model."""
+    keep = [id_col, label, *extra]
     if isinstance(model, Booster):
-        return model.predict(rows, [id_col, label])
+        return model.predict(rows, keep)
     if isinstance(model, (T.Tree, Linear)):
         risk = T.risk(model) if isinstance(model, T.Tree) else model.risk()
-        scored = rows.select(id_col, label, risk.alias("Risk"))
+        scored = rows.select(*keep, risk.alias("Risk"))
         return scored.withColumn("prediction", (F.col("Risk") > 0.5).cast("double"))
-    return _risk(model.transform(rows)).select(id_col, label, "Risk", "prediction")
+    return _risk(model.transform(rows)).select(*keep, "Risk", "prediction")
+
+
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """The kind of model and the model itself, below ``path``."""
+    spark.createDataFrame([(type(model).__name__,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(f"{path}/model")
+    else:
+        model.save(spark, f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    kind = spark.read.parquet(f"{path}/kind").first()["kind"]
+    if kind == "PipelineModel":
+        return PipelineModel.load(f"{path}/model")
+    return {"Booster": Booster, "Tree": T.Tree, "Linear": Linear}[kind].load(spark, f"{path}/model")
 
 
 def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: int = 42,
@@ -235,7 +256,7 @@ def oof_scores(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, n_folds:
 
 
 def importances(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, top: int = 12,
-                model: PipelineModel | Booster | None = None) -> DataFrame:
+                model: Model | None = None) -> DataFrame:
     """(feature, importance) of the fitted tree ensemble, expanded one-hot names."""
     d = design(cod)
     model = model or fit_predict(d, [], name, seed)[0]
@@ -260,18 +281,14 @@ def _feature_names(meta: dict) -> dict[int, str]:
 
 def batch_score(cod: DataFrame, new_orders: DataFrame, name: str = SCORE_MODEL, seed: int = 42,
                 model_path: str | None = None, low: int = 580, high: int = 720,
-                model: PipelineModel | Booster | None = None) -> DataFrame:
+                model: Model | None = None) -> DataFrame:
     """Fit once on ``cod`` (unless a fitted ``model`` is given), save the model to the shared
     folder, load it back and score ``new_orders``. Columns they lack are filled: hour 20,
     1 item, the most common state."""
     model = model or fit_predict(design(cod), [], name, seed)[0]
     path = model_path or Scratch(cod.sparkSession, "model").path(name.replace(" ", "_").lower())
-    if isinstance(model, Booster):
-        model.save(cod.sparkSession, path)
-        loaded = Booster.load(cod.sparkSession, path)
-    else:
-        model.write().overwrite().save(path)
-        loaded = PipelineModel.load(path)
+    save_model(cod.sparkSession, model, path)
+    loaded = load_model(cod.sparkSession, path)
     mode_state = (cod.groupBy("State").agg(F.count(F.lit(1)).alias("n"))
                      .agg(F.min_by("State", F.struct(-F.col("n"), F.col("State")))).scalar())
     filled = new_orders

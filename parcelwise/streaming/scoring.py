@@ -2,7 +2,7 @@
 
 The reference scores one order at a time from a form; on a cluster the same step is a
 stream: new CSV exports land in a folder, each micro-batch is cleaned with the batch
-cleaning steps that are row-local, scored by the saved pipeline (fitted once by
+cleaning steps that are row-local, scored by the saved model (fitted once by
 ``models.fit_predict`` and saved by ``save_scorer``) and tiered. Nothing here keeps state
 across micro-batches, so no watermark is needed; the sink's checkpoint (in the shared
 checkpoint folder) gives exactly-once file output after a restart.
@@ -15,14 +15,12 @@ streaming de-duplication would keep every order id in state forever).
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.functions.exprs import null_tokens_to_null, score_from_risk
 from parcelwise.operators import clean as C
-from parcelwise.operators.models import design
+from parcelwise.operators.models import Model, design, load_model, predict, save_model
 from parcelwise.operators.policy import tier_expr
 from parcelwise.sources.io import RAW_SCHEMA
 
@@ -34,9 +32,9 @@ def read_order_stream(spark: SparkSession, folder: str, max_files_per_trigger: i
             .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
 
 
-def save_scorer(model: PipelineModel, batch_raw: DataFrame, path: str) -> None:
-    """The fitted pipeline and the discount median of the batch it was fitted on."""
-    model.write().save(f"{path}/model")
+def save_scorer(model: Model, batch_raw: DataFrame, path: str) -> None:
+    """The fitted model and the discount median of the batch it was fitted on."""
+    save_model(batch_raw.sparkSession, model, f"{path}/scorer")
     parsed = C.dedup(batch_raw).transform(C.parse_value).transform(C.parse_discount)
     C.discount_median(parsed).withColumnRenamed("__disc_median", "discount_median").coalesce(1) \
         .write.parquet(f"{path}/discount_median")
@@ -55,11 +53,10 @@ def clean_stream(raw: DataFrame, discount_median: float | None) -> DataFrame:
 
 def score_stream(raw: DataFrame, path: str, low: int = 580, high: int = 720) -> DataFrame:
     """COD orders of the stream with Risk, Score and Tier from what ``save_scorer`` wrote."""
-    model = PipelineModel.load(f"{path}/model")
+    model = load_model(raw.sparkSession, f"{path}/scorer")
     median = raw.sparkSession.read.parquet(f"{path}/discount_median").first()["discount_median"]
     cod = clean_stream(raw, median).where(F.col("IsCOD") == 1)
-    scored = model.transform(design(cod, extra=["CustomerID"]))
-    risk = vector_to_array("probability")[1]
-    out = scored.select("OrderID", "CustomerID", F.round(risk, 6).alias("Risk"),
-                        score_from_risk(risk).alias("Score"))
+    scored = predict(model, design(cod, extra=["CustomerID"]), extra=["CustomerID"])
+    out = scored.select("OrderID", "CustomerID", F.round("Risk", 6).alias("Risk"),
+                        score_from_risk("Risk").alias("Score"))
     return out.withColumn("Tier", tier_expr("Score", low, high))

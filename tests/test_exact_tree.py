@@ -74,6 +74,21 @@ def test_gini_tree(spark, range_rows):
         assert len(tree.rules()) == len(tree.splits)
 
 
+@pytest.mark.parametrize("name", ["Decision Tree", "Logistic Regression", "Gradient Boosting"])
+def test_models_are_saved_and_loaded(spark, tmp_path, monkeypatch, name):
+    from parcelwise.operators import models as ML
+    monkeypatch.setattr(ML, "NUM_FEATS", NUM)
+    monkeypatch.setattr(ML, "CAT_FEATS", CAT)
+    frame = spark.createDataFrame(_rows(120, seed=4), SCHEMA)
+    model, (before,) = ML.fit_predict(frame, [frame], name)
+    path = f"file://{tmp_path}/{name.replace(' ', '_')}"
+    ML.save_model(spark, model, path)
+    after = ML.predict(ML.load_model(spark, path), frame, extra=["fold"])
+    assert after.columns == ["OrderID", "RTO", "fold", "Risk", "prediction"]
+    want = {r["OrderID"]: r["Risk"] for r in before.collect()}
+    assert all(r["Risk"] == pytest.approx(want[r["OrderID"]], abs=1e-12) for r in after.collect())
+
+
 def test_regression_tree(spark):
     rows = _rows(250, seed=9)
     fill = float(np.median([r[4] for r in rows if r[4] is not None]))
