@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import wordhash as wh
-from parcelwise.llm.common import columns_of
+from parcelwise.llm.common import columns_of, frees_memory
 from parcelwise.sources.scratch import Scratch
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 BLOCK = 64
 TOP = 50
 #: Terms of the queries that are held at a time; a block has at least one query.
@@ -108,20 +108,22 @@ class _Shard:
 
     def add(self, ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> None:
         for term, doc, count in scan_terms(raw, offsets):
-            self.parts.append((term, doc + self.docs, count))
+            self.parts.append((term, (doc + self.docs).astype(np.int32), count.astype(np.int32)))
         self.ids.append(ids)
         self.docs += len(ids)
         self.bytes += len(raw) + 16 * len(ids)
 
     def batch(self, number: int) -> pa.RecordBatch:
         term, doc, count = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         length = np.zeros(self.docs, dtype=np.int64)
         np.add.at(length, doc, count)
         order = np.argsort(length, kind="stable")
         order = order[length[order] > 0]
-        place = np.zeros(self.docs, dtype=np.int64)
+        place = np.zeros(self.docs, dtype=np.int32)
         place[order] = np.arange(len(order))
         term, at, tf = summed(term, place[doc], count)
+        at, tf = at.astype(np.int64), tf.astype(np.int64)
         heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         df = np.diff(np.append(heads, len(term)))
         inside = np.arange(len(term)) - np.repeat(heads, df)
@@ -149,6 +151,7 @@ class _Shard:
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard: documents, lengths, terms, block bounds and the blocks' bytes."""
+    @frees_memory
     def run(batches):
         # the shard's name is its task's partition and its place there: the same after a rerun
         number, shard = TaskContext.get().partitionId() << 32, _Shard()
@@ -317,6 +320,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
     """item_no, doc_id, score: at least the ``top`` best rows of every query of the block."""
     asked = np.unique(np.concatenate([terms for _, terms in block])).astype(np.uint64)
 
+    @frees_memory
     def count(batches):
         total = np.zeros(len(asked), dtype=np.int64)
         for batch in batches:
@@ -337,6 +341,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
     weights = np.array([_weight(stats[0], int(x)) if x else 0 for x in df], dtype=np.int64)
     queries = [(no, np.searchsorted(asked, terms)) for no, terms in block]
 
+    @frees_memory
     def search(batches):
         best = [_Best(top) for _ in queries]
         for batch in batches:
@@ -358,6 +363,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
 
 def _query_terms(queries: DataFrame) -> DataFrame:
     """item_id and its distinct term hashes; texts without a term are left out."""
+    @frees_memory
     def run(batches):
         for batch in batches:
             raw, offsets = wh.text_buffers(batch.column(1))
