@@ -1,11 +1,11 @@
-"""Return-risk classifiers on COD orders with Spark ML, and what is built on them.
+"""Return-risk classifiers on COD orders, and what is built on them.
 
 * :func:`feature_stages` -- scale 7 numbers (mean 0, sd 1) and one-hot 5 categories
-  (all seen levels kept, unseen or NULL levels -> all zeros).
-* :func:`make_classifier` -- a 300-tree depth-12 forest (balanced). Logistic regression (L2,
-  C = 1, balanced) is in ``gram``, the depth-6 tree (balanced) in ``exact_tree``. Gradient boosting (100 rounds of depth-3
-  trees, step 0.1, Newton leaves) is in ``boosting``, KNN (k = 25) is the exact blocked scorer
-  in ``knn``.
+  (all seen levels kept, unseen or NULL levels -> all zeros), for KNN.
+* :func:`fit_predict` -- logistic regression (L2, C = 1, balanced) is in ``gram``, the depth-6
+  tree (balanced) in ``exact_tree``, the forest of 300 depth-12 trees (balanced) in ``forest``,
+  gradient boosting (100 rounds of depth-3 trees, step 0.1, Newton leaves) in ``boosting``; KNN
+  (k = 25) is the exact blocked scorer in ``knn``.
 * :func:`train_models` -- stratified hold-out, fit all five, one metrics row per model.
 * :func:`oof_scores` -- out-of-fold risk for every order (fit on four folds, score the
   fifth), mapped to the 300-900 score.
@@ -21,8 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,10 +31,11 @@ from parcelwise.functions.exprs import score_from_risk
 from parcelwise.operators import exact_tree as T
 from parcelwise.operators import metrics as M
 from parcelwise.operators.boosting import Booster, fit_boosters
+from parcelwise.operators.forest import Forest, fit_forest
 from parcelwise.operators.gram import Linear, logistic
 from parcelwise.operators.parallel_fits import run_concurrently
 from parcelwise.operators.knn import knn_scores
-from parcelwise.operators.windows import join_null_safe, split_and_folds
+from parcelwise.operators.windows import split_and_folds
 from parcelwise.sources.scratch import Scratch
 from parcelwise.sources.store import materialize
 
@@ -81,53 +81,29 @@ def class_weights(df: DataFrame, label: str = "RTO") -> DataFrame:
               .withColumn("weight", total / (F.lit(2.0) * F.col("n"))))
 
 
-def with_weights(df: DataFrame, label: str = "RTO", out: str = "w") -> DataFrame:
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return join_null_safe(df, F.broadcast(w), [label])  # one row per class
-
-
-def make_classifier(name: str, seed: int = 42, weight_col: str = "w", label: str = "RTO"):
-    common = dict(featuresCol="features", labelCol=label)
-    if name == "Random Forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=12, weightCol=weight_col, seed=seed,
-                                      featureSubsetStrategy="sqrt", **common)
-    raise ValueError(f"unknown model {name!r}")
-
-
-def _risk(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("Risk", vector_to_array("probability")[1])
-
-
-Model = PipelineModel | Booster | T.Tree | Linear
+Model = Booster | Forest | T.Tree | Linear
 
 
 def predict(model: Model, rows: DataFrame, label: str = "RTO", id_col: str = "OrderID",
             extra: Sequence[str] = ()) -> DataFrame:
     """id, label, further columns, Risk and prediction of design rows by a fitted model."""
     keep = [id_col, label, *extra]
-    if isinstance(model, Booster):
+    if isinstance(model, (Booster, Forest)):
         return model.predict(rows, keep)
-    if isinstance(model, (T.Tree, Linear)):
-        risk = T.risk(model) if isinstance(model, T.Tree) else model.risk()
-        scored = rows.select(*keep, risk.alias("Risk"))
-        return scored.withColumn("prediction", (F.col("Risk") > 0.5).cast("double"))
-    return _risk(model.transform(rows)).select(*keep, "Risk", "prediction")
+    risk = T.risk(model) if isinstance(model, T.Tree) else model.risk()
+    scored = rows.select(*keep, risk.alias("Risk"))
+    return scored.withColumn("prediction", (F.col("Risk") > 0.5).cast("double"))
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
     """The kind of model and the model itself, below ``path``."""
     spark.createDataFrame([(type(model).__name__,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
-    if isinstance(model, PipelineModel):
-        model.write().overwrite().save(f"{path}/model")
-    else:
-        model.save(spark, f"{path}/model")
+    model.save(spark, f"{path}/model")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
     kind = spark.read.parquet(f"{path}/kind").first()["kind"]
-    if kind == "PipelineModel":
-        return PipelineModel.load(f"{path}/model")
-    return {"Booster": Booster, "Tree": T.Tree, "Linear": Linear}[kind].load(spark, f"{path}/model")
+    return {"Booster": Booster, "Forest": Forest, "Tree": T.Tree, "Linear": Linear}[kind].load(spark, f"{path}/model")
 
 
 def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: int = 42,
@@ -159,10 +135,10 @@ def fit_predict(train: DataFrame, tests: Sequence[DataFrame], name: str, seed: i
     if name == "Logistic Regression":
         (model,) = logistic(train, [F.lit(True)], NUM_FEATS, CAT_FEATS, label)
         return model, [predict(model, t, label, id_col) for t in tests]
-    clf = make_classifier(name, seed, label=label)
-    model = Pipeline(stages=feature_stages() + [clf]).fit(with_weights(train, label))
-    outs = [predict(model, t, label, id_col) for t in tests]
-    return model, outs
+    if name == "Random Forest":
+        model = fit_forest(train, NUM_FEATS, CAT_FEATS, label, [id_col], seed=seed)
+        return model, [predict(model, t, label, id_col) for t in tests]
+    raise ValueError(f"unknown model {name!r}")
 
 
 def _metrics_row(name: str, pred_test: DataFrame, pred_train: DataFrame, label: str = "RTO") -> DataFrame:
@@ -260,25 +236,10 @@ def importances(cod: DataFrame, name: str = SCORE_MODEL, seed: int = 42, top: in
     """(feature, importance) of the fitted tree ensemble, expanded one-hot names."""
     d = design(cod)
     model = model or fit_predict(d, [], name, seed)[0]
-    spark = cod.sparkSession
-    if isinstance(model, Booster):
-        rows = model.importances()
-    else:
-        names = _feature_names(model.transform(d.limit(1)).schema["features"].metadata)
-        imp = model.stages[-1].featureImportances.toArray().tolist()
-        rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    df = cod.sparkSession.createDataFrame(model.importances(), "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def _feature_names(meta: dict) -> dict[int, str]:
-    names = {}
-    for group in meta.get("ml_attr", {}).get("attrs", {}).values():
-        for a in group:
-            names[a["idx"]] = a["name"].replace("__num_z_", "").replace("__full", "").replace("__vec_", "=")
-    return names
-
-
 def batch_score(cod: DataFrame, new_orders: DataFrame, name: str = SCORE_MODEL, seed: int = 42,
                 model_path: str | None = None, low: int = 580, high: int = 720,
                 model: Model | None = None) -> DataFrame:

@@ -783,9 +783,12 @@ for _key, _name in [("model_logreg", "Logistic Regression"), ("model_knn", "KNN"
 
 
 def _train_models(spark, sf):
-    return frame(spark, sf, "train_models", lambda: ML.train_models(
-        data.cod(spark, sf),
-        fitted={ML.SCORE_MODEL: tuple(_boosted_predictions(spark, sf, t) for t in (1, 0))}))
+    def make():
+        forest, test = _fitted(spark, sf, "Random Forest")
+        train = materialize(spark, ML.predict(forest, _holdout(spark, sf)[0]), "predictions")
+        return ML.train_models(data.cod(spark, sf), fitted={
+            ML.SCORE_MODEL: tuple(_boosted_predictions(spark, sf, t) for t in (1, 0)), "Random Forest": (test, train)})
+    return frame(spark, sf, "train_models", make)
 
 
 @query("train_models")
