@@ -596,6 +596,27 @@ SELECT q AS vec_id, CAST(sum(label) AS INTEGER) AS n_positive,
        CASE WHEN sum(label) / count(*) > 0.5 THEN 1 ELSE 0 END AS pred
 FROM r WHERE rn <= 25 GROUP BY q""")
 
+# ------------------------------------------------------------------ 2.9 silhouette
+_HABITS = ["Orders", "AvgValue", "AvgDiscount", "PctCOD", "ReturnRate"]
+_APART = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(_HABITS)))
+sql("silhouette_labels", with_ctes_extra("""
+shoppers AS (SELECT row_number() OVER (ORDER BY CustomerID) AS id, count(*) AS Orders, avg(OrderValue) AS AvgValue,
+    avg(DiscountPct) AS AvgDiscount, avg(IsCOD) AS PctCOD, avg(RTO) AS ReturnRate
+  FROM cod_clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID),
+zs AS (SELECT id, """ + ", ".join(
+    f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0.0) AS z{i}" for i, c in enumerate(_HABITS)) + """
+  FROM shoppers),
+groups AS (SELECT id, 0 AS labelling, CASE WHEN ReturnRate > 0 THEN 1 ELSE 0 END AS g FROM shoppers
+  UNION ALL SELECT id, 1, CASE WHEN PctCOD = 0 THEN 0 WHEN PctCOD = 1 THEN 2 ELSE 1 END FROM shoppers),
+apart AS (SELECT a.id, l.labelling, l.g, sum(sqrt(""" + _APART + """)) AS d, count(*) AS n
+  FROM zs a, zs b JOIN groups l ON l.id = b.id GROUP BY a.id, l.labelling, l.g),
+sides AS (SELECT m.labelling, m.id, max(CASE WHEN s.g = m.g THEN s.n END) AS n,
+    max(CASE WHEN s.g = m.g THEN s.d / greatest(s.n - 1, 1) END) AS inside, min(CASE WHEN s.g <> m.g THEN s.d / s.n END) AS outside
+  FROM groups m JOIN apart s ON s.id = m.id AND s.labelling = m.labelling GROUP BY m.labelling, m.id)""", """
+SELECT CAST(labelling AS INTEGER) AS labelling, round(avg(CASE WHEN n = 1 OR outside IS NULL OR greatest(inside, outside) = 0 THEN 0.0
+       ELSE (outside - inside) / greatest(inside, outside) END), 6) AS silhouette
+FROM sides GROUP BY labelling""", "cod_clean"))
+
 # ------------------------------------------------------------------ 2.10 regression baseline
 _CAT_ONLY = f"""
 sp AS (SELECT OrderID, Category, CAST(OrderValue AS DOUBLE) AS y,

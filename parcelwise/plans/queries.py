@@ -705,7 +705,9 @@ from parcelwise.operators import knn as K  # noqa: E402
 from parcelwise.operators import models as ML  # noqa: E402
 from parcelwise.operators import regress as RG  # noqa: E402
 from parcelwise.operators import segment as SG  # noqa: E402
+from parcelwise.operators import lloyd  # noqa: E402
 from parcelwise.operators.encoding import Encoding  # noqa: E402
+from parcelwise.operators.silhouette import silhouettes  # noqa: E402
 from parcelwise.sources.store import frame  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
@@ -901,12 +903,17 @@ def _habits(spark, sf):
     return frame(spark, sf, "habits", lambda: SG.standardized_habits(data.clean(spark, sf)))
 
 
+def _groups(spark, sf):
+    """All models of 2 to 7 groups, fitted once."""
+    return _once(spark, sf, "groups", lambda: lloyd.fit(_habits(spark, sf), SG.GROUPS, SG.STARTS))
+
+
 def _scan(spark, sf):
-    return frame(spark, sf, "kmeans_scan", lambda: SG.kmeans_scan(_habits(spark, sf)))
+    return frame(spark, sf, "kmeans_scan", lambda: SG.kmeans_scan(_habits(spark, sf), fitted=_groups(spark, sf)))
 
 
 def _km2(spark, sf):
-    return frame(spark, sf, "kmeans_two", lambda: SG.kmeans_two(_habits(spark, sf)))
+    return frame(spark, sf, "kmeans_two", lambda: SG.kmeans_two(_habits(spark, sf), fitted=_groups(spark, sf)))
 
 
 def _gmm(spark, sf):
@@ -923,6 +930,16 @@ def q_silhouette(spark, sf):
     return _scan(spark, sf).select("k", "silhouette")
 
 
+@query("silhouette_labels")
+def q_silhouette_labels(spark, sf):
+    """Silhouettes of two labellings that need no model: any returns or none; prepaid only, mixed, COD only."""
+    x = _habits(spark, sf).withColumn("x", vector_to_array("features"))
+    returns = F.coalesce(F.col("ReturnRate") > 0, F.lit(False)).cast("int")
+    payment = F.when(F.col("PctCOD") == 0, 0).when(F.col("PctCOD") == 1, 2).otherwise(1)
+    return silhouettes(x.withColumn("labels", F.array(returns, payment)), [2, 3]) \
+        .select(F.col("labelling"), F.round("silhouette", 6).alias("silhouette"))
+
+
 @query("best_k")
 def q_best_k(spark, sf):
     """The number of groups with the best silhouette (the smaller one on ties)."""
