@@ -917,7 +917,7 @@ def _km2(spark, sf):
 
 
 def _gmm(spark, sf):
-    return frame(spark, sf, "gmm", lambda: SG.gmm_membership(_habits(spark, sf)))
+    return frame(spark, sf, "gmm", lambda: SG.gmm_membership(_habits(spark, sf), fitted=_groups(spark, sf)))
 
 
 @query("kmeans_scan")
