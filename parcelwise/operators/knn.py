@@ -1,11 +1,20 @@
-"""Exact k-nearest-neighbour scoring (Euclidean, uniform vote).
-
-The training rows are written to the shared folder as files of at most ``BLOCK_ROWS`` rows.
-Every task goes through the files one at a time and keeps the k best per query row, so neither
-the driver nor a task ever holds more than one block, and no pair becomes a row. Distances of
-a tile (``TILE_ROWS`` x ``BLOCK_ROWS``, 64 MB) come from one matrix product of centred rows. That form
-rounds, so every training row within a proven rounding bound of the k-th best is measured
-again by exact differences; ties go to the smaller training id.
+"""Exact k-nearest-neighbour scoring (Euclidean, uniform vote) with an inverted-list index.
+
+Centres are fitted on a bounded sample of the training rows (``SAMPLE_ROWS`` least hashes of the id);
+every training row is assigned to its nearest centre and kept with its residual, the distance to it.
+The rows are written to the shared folder in the order of (list, residual) as files of at most
+``BLOCK_ROWS`` rows; a directory has the least and the largest residual per file and list.
+By the triangle inequality no row of such a part is nearer to a query q than |q - centre| - largest
+or least - |q - centre|, so a file whose bound is beyond the k-th best distance of a query so far is
+not measured for it, and not read if that holds for all queries at hand. The result is exact
+whatever the centres are; they only decide how much is skipped.
+
+Query rows are brought together by their nearest centre. A task holds ``QUERY_ROWS`` of them at a time
+and goes through the files, nearest first, one at a time: neither the driver nor a task ever holds
+more than one block, and no pair becomes a row. Distances of a tile (``TILE_ROWS`` x ``BLOCK_ROWS``,
+64 MB) come from one matrix product of centred rows. That form rounds, so every training row
+within a proven rounding bound of the k-th best is measured again by exact differences; ties go to
+the smaller training id. Rows without a vector take no part.
 """
 
 from __future__ import annotations
@@ -17,99 +26,213 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.operators.lloyd import squared
 from parcelwise.sources.scratch import Scratch
 
-BLOCK_ROWS, TILE_ROWS = 8192, 1024
+BLOCK_ROWS, TILE_ROWS, QUERY_ROWS = 8192, 1024, 8192
+#: The index: training rows that centres are fitted on, lists at most, rows of the sample per list.
+SAMPLE_ROWS, LISTS, ROWS_PER_LIST = 10_000, 256, 16
+#: Pairs measured exactly at a time.
+PAIRS = 1 << 20
+_EPS = np.finfo(float).eps
 
 
 def _exact(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Squared distances summed coordinate by coordinate in a fixed order, so that a value
-    (and the order of ties) never depends on how rows were batched."""
+    """Squared distances (of rows to one row, or row by row) summed coordinate by coordinate in a
+    fixed order, so that a value (and the order of ties) never depends on how rows were batched."""
     acc = np.zeros(rows.shape[0])
     for j in range(rows.shape[1]):
-        step = rows[:, j] - v[j]
+        step = rows[:, j] - v[..., j]
         acc += step * step
     return acc
 
 
 class Nearest:
-    """The k nearest training rows of some query rows, block after block."""
+    """The k nearest training rows of some query rows, block after block. Places not taken yet have an
+    infinite distance; ``measured`` counts the pairs compared per query."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool):
         self.queries, self.query_ids, self.k, self.exclude_self = queries, query_ids, k, exclude_self
-        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [
-            (np.zeros(0), np.zeros(0, dtype=query_ids.dtype), np.zeros(0)) for _ in query_ids]
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        n = len(queries)
+        self.distance = np.full((n, k), np.inf)
+        self.known = np.zeros((n, k), dtype=query_ids.dtype)
+        self.votes = np.zeros((n, k))
+        self.measured = np.zeros(n, dtype=np.int64)
+
+    @property
+    def best(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per query (squared distances, ids, labels), nearest first."""
+        found = np.isfinite(self.distance).sum(axis=1)
+        return [(d[:n], i[:n], v[:n]) for d, i, v, n in zip(self.distance, self.known, self.votes, found)]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Compares the block with the queries (numbers ``which``, or all)."""
+        which = np.arange(len(self.queries)) if which is None else which
+        self.measured[which] += len(rows)
         centre = rows.mean(axis=0)
         near = rows - centre
         near_sq = np.einsum("ij,ij->i", near, near)
-        for at in range(0, len(self.queries), TILE_ROWS):
-            moved = self.queries[at:at + TILE_ROWS] - centre
+        spare = self.k + self.exclude_self
+        for at in range(0, len(which), TILE_ROWS):
+            mine = which[at:at + TILE_ROWS]
+            moved = self.queries[mine] - centre
             moved_sq = np.einsum("ij,ij->i", moved, moved)
             rough = moved_sq[:, None] + near_sq[None, :] - 2.0 * (moved @ near.T)
             # differences, squares and product each round by at most (dims + 2) units
-            slack = 16 * (rows.shape[1] + 2) * np.finfo(float).eps * (moved_sq + near_sq.max())
-            for i in range(len(moved)):
-                self._merge(at + i, rough[i], slack[i], rows, ids, labels)
-
-    def _merge(self, i: int, rough: np.ndarray, slack: float, rows: np.ndarray, ids: np.ndarray,
+            slack = 16 * (rows.shape[1] + 2) * _EPS * (moved_sq + near_sq.max())
+            cut = self.distance[mine, -1]
+            if spare < len(ids):
+                cut = np.minimum(cut, np.partition(rough, spare - 1, axis=1)[:, spare - 1])
+            close = rough <= (cut + slack)[:, None]
+            ends = np.cumsum(close.sum(axis=1))
+            first = 0
+            while first < len(mine):  # as many queries at a time as have PAIRS rows, at least one
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+                query, row = np.nonzero(close[first:last])
+                self._merge(mine[first:last], query, row, rows, ids, labels)
+                first = last
+
+    def _merge(self, mine: np.ndarray, query: np.ndarray, row: np.ndarray, rows: np.ndarray, ids: np.ndarray,
                labels: np.ndarray) -> None:
-        distance, known, votes = self.best[i]
-        spare = self.k + self.exclude_self
-        cut = np.partition(rough, spare - 1)[spare - 1] if spare < len(rough) else np.inf
-        if len(distance) == self.k:
-            cut = min(cut, distance[-1])
-        at = np.flatnonzero(rough <= cut + slack)
         if self.exclude_self:
-            at = at[ids[at] != self.query_ids[i]]
-        distance = np.concatenate([distance, _exact(rows[at], self.queries[i])])
-        known, votes = np.concatenate([known, ids[at]]), np.concatenate([votes, labels[at]])
-        order = np.lexsort((known, distance))[:self.k]
-        self.best[i] = (distance[order], known[order], votes[order])
+            other = ids[row] != self.query_ids[mine[query]]
+            query, row = query[other], row[other]
+        old_query, old_place = np.nonzero(np.isfinite(self.distance[mine]))
+        held = mine[old_query]
+        whose = np.concatenate([old_query, query])
+        distance = np.concatenate([self.distance[held, old_place], _exact(rows[row], self.queries[mine[query]])])
+        known = np.concatenate([self.known[held, old_place], ids[row]])
+        votes = np.concatenate([self.votes[held, old_place], labels[row]])
+        order = np.lexsort((known, distance, whose))
+        whose = whose[order]
+        place = np.arange(len(whose)) - np.searchsorted(whose, whose)
+        order, whose, place = order[place < self.k], whose[place < self.k], place[place < self.k]
+        if known.dtype != self.known.dtype:  # longer text ids
+            self.known = self.known.astype(np.promote_types(known.dtype, self.known.dtype))
+        at = mine[whose]
+        self.distance[at, place], self.known[at, place], self.votes[at, place] = distance[order], known[order], votes[order]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _centres(train: DataFrame, passes: int = 5) -> np.ndarray:
+    """Centres of the lists, fitted on at most ``SAMPLE_ROWS`` rows."""
+    sample = train.orderBy(F.xxhash64("id"), "id").select("x").limit(SAMPLE_ROWS).toArrow()
+    x = _matrix(sample["x"])
+    centres = x[:max(1, min(LISTS, len(x) // ROWS_PER_LIST))].copy()
+    for _ in range(passes):
+        away = (centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)
+        own = away.argmin(axis=1) if len(x) else np.zeros(0, dtype=int)
+        for g in np.unique(own):
+            centres[g] = x[own == g].mean(axis=0)
+    return centres
+
+
+def _assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``rows`` (last column: the vector) with the number of the nearest centre and the distance to it."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                away = squared(_matrix(batch.column(len(names) - 1)), centres)
+                own = away.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(own.astype(np.int32)), pa.array(np.sqrt(away[np.arange(len(own)), own]))],
+                    names=[*names, "list", "residual"])
+    return rows.mapInArrow(run, rows.withColumns({"list": F.lit(0), "residual": F.lit(0.0)}).schema)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+def _bounds(away: np.ndarray, parts: np.ndarray, dims: int) -> np.ndarray:
+    """Per query no row of a file is nearer than this (squared); ``away`` are the distances to the
+    centres, ``parts`` the file's (list, least, largest residual). Distances round by (dims + 2) units."""
+    lists, least, largest = parts[:, 0].astype(int), parts[:, 1], parts[:, 2]
+    apart = away[:, lists]
+    low = np.maximum(apart - largest, least - apart) - 4 * (dims + 4) * _EPS * (apart + largest)
+    return np.maximum(low, 0.0).min(axis=1) ** 2 * (1 - 8 * (dims + 4) * _EPS)
 
 
 def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str = "x",
                label: str = "y", train_id: str = "tid", query_id: str = "qid",
                exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each query row: ``prob`` (share of label 1 among the k nearest training rows),
-    ``pred`` (prob > 0.5) and ``neighbours`` (ids of the k nearest, nearest first).
+    ``pred`` (prob > 0.5), ``neighbours`` (ids of the k nearest, nearest first), ``n_positive`` and
+    ``measured`` (training rows that the query was compared with).
 
     ``features`` is an array<double> column in both frames; ``exclude_self`` drops the
     training row whose id equals the query id (leave-one-out on one table).
     """
     spark = train.sparkSession
     scratch = Scratch(spark, "knn")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kept = train.select(F.col(train_id).alias("id"), F.col(label).cast("double").alias("y"),
+                        F.col(features).cast("array<double>").alias("x")).where("x is not null")
+    centres = _centres(kept)
+    placed = scratch.table(_assigned(kept, centres), "placed")
     path = scratch.path("train")
-    train.select(F.col(train_id).alias("id"), F.col(features).cast("array<double>").alias("x"),
-                 F.col(label).cast("double").alias("y")) \
-        .write.option("maxRecordsPerFile", block_rows).parquet(path)
-    shared = path if ":" in path.split("/")[0] else "file://" + path
+    # equal rows are told apart by the id's hash, so that they need not lie in one range
+    order = ["list", "residual", F.xxhash64("id")]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", block_rows).parquet(path)
+    scratch.drop(placed)
+    directory = scratch.path("directory")
+    spark.read.schema(placed.schema).parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "list") \
+        .agg(F.min("residual").alias("least"), F.max("residual").alias("largest")).write.parquet(directory)
+    shared, listed = (p if ":" in p.split("/")[0] else "file://" + p for p in (path, directory))
     kind = query.select(query_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(shared)
-        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        where = fs.FileSystem.from_uri(listed)[1]
+        entries: dict[str, list] = {}
+        for f in store.get_file_info(fs.FileSelector(where)):
+            if f.path.endswith(".parquet"):
+                for r in pq.read_table(f.path, filesystem=store).to_pylist():  # one a file and list
+                    entries.setdefault(r["file"], []).append((r["list"], r["least"], r["largest"]))
+        files = {name: np.array(sorted(rows)) for name, rows in sorted(entries.items())}
+
+        def search(ids: pa.Array, queries: np.ndarray) -> pa.RecordBatch:
+            nearest = Nearest(queries, np.array(ids.to_pylist()), k, exclude_self)
+            dims = queries.shape[1]
+            away = np.sqrt(squared(queries, centres)) if files else np.zeros((len(queries), 0))
+            middle = away.mean(axis=0, keepdims=True)
+            for name in sorted(files, key=lambda n: float(_bounds(middle, files[n], dims)[0])):
+                which = np.flatnonzero(_bounds(away, files[name], dims) <= nearest.distance[:, -1])
+                if len(which):
+                    block = pq.read_table(f"{root}/{name}", filesystem=store)
+                    nearest.add(_matrix(block["x"]), np.array(block["id"].to_pylist()), block["y"].to_numpy(), which)
+            best = nearest.best
+            positive = np.array([v.sum() for _, _, v in best])
+            found = np.maximum(np.array([len(v) for _, _, v in best]), 1)
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(positive / found), pa.array((positive / found > 0.5).astype(np.int32)),
+                 pa.array([known.tolist() for _, known, _ in best], pa.list_(ids.type)),
+                 pa.array(positive.astype(np.int32)), pa.array(nearest.measured)],
+                names=[query_id, "prob", "pred", "neighbours", "n_positive", "measured"])
+
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).select([0, 1]).combine_chunks()
+            held.clear()
+            for at in range(0, table.num_rows, QUERY_ROWS):
+                some = table.slice(at, QUERY_ROWS).combine_chunks()
+                yield search(some.column(0).chunk(0), _matrix(some.column(1)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            nearest = Nearest(_matrix(batch.column(1)), np.array(batch.column(0).to_pylist()), k, exclude_self)
-            for file in files:
-                block = pq.read_table(file, filesystem=store)
-                if block.num_rows:
-                    nearest.add(_matrix(block["x"]), np.array(block["id"].to_pylist()), block["y"].to_numpy())
-            positive = np.array([v.sum() for _, _, v in nearest.best])
-            found = np.maximum(np.array([len(v) for _, _, v in nearest.best]), 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(positive / found), pa.array((positive / found > 0.5).astype(np.int32)),
-                 pa.array([ids.tolist() for _, ids, _ in nearest.best], pa.list_(batch.column(0).type)),
-                 pa.array(positive.astype(np.int32))],
-                names=[query_id, "prob", "pred", "neighbours", "n_positive"])
-    rows = query.select(F.col(query_id), F.col(features).cast("array<double>"))
-    return rows.mapInArrow(run, f"{query_id} {kind}, prob double, pred int, neighbours array<{kind}>, n_positive int")
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= QUERY_ROWS:
+                yield from flush()
+        if held:
+            yield from flush()
+    rows = query.select(F.col(query_id), F.col(features).cast("array<double>").alias("x")).where("x is not null")
+    if len(centres):
+        rows = _assigned(rows, centres).repartitionByRange(parts, "list", "residual").sortWithinPartitions("list")
+    return rows.select(query_id, "x").mapInArrow(
+        run, f"{query_id} {kind}, prob double, pred int, neighbours array<{kind}>, n_positive int, measured long")

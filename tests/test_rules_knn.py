@@ -97,3 +97,46 @@ def test_knn_tight_cluster_far_from_origin():
             d = K._exact(x, x[i])
             d[i] = np.inf
             assert near.best[i][1].tolist() == np.lexsort((ids, d))[:5].tolist()
+
+
+def _groups(n=4000, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(40, 12))[rng.integers(0, 40, n)] * 10 + rng.normal(size=(n, 12)) * 0.3
+    x[:900] = x[0]  # copies: many ties, one hot list
+    return x
+
+
+def test_index_skips_and_stays_exact(spark):
+    """Recall 1 while most pairs are never measured."""
+    x = _groups()
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, x array<double>, y int")
+    rows = K.knn_scores(df, df, k=9, train_id="id", query_id="id", exclude_self=True, block_rows=50).collect()
+    assert len(rows) == len(x)
+    for r in rows[::13]:
+        d = K._exact(x, x[r.id])
+        d[r.id] = np.inf
+        assert r.neighbours == np.lexsort((np.arange(len(x)), d))[:9].tolist()
+    assert sum(r.measured for r in rows) < 0.35 * len(x) ** 2
+
+
+def test_files_are_read_once_per_held_queries(spark, monkeypatch):
+    """Arrow batches of 10 rows do not multiply the reading."""
+    x = _groups(300)
+    df = spark.createDataFrame([(f"k{i}", v.tolist(), 1) for i, v in enumerate(x)], "id string, x array<double>, y int")
+    want = {r.id: r.neighbours for r in K.knn_scores(df, df, k=3, train_id="id", query_id="id").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r.id: r.neighbours for r in K.knn_scores(df, df, k=3, train_id="id", query_id="id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 300
+
+
+def test_few_no_and_empty_rows(spark):
+    schema = "id long, x array<double>, y int"
+    two = spark.createDataFrame([(1, [0.0, 1.0], 1), (2, [5.0, 5.0], 0), (3, None, 1)], schema)
+    got = {r.id: r for r in K.knn_scores(two, two, k=5, train_id="id", query_id="id").collect()}
+    assert {i: r.neighbours for i, r in got.items()} == {1: [1, 2], 2: [2, 1]} and got[1].prob == 0.5
+    none = K.knn_scores(two.limit(0), two, k=5, train_id="id", query_id="id").collect()
+    assert [(r.id, r.neighbours, r.prob) for r in sorted(none)] == [(1, [], 0.0), (2, [], 0.0)]
+    assert K.knn_scores(two, two.limit(0), k=5, train_id="id", query_id="id").collect() == []
