@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import as_uri, columns_of
-from parcelwise.llm.tokens import default_tokenizer, encoder
+from parcelwise.llm.common import as_uri, columns_of, frees_memory
+from parcelwise.llm.tokens import default_tokenizer, encoder, forget
 from parcelwise.sources.scratch import Scratch
 
 END_ID, BLOCK_TOKENS = 49407, 1 << 20
@@ -37,6 +37,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = END_ID, path:
     documents in the files. The frame must be written out before the files are used."""
     path, folder = path or default_tokenizer(), as_uri(folder)
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -56,6 +57,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = END_ID, path:
                         [pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), doc_ids],
                         names=["file", "ordinal", "doc_id"])
                 waiting = []
+        forget()
     return columns_of(docs, "doc_id", "text").mapInArrow(run, "file string, ordinal long, doc_id long")
 
 
@@ -76,6 +78,7 @@ def scan_tokens(files: DataFrame, folder: str, end_id: int = END_ID, block_token
         F.lit(0).cast("long"), F.greatest(tokens - 1, F.lit(0)), F.lit(block_tokens).cast("long"))).alias("begin"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(root_uri)
