@@ -258,6 +258,9 @@ sql("customer_table", with_ctes("""
 SELECT CustomerID, count(*) AS Orders, round(avg(OrderValue), 6) AS AvgValue, round(avg(DiscountPct), 6) AS AvgDiscount,
        round(avg(IsCOD), 6) AS PctCOD, round(avg(RTO), 6) AS ReturnRate
 FROM cod_clean WHERE CustomerID IS NOT NULL GROUP BY CustomerID""", "cod_clean"))
+for _name, _same in [("refresh_kpi", "kpi_headline"), ("refresh_customers", "customer_table"),
+                     ("refresh_rate_by_payment", "rate_by_payment"), ("refresh_rate_by_tier", "rate_by_tier")]:
+    sql(_name, ORACLE[_same])  # refreshed equals rebuilt
 sql("distinct_levels", with_ctes(" UNION ".join(
     f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS level FROM cod_clean WHERE {c} IS NOT NULL"
     for c in ["PaymentMethod", "CityTier", "State", "Category", "Device", "AddressQuality"]), "cod_clean"))

@@ -22,6 +22,7 @@ from parcelwise.operators import rules as RU
 from parcelwise.operators import stats as S
 from parcelwise.operators import windows as W
 from parcelwise.operators.models import CAT_FEATS, NUM_FEATS
+from parcelwise.operators.partials import Partials
 from parcelwise.operators.reasons import reason_codes
 from parcelwise.plans import data, order_rows
 from parcelwise.sources import io as IO
@@ -139,6 +140,38 @@ def q_handoff_scored(spark, sf):
     return materialize(spark, scored.select("OrderID", "Risk", "Score", "Tier"), "handoff")
 
 
+def _partials(spark, sf):
+    """Partial aggregates of the clean table's files; a call scans only files it has not seen."""
+    def make():
+        clean = data.clean(spark, sf)
+        return Partials(spark, clean.scratch_path, Scratch(spark, "partials").path("state"), clean.schema)
+    kept = _once(spark, sf, "partials", make)
+    with _WRITE_LOCK:
+        kept.refresh()
+    return kept
+
+
+@query("refresh_kpi")
+def q_refresh_kpi(spark, sf):
+    return _partials(spark, sf).kpi_headline()
+
+
+@query("refresh_customers")
+def q_refresh_customers(spark, sf):
+    return _partials(spark, sf).customer_table().select(
+        "CustomerID", "Orders", *[F.round(c, 6).alias(c) for c in ("AvgValue", "AvgDiscount", "PctCOD", "ReturnRate")])
+
+
+@query("refresh_rate_by_payment")
+def q_refresh_rate_by_payment(spark, sf):
+    return _partials(spark, sf).rate_by("PaymentMethod")
+
+
+@query("refresh_rate_by_tier")
+def q_refresh_rate_by_tier(spark, sf):
+    return _partials(spark, sf).rate_by("CityTier", cod_only=True)
+
+
 # ------------------------------------------------------------------ 2.2 cleaning
 
 def _dedup_parsed(spark, sf):
