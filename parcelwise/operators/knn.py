@@ -6,13 +6,13 @@ The rows are written to the shared folder in the order of (list, residual) as fi
 ``BLOCK_ROWS`` rows; a directory has the least and the largest residual per file and list.
 By the triangle inequality no row of such a part is nearer to a query q than |q - centre| - largest
 or least - |q - centre|, so a file whose bound is beyond the k-th best distance of a query so far is
-not measured for it, and not read if that holds for all queries at hand. The result is exact
+not measured for it, and not read if that holds for all queries at hand. A file that is read is tested
+again by parts of one list and ``PART_ROWS`` rows at most. The result is exact
 whatever the centres are; they only decide how much is skipped.
 
 Query rows are brought together by their nearest centre. A task holds ``QUERY_ROWS`` of them at a time
 and goes through the files, nearest first, one at a time: neither the driver nor a task ever holds
-more than one block, and no pair becomes a row. Distances of a tile (``TILE_ROWS`` x ``BLOCK_ROWS``,
-64 MB) come from one matrix product of centred rows. That form rounds, so every training row
+more than one block, and no pair becomes a row. Distances of a tile (``TILE_ROWS`` x ``PART_ROWS``) come from one matrix product of centred rows. That form rounds, so every training row
 within a proven rounding bound of the k-th best is measured again by exact differences; ties go to
 the smaller training id. Rows without a vector take no part.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from parcelwise.operators.lloyd import squared
 from parcelwise.sources.scratch import Scratch
 
-BLOCK_ROWS, TILE_ROWS, QUERY_ROWS = 8192, 1024, 8192
+BLOCK_ROWS, PART_ROWS, TILE_ROWS, QUERY_ROWS = 8192, 512, 1024, 4096
 #: The index: training rows that centres are fitted on, lists at most, rows of the sample per list.
 SAMPLE_ROWS, LISTS, ROWS_PER_LIST = 10_000, 256, 16
 #: Pairs measured exactly at a time.
@@ -84,6 +84,8 @@ class Nearest:
             if spare < len(ids):
                 cut = np.minimum(cut, np.partition(rough, spare - 1, axis=1)[:, spare - 1])
             close = rough <= (cut + slack)[:, None]
+            some = close.any(axis=1)
+            mine, close = mine[some], close[some]
             ends = np.cumsum(close.sum(axis=1))
             first = 0
             while first < len(mine):  # as many queries at a time as have PAIRS rows, at least one
@@ -204,9 +206,18 @@ def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str =
             middle = away.mean(axis=0, keepdims=True)
             for name in sorted(files, key=lambda n: float(_bounds(middle, files[n], dims)[0])):
                 which = np.flatnonzero(_bounds(away, files[name], dims) <= nearest.distance[:, -1])
-                if len(which):
-                    block = pq.read_table(f"{root}/{name}", filesystem=store)
-                    nearest.add(_matrix(block["x"]), np.array(block["id"].to_pylist()), block["y"].to_numpy(), which)
+                if not len(which):
+                    continue
+                block = pq.read_table(f"{root}/{name}", filesystem=store)
+                x, known, votes = _matrix(block["x"]), np.array(block["id"].to_pylist()), block["y"].to_numpy()
+                own, residual = block["list"].to_numpy(), block["residual"].to_numpy()
+                edges = np.union1d(np.flatnonzero(np.diff(own)) + 1, np.arange(0, len(x), PART_ROWS))
+                parts = [(a, b, np.array([[own[a], residual[a:b].min(), residual[a:b].max()]]))
+                         for a, b in zip(edges, np.append(edges[1:], len(x)))]
+                for a, b, part in sorted(parts, key=lambda p: float(_bounds(middle, p[2], dims)[0])):
+                    near = which[_bounds(away[which], part, dims) <= nearest.distance[which, -1]]
+                    if len(near):
+                        nearest.add(x[a:b], known[a:b], votes[a:b], near)
             best = nearest.best
             positive = np.array([v.sum() for _, _, v in best])
             found = np.maximum(np.array([len(v) for _, _, v in best]), 1)
