@@ -7,12 +7,12 @@ The rows are written to the shared folder in the order of (list, residual) as fi
 By the triangle inequality no row of such a part is nearer to a query q than |q - centre| - largest
 or least - |q - centre|, so a file whose bound is beyond the k-th best distance of a query so far is
 not measured for it, and not read if that holds for all queries at hand. A file that is read is tested
-again by parts of one list and ``PART_ROWS`` rows at most. The result is exact
+again by parts of one list and ``PART_ROWS`` rows at most, and measured whole if that saves little. The result is exact
 whatever the centres are; they only decide how much is skipped.
 
 Query rows are brought together by their nearest centre. A task holds ``QUERY_ROWS`` of them at a time
 and goes through the files, nearest first, one at a time: neither the driver nor a task ever holds
-more than one block, and no pair becomes a row. Distances of a tile (``TILE_ROWS`` x ``PART_ROWS``) come from one matrix product of centred rows. That form rounds, so every training row
+more than one block, and no pair becomes a row. Distances of a tile (``TILE_ROWS`` x ``BLOCK_ROWS``, 64 MB) come from one matrix product of centred rows. That form rounds, so every training row
 within a proven rounding bound of the k-th best is measured again by exact differences; ties go to
 the smaller training id. Rows without a vector take no part.
 """
@@ -32,6 +32,8 @@ from parcelwise.sources.scratch import Scratch
 BLOCK_ROWS, PART_ROWS, TILE_ROWS, QUERY_ROWS = 8192, 512, 1024, 4096
 #: The index: training rows that centres are fitted on, lists at most, rows of the sample per list.
 SAMPLE_ROWS, LISTS, ROWS_PER_LIST = 10_000, 256, 16
+#: Share of a file's pairs above which it is measured whole.
+WORTH = 0.7
 #: Pairs measured exactly at a time.
 PAIRS = 1 << 20
 _EPS = np.finfo(float).eps
@@ -214,8 +216,13 @@ def knn_scores(train: DataFrame, query: DataFrame, k: int = 25, features: str =
                 edges = np.union1d(np.flatnonzero(np.diff(own)) + 1, np.arange(0, len(x), PART_ROWS))
                 parts = [(a, b, np.array([[own[a], residual[a:b].min(), residual[a:b].max()]]))
                          for a, b in zip(edges, np.append(edges[1:], len(x)))]
+                def needed(part: np.ndarray) -> np.ndarray:
+                    return which[_bounds(away[which], part, dims) <= nearest.distance[which, -1]]
+                if sum(len(needed(part)) * (b - a) for a, b, part in parts) > WORTH * len(which) * len(x):
+                    nearest.add(x, known, votes, which)
+                    continue
                 for a, b, part in sorted(parts, key=lambda p: float(_bounds(middle, p[2], dims)[0])):
-                    near = which[_bounds(away[which], part, dims) <= nearest.distance[which, -1]]
+                    near = needed(part)
                     if len(near):
                         nearest.add(x[a:b], known[a:b], votes[a:b], near)
             best = nearest.best
