@@ -5,7 +5,8 @@ hash of the row's key, the start and the step, and d the distance to the nearest
 is a draw with weights d^2, made by a minimum that tasks combine. The first k centres of a start
 serve the model of k groups, so one pass a step serves all models. Each Lloyd pass then counts and
 adds up the rows of every group of every model that still moves. Coordinates are added as whole
-multiples of 2^-24, so centres do not depend on how the rows are partitioned.
+multiples of 2^-24, so centres do not depend on how the rows are partitioned. The rows are dealt out
+evenly over all cores first: a table of shoppers is small enough to come in one file.
 
 What reaches the driver are the centres: models x groups x columns numbers, whatever the rows.
 """
@@ -27,6 +28,8 @@ from parcelwise.sources.scratch import Scratch
 # The reference learner's defaults.
 TOLERANCE, MAX_ITER = 1e-4, 300
 _UNIT = float(1 << 24)
+#: Rows of a file at most.
+FILE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,25 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, squared distance) of each row's nearest centre, ties to the lower number; ``x`` has a
+    row per column. The distances are those of ``squared``."""
+    group, least = np.zeros(x.shape[1], dtype=np.intp), None
+    for g, centre in enumerate(centres):
+        apart = np.zeros(x.shape[1])
+        for column, c in zip(x, centre):
+            step = column - c
+            step *= step
+            apart += step
+        if least is None:
+            least = apart
+        else:
+            nearer = apart < least
+            np.copyto(group, g, where=nearer)
+            np.copyto(least, apart, where=nearer)
+    return group, least
+
+
 def race(keys: np.ndarray, start: int, step: int, weight: np.ndarray) -> np.ndarray:
     """Arrival of each row in the draw of a start's next centre; the least wins, weight 0 never."""
     u = ((_hashed(start, step, keys) >> np.uint64(11)) + 1.0) / float(1 << 53)
@@ -103,15 +125,15 @@ def _pass(table: DataFrame, models: dict[tuple[int, int], np.ndarray]) -> dict[t
             _, x = _points(batch)
             if not len(x):
                 continue
-            whole = np.rint(x * _UNIT)
+            columns = np.ascontiguousarray(x.T)
+            whole = np.rint(columns * _UNIT)
             if sums is None:
                 sums = np.zeros((first[-1], x.shape[1] + 2), dtype=np.int64)
             for at, name in zip(first, names):
-                apart = squared(x, models[name])
-                group, n = apart.argmin(axis=1), len(models[name])
+                (group, least), n = nearest(columns, models[name]), len(models[name])
                 # whole numbers below 2^53 a batch: their float sums are exact
-                columns = [np.ones(len(x)), *whole.T, np.rint(apart.min(axis=1) * _UNIT)]
-                sums[at:at + n] += np.stack([np.bincount(group, c, n) for c in columns], axis=1).astype(np.int64)
+                added = [np.bincount(group, None, n), *[np.bincount(group, c, n) for c in (*whole, np.rint(least * _UNIT))]]
+                sums[at:at + n] += np.stack(added, axis=1).astype(np.int64)
         if sums is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(sums))), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["place", "sums"])
@@ -130,7 +152,8 @@ def fit(rows: DataFrame, ks: Sequence[int], starts: Sequence[int], key: str = "C
     the mean variance of the columns (sum of squares). A group without rows keeps its centre; with
     fewer different rows than k there are fewer groups; no rows give no models."""
     scratch = Scratch(rows.sparkSession, "lloyd")
-    table = scratch.table(rows.select(F.xxhash64(key).alias("row_key"), vector_to_array(features).alias("x")), "points")
+    points = rows.select(F.xxhash64(key).alias("row_key"), vector_to_array(features).alias("x"))
+    table = scratch.dealt(points, "points", FILE_ROWS)
     drawn: dict[int, list] = {s: [] for s in starts}
     for step in range(max(ks)):
         known = {s: np.array(c) for s, c in drawn.items() if len(c) == step}

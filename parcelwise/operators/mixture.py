@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.operators.lloyd import Centres, squared
+from parcelwise.operators.lloyd import FILE_ROWS, Centres, squared
 from parcelwise.sources.scratch import Scratch
 
 # The reference learner's defaults.
@@ -159,7 +159,7 @@ def fit(rows: DataFrame, starts: Mapping[int, Centres], features: str = "feature
     if not starts:
         return {}
     scratch = Scratch(rows.sparkSession, "mixture")
-    table = scratch.table(rows.select(vector_to_array(features).alias("x")), "points")
+    table = scratch.dealt(rows.select(vector_to_array(features).alias("x")), "points", FILE_ROWS)
     n, k = table.count(), {s: len(c.points) for s, c in starts.items()}
     if not n:
         scratch.drop(table)

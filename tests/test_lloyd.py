@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from parcelwise.operators import lloyd as L
+from parcelwise.operators import mixture as X
 from parcelwise.operators import segment as SG
 from parcelwise.operators import silhouette as S
 
@@ -114,3 +115,38 @@ def test_few_and_no_rows(spark):
     (row,) = SG.kmeans_scan(same, [3], starts=[1, 2]).collect()
     assert (row["inertia"], row["silhouette"]) == (0.0, 0.0)
     assert SG.kmeans_scan(same.limit(0), [2], starts=[1, 2]).collect() == []
+
+
+def test_few_files_keep_all_cores_busy(spark, points, monkeypatch):
+    """Passes over a table that came in one file have a task per core."""
+    x, frame = points
+    one, cores, tasks = frame.coalesce(1), spark.sparkContext.defaultParallelism, []
+    for module in (L, X):
+        def spy(table, *a, real=module._pass):
+            tasks.append(table.rdd.getNumPartitions())
+            return real(table, *a)
+        monkeypatch.setattr(module, "_pass", spy)
+    fitted = L.fit(one, [2], [1])
+    X.fit(one, {1: fitted[2, 1]})
+    assert set(tasks) == {cores}
+    labelled = one.select(F.col("f").alias("x"), F.array(F.col("ReturnRate").cast("int")).alias("labels"))
+    written = []
+    monkeypatch.setattr(S.Scratch, "path", lambda self, name, real=S.Scratch.path: written.append(real(self, name)) or written[-1])
+    S.silhouettes(labelled, [2])
+    assert len(spark.read.parquet(written[0]).inputFiles()) == cores
+
+
+def test_distances_are_added_tile_by_tile(monkeypatch):
+    rng = np.random.default_rng(2)
+    mine, other, labels = rng.normal(size=(70, 3)), rng.normal(size=(90, 3)), rng.integers(0, 2, (90, 1))
+    members = S._members(labels, [2])
+    expected = np.sqrt(L.squared(mine, other)) @ members
+    for rows, width in ((64, 1024), (16, 37), (70, 90)):
+        monkeypatch.setattr(S, "TILE_ROWS", rows)
+        monkeypatch.setattr(S, "TILE_WIDTH", width)
+        total = np.zeros((70, 2))
+        S.add_distances(total, mine, other, members)
+        assert np.allclose(total, expected, atol=1e-12)
+    group, least = L.nearest(mine.T, other[:5])
+    apart = L.squared(mine, other[:5])
+    assert (group == apart.argmin(1)).all() and (least == apart.min(1)).all()
