@@ -127,3 +127,31 @@ def test_one_class_and_no_rows(spark):
     (model,), out = B.fit_boosters(empty, [F.lit(True)], NUM, CAT, rounds=2)
     assert out.count() == 0
     assert model.predict(one, ["OrderID"]).first()["Risk"] == pytest.approx(0.5)
+
+
+def test_few_files_keep_all_cores_busy(spark, fitted, monkeypatch):
+    """A pass over a table that came in one file has a task per core, and shuffles a row per model and task."""
+    _, frame, members, (models, _) = fitted
+    tasks, real = [], B._histogram
+    monkeypatch.setattr(B, "_histogram", lambda state, *a: tasks.append(state.rdd.getNumPartitions()) or real(state, *a))
+    again, _ = B.fit_boosters(frame.coalesce(1), members, NUM, CAT, rounds=1)
+    assert set(tasks) == {spark.sparkContext.defaultParallelism}
+    assert (again[0].bound[0] == models[0].bound[0]).all()
+
+
+def test_place_of_equals_walk():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 9, (4, 500)).astype(np.int16)
+    column, bound = rng.integers(0, 4, 1023), rng.integers(0, 9, 1023).astype(float)
+    bound[rng.random(1023) < 0.2] = 1 << 20
+    for levels in (0, 1, 3, 10):
+        assert (B.place_of(bins, column, bound, 2, levels) == B.walk(bins.T.astype(int), column, bound, 2, levels)).all()
+
+
+def test_rows_without_a_label_are_scored_and_not_learnt_from(spark, fitted):
+    rows, _, members, (models, _) = fitted
+    more = rows + [(1000 + i, None, 0, 99.0, 9.0, "x", "q") for i in range(30)]
+    again, out = B.fit_boosters(spark.createDataFrame(more, SCHEMA), members, NUM, CAT, rounds=12)
+    assert all((a.bound == b.bound).all() and (a.value == b.value).all() for a, b in zip(again, models))
+    new = out.where("OrderID >= 1000").collect()
+    assert len(new) == 30 and all(r["y"] is None and 0 < r["risks"][0] < 1 for r in new)
