@@ -121,3 +121,26 @@ def test_one_class_no_rows_and_equal_rows(spark):
     same = spark.createDataFrame([(i, i % 2, 0, 1.0, 1.0, "x", "p") for i in range(40)], SCHEMA)
     model = R.fit_forest(same, NUM, CAT, trees=3, depth=3)
     assert np.isinf(model.bound).all() and all(v == 0.0 for _, v in model.importances())
+
+
+def test_large_nodes_and_groups_grow_alike(fitted, monkeypatch):
+    """Nodes of few rows are grown in groups, others in passes over all rows, in parts of bounded size."""
+    _, frame, model = fitted
+    widest, real = [], R._counts
+    for rows, cells in ((0, 1 << 20), (60, 1 << 20), (0, 60)):
+        passes = []
+        monkeypatch.setattr(R, "_counts", lambda *a: passes.append(a[5].total) or real(*a))
+        monkeypatch.setattr(R, "GROUP_ROWS", rows)
+        monkeypatch.setattr(R, "PASS_CELLS", cells)
+        again = R.fit_forest(frame.repartition(5), NUM, CAT, trees=TREES, depth=DEPTH)
+        for name in ("column", "bound", "value", "gain"):
+            assert (getattr(model, name) == getattr(again, name)).all()
+        widest.append(max(passes))
+    assert widest[2] < widest[0]
+
+
+def test_deep_levels_take_no_pass_of_their_own(fitted, monkeypatch):
+    """A table whose trees fit into groups is read once to grow them, whatever the depth."""
+    _, frame, _ = fitted
+    monkeypatch.setattr(R, "_counts", None)  # no pass over all rows
+    assert np.isfinite(R.fit_forest(frame, NUM, CAT, trees=2, depth=6).bound).any()
