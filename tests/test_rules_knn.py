@@ -140,3 +140,21 @@ def test_few_no_and_empty_rows(spark):
     none = K.knn_scores(two.limit(0), two, k=5, train_id="id", query_id="id").collect()
     assert [(r.id, r.neighbours, r.prob) for r in sorted(none)] == [(1, [], 0.0), (2, [], 0.0)]
     assert K.knn_scores(two, two.limit(0), k=5, train_id="id", query_id="id").collect() == []
+
+
+def test_knn_memory_does_not_grow_with_copies():
+    import tracemalloc
+
+    import numpy as np
+
+    from parcelwise.operators.knn import Nearest
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(8, 64))
+    rows = few[np.arange(8192) % 8]          # each vector a thousand times
+    nearest = Nearest(few[np.arange(2048) % 8], np.arange(2048), 25, True)
+    tracemalloc.start()
+    nearest.add(rows, np.arange(8192), np.ones(8192))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (nearest.distance == 0).all() and (nearest.known[:, 0] < 16).all()
+    assert peak < 400e6, peak                 # all pairs' vectors gathered at once took over 1,100 MB
