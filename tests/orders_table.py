@@ -23,20 +23,23 @@ RAW_COLUMNS = ["OrderID", "CustomerID", "OrderDay", "CityTier", "State", "Catego
 
 
 def order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order grain: orders joined to shopper, nation, line summary and lead part."""
-    orders = read_table(spark, sf_dir, "orders")
+    """Order grain: orders joined to shopper, nation, line summary and lead part. The texts are
+    joined last, so that the joins before move narrow rows."""
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_orderpriority") < F.lit("4")).alias("cod"), "o_totalprice",
+        F.datediff(F.to_date("o_orderdate"), F.lit(EPOCH).cast("date")).alias("day"))
     customer = read_table(spark, sf_dir, "customer")
     nation = read_table(spark, sf_dir, "nation")
     part = read_table(spark, sf_dir, "part")
     lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("items"), (F.min("l_discount") + F.max("l_discount")).alias("d2"),
                   F.min("l_partkey").alias("pk")))
-    shoppers = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     return (orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+            .join(customer, orders.o_custkey == customer.c_custkey)
             .join(part, F.col("pk") == part.p_partkey)
-            .join(shoppers, orders.o_custkey == shoppers.c_custkey)
-            .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
-                    "o_orderdate", "items", "d2", "p_type", "n_name", "n_regionkey"))
+            .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+            .select("o_orderkey", "o_custkey", "o_orderstatus", "cod", "o_totalprice", "day", "items", "d2", "p_type",
+                    "n_name", "n_regionkey"))
 
 
 def _each(n: int, rest: int = 0) -> Column:
@@ -44,12 +47,12 @@ def _each(n: int, rest: int = 0) -> Column:
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messy export: one row per order, some twice."""
+    """The messy export: one row per order, some twice. The shopper's history is counted on the
+    narrow rows; the texts are made after it, so that no shuffle moves them."""
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     none = F.lit(None).cast("string")
     tier = F.when(F.col("n_regionkey") <= 1, 1).when(F.col("n_regionkey") <= 3, 2).otherwise(3)
-    discount = F.round(F.lit(300.0) * F.col("d2")).cast("int")
-    cod = F.col("o_orderpriority") < F.lit("4")
+    discount, cod = F.round(F.lit(300.0) * F.col("d2")).cast("int"), F.col("cod")
     status = F.col("o_orderstatus")
 
     habit = F.floor(F.lit(8) * hash_uniform(ck, "habit"))
@@ -57,6 +60,11 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
               + F.floor(discount / F.lit(12)))
     chance = F.when(cod, points).otherwise(habit)
     returned = F.floor(F.lit(100) * hash_uniform(ok, "back")) < chance
+    numbers = order_base(spark, sf_dir).select(
+        "*", F.when(_each(97), F.lit(None)).otherwise(ck).cast("bigint").alias("shopper"),
+        F.when(_each(131), F.lit(None)).otherwise(F.col("day")).cast("int").alias("OrderDay"),
+        returned.cast("int").alias("__ret")).drop("o_custkey", "day")
+    rows = prior_history(numbers, cust="shopper", day="OrderDay", seq="o_orderkey", flag="__ret")
 
     # Tier spellings and currency prefixes that the cleaner has to read.
     spelling = F.element_at(F.array(*map(F.lit, ("Tier-", "Tier ", "tier", "T", "TIER-"))), (ok % 5 + 1).cast("int"))
@@ -64,11 +72,9 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("n_name")
     amount = F.format_number(F.round(F.col("o_totalprice") / F.lit(33.0)).cast("bigint"), 0)
     percent = F.concat(discount.cast("string"), F.when(ok % 2 == 0, F.lit("%")).otherwise(F.lit("")))
-    rows = order_base(spark, sf_dir).select(
+    export = rows.select(
         F.concat(F.lit("ORD"), (ok + F.lit(100000)).cast("string")).alias("OrderID"),
-        F.when(_each(97), none).otherwise(F.concat(F.lit("CUST"), (ck + F.lit(10000)).cast("string"))).alias("CustomerID"),
-        F.when(_each(131), F.lit(None)).otherwise(
-            F.datediff(F.to_date("o_orderdate"), F.lit(EPOCH).cast("date"))).cast("int").alias("OrderDay"),
+        F.concat(F.lit("CUST"), (F.col("shopper") + F.lit(10000)).cast("string")).alias("CustomerID"), "OrderDay",
         F.when(_each(101), F.lit("rural")).otherwise(F.concat(spelling, tier.cast("string"))).alias("CityTier"),
         F.when(_each(73), none).when(ok % 6 == 0, F.upper(name)).when(ok % 6 == 1, F.lower(name))
          .when(ok % 6 == 2, F.concat(F.lit(" "), name, F.lit("  "))).otherwise(name).alias("State"),
@@ -83,12 +89,10 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_each(19), none).when(status == "F", F.lit("Complete")).when(status == "O", F.lit("Partial"))
          .when(status == "P", F.lit("Vague")).alias("AddressQuality"),
         (ok % 24).cast("int").alias("OrderHour"),
-        F.col("items").cast("int").alias("Items"),
-        F.when(returned, F.lit("Returned")).otherwise(F.lit("Delivered")).alias("DeliveryStatus"),
-        returned.cast("int").alias("__ret"), ok.alias("OrderKey"),
+        F.col("items").cast("int").alias("Items"), "PriorOrders", "PriorReturns",
+        F.when(F.col("__ret") == 1, F.lit("Returned")).otherwise(F.lit("Delivered")).alias("DeliveryStatus"),
         F.when(_each(211), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("__copies"))
-    with_history = prior_history(rows, cust="CustomerID", day="OrderDay", seq="OrderKey", flag="__ret")
-    return with_history.withColumn("__copy", F.explode("__copies")).select(*RAW_COLUMNS)
+    return export.withColumn("__copy", F.explode("__copies")).select(*RAW_COLUMNS)
 
 
 def rule_scored(cod: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.operators import clean as C
+from parcelwise.sources.scratch import Scratch
 from parcelwise.sources.io import RAW_SCHEMA
 
 
@@ -55,3 +56,14 @@ def test_cleaning_is_idempotent_on_clean_values(spark):
     again = C.clean_orders(once.select(*[F.col(c).cast(RAW_SCHEMA[c].dataType) for c in RAW_SCHEMA.names]))
     cols = ["OrderID", "CityTier", "State", "OrderValue", "DiscountPct"]
     assert sorted(once.select(cols).collect()) == sorted(again.select(cols).collect())
+
+
+def test_dedup_of_a_large_table_compares_only_rows_that_share_a_hash(spark):
+    rows = [(i % 40, f"t{i % 40}" if i % 3 else None, float(i % 2)) for i in range(200)] + [(None, None, None)] * 2 + [(i, "once", 1.0) for i in range(100, 900)]
+    raw = Scratch(spark, "dedup_rows").table(spark.createDataFrame(rows, "a int, b string, c double"), "rows")
+    for most_keys in (1 << 21, 0):
+        got = C.dedup(raw, plain_rows=10, most_keys=most_keys)
+        assert sorted(map(str, got.collect())) == sorted(map(str, raw.distinct().collect()))
+    scan_only = C.dedup(raw, plain_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in scan_only  # rows of their own are passed on, not shuffled
+    assert C.dedup(raw).count() == raw.distinct().count()

@@ -64,3 +64,13 @@ def test_chi2_sf_critical_values():
     assert abs(chi2_sf(11.070497693516351, 5) - 0.05) < 1e-9
     assert abs(chi2_sf(30.577914166892498, 15) - 0.01) < 1e-9
     assert chi2_sf(0.0, 3) == 1.0 and chi2_sf(5.0, 0) == 1.0
+
+
+def test_title_case_takes_the_quick_way_where_it_is_the_same(spark):
+    values = ["UNITED KINGDOM", "a  bC d", "x", "", " y", "o'neil-smith", "new\tdelhi", "goa\n", "r2d2 x", "ÉCOLE abc", "ijMUIDEN", None]
+    rows = [(i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, v string").select("i", X.title_case("v").alias("t"))
+    assert "initcap" in df._jdf.queryExecution().analyzed().toString()
+    got = {r["i"]: r["t"] for r in df.collect()}
+    ascii_only = {i: v.title() if v is not None else None for i, v in rows if v is None or v.isascii()}
+    assert {i: got[i] for i in ascii_only} == ascii_only

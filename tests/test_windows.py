@@ -79,3 +79,32 @@ def test_rows_without_keys_are_kept(spark):
     assert sorted((str(r.y), r.rk) for r in ranked) == [("0", 1), ("1", 1), ("1", 2), ("None", 1), ("None", 2)]
     assert W.split_and_folds(ids, "y", "id").count() == 5
     assert W.split_and_folds(ids, None, "id").count() == 5
+
+
+def test_prior_history_shuffles_the_rows_once(spark):
+    rows = [(i, None if i % 7 == 0 else f"C{i % 5}", None if i % 11 == 0 else i % 3, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, cust string, day int, ret int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = W.prior_history(df, cust="cust", day="day", seq="seq", flag="ret", seq_block=16)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r["seq"]: (r["PriorOrders"], r["PriorReturns"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want, seen = {}, {}
+    for seq, cust, _, ret in sorted(rows, key=lambda r: (r[1] or "", -1 if r[2] is None else r[2], r[0])):
+        n, back = seen.get(cust, (0, 0))
+        want[seq], seen[cust] = (n, back), (n + 1, back + ret)
+    assert found == want
+    # the upper side of the last join: from its sort down to the scan there is one exchange
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    at = lines[join].index("SortMergeJoin")
+    rows_side = []
+    for line in lines[join + 1:]:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if depth <= at + 3 and rows_side and not line[at:at + 1] == ":":
+            break
+        rows_side.append(line)
+    assert sum("Exchange" in line for line in rows_side) == 1, plan
