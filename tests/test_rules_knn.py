@@ -158,3 +158,25 @@ def test_knn_memory_does_not_grow_with_copies():
     tracemalloc.stop()
     assert (nearest.distance == 0).all() and (nearest.known[:, 0] < 16).all()
     assert peak < 400e6, peak                 # all pairs' vectors gathered at once took over 1,100 MB
+
+
+def test_most_pairs_of_one_hot_rows_are_skipped(spark):
+    """Numbers beside one-hot levels, as model rows have them: residuals of centres skipped a sixth of the pairs."""
+    rng = np.random.default_rng(11)
+    n, hot = 6000, [np.eye(m)[rng.integers(0, m, 6000)] for m in (3, 12, 8, 4)]
+    x = np.concatenate([rng.normal(size=(n, 4)), *hot], axis=1)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, x array<double>, y int")
+    rows = K.knn_scores(df, df.where("id % 20 = 0"), k=5, train_id="id", query_id="id", exclude_self=True).collect()
+    assert len(rows) == n // 20
+    for r in rows:
+        d = K._exact(x, x[r.id])
+        d[r.id] = np.inf
+        assert r.neighbours == np.lexsort((np.arange(n), d))[:5].tolist()
+    assert sum(r.measured for r in rows) < 0.3 * n * len(rows)
+
+
+def test_ids_that_repeat_are_all_left_out(spark):
+    """A training id that comes twice must not cost a query its k-th neighbour."""
+    df = spark.createDataFrame([(i // 2, [float(i // 2) ** 2, 0.0], 1) for i in range(40)], "id long, x array<double>, y int")
+    got = K.knn_scores(df, df.where("id = 10").limit(1), k=3, train_id="id", query_id="id", exclude_self=True).first()
+    assert got.neighbours == [9, 9, 11]
