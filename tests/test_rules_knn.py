@@ -180,3 +180,13 @@ def test_ids_that_repeat_are_all_left_out(spark):
     df = spark.createDataFrame([(i // 2, [float(i // 2) ** 2, 0.0], 1) for i in range(40)], "id long, x array<double>, y int")
     got = K.knn_scores(df, df.where("id = 10").limit(1), k=3, train_id="id", query_id="id", exclude_self=True).first()
     assert got.neighbours == [9, 9, 11]
+
+
+def test_hundreds_of_rare_levels_are_parted_evenly():
+    """No vine with a cut per level: neither deep recursion nor hundreds of passes over a file."""
+    x = np.eye(1500)[np.arange(6000) % 1500]
+    groups = K._together(x, 64)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(6000))
+    assert max(map(len, groups)) <= 64 and len(groups) < 500
+    cells = K.Cells(x)
+    assert cells.of(x).max() < cells.size
