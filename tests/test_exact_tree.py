@@ -109,3 +109,26 @@ def test_no_rows_one_class_and_nothing_to_cut(spark):
     assert frame.select(T.risk(T.grow(frame, NUM, CAT, "RTO")).alias("r")).first()["r"] == 0.5
     one = T.grow(frame.where(F.col("RTO") == 1), NUM, CAT, "RTO")
     assert not one.splits and frame.select(T.risk(one).alias("r")).first()["r"] == 1.0
+
+
+def test_tasks_hand_on_counts_and_not_rows_times_columns(spark):
+    """3,000 rows in one task come out as their distinct (node, column, value), with exact sums."""
+    from decimal import Decimal
+    y = [Decimal("900000000000000.0001"), Decimal("-1.5000"), Decimal("0.0003"), None]
+    rows = [(i, float("nan") if i % 5 == 4 else float(i % 5), None if i % 7 == 0 else i % 3 + 0.5, "pq"[i % 2] if i % 11 else None, y[i % 4])
+            for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, a double, b double, c string, y decimal(20,4)").coalesce(1)
+    tree = T.grow(frame, ["a", "b"], ["c"], "y", "squares", depth=2)
+    known = [r for r in rows if r[4] is not None]
+    assert tree.leaves[1] == (len(known), sum(r[4] for r in known))
+    for parent in tree.splits:
+        assert [sum(x) for x in zip(tree.leaves[2 * parent], tree.leaves[2 * parent + 1])] == list(tree.leaves[parent])
+    reached = {r["leaf"]: (r["n"], r["s"]) for r in frame.where("y IS NOT NULL").groupBy(tree.leaf().alias("leaf"))
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect()}
+    assert reached == {k: v for k, v in tree.leaves.items() if k not in tree.splits}
+    enc = tree.encoding
+    stats = [c.alias(f"s{i}") for i, c in enumerate(T._stats("y", "squares"))]
+    cells = T._cells(frame.where("y IS NOT NULL").select(*enc.numbers(), *enc.codes(), *stats), T.Tree(enc), 0).collect()
+    assert len(cells) == 5 + 3 + 3
+    for col in range(3):
+        assert sum(r["s2"] * T.PART + r["s1"] for r in cells if r["col"] == col) == 10_000 * sum(r[4] for r in known)
