@@ -128,7 +128,9 @@ def test_tasks_hand_on_counts_and_not_rows_times_columns(spark):
     assert reached == {k: v for k, v in tree.leaves.items() if k not in tree.splits}
     enc = tree.encoding
     stats = [c.alias(f"s{i}") for i, c in enumerate(T._stats("y", "squares"))]
-    cells = T._cells(frame.where("y IS NOT NULL").select(*enc.numbers(), *enc.codes(), *stats), T.Tree(enc), 0).collect()
+    packed = T._packed(frame.where("y IS NOT NULL").select(*enc.numbers(), *enc.codes(), *stats))
+    assert [r["n"] for r in packed.collect()] == [len(known)]
+    cells = T._cells(packed, T.Tree(enc), 0, len(stats)).collect()
     assert len(cells) == 5 + 3 + 3
     for col in range(3):
         assert sum(r["s2"] * T.PART + r["s1"] for r in cells if r["col"] == col) == 10_000 * sum(r[4] for r in known)
