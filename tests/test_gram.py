@@ -98,3 +98,22 @@ def test_one_class_no_rows_and_unseen_levels(spark):
     (model,) = G.logistic(rows, [F.lit(True)], NUM, CAT)
     unseen = spark.createDataFrame([(1, 0, 0, None, None, "new", None)], SCHEMA)
     assert 0 < unseen.select(model.risk().alias("p")).first()["p"] < 1
+
+
+def test_levels_are_looked_up_by_place(spark):
+    """No map of levels per model; a NULL or unseen level weighs nothing."""
+    rows = spark.createDataFrame(_rows(80, seed=6), SCHEMA)
+    inputs = G.scaled_inputs(rows, NUM, CAT)
+    model = G.Linear(inputs, np.arange(1.0, inputs.size + 1))
+    odd = spark.createDataFrame([(1, 0, 0, 0.5, 1.0, "new", None)], SCHEMA)
+    scored = odd.select(model.column().alias("p"))
+    z = (np.array([0.5, 1.0]) - inputs.mean) / inputs.sd
+    assert scored.first()["p"] == pytest.approx(1.0 + z @ [2.0, 3.0], abs=1e-12)
+    at = 3
+    for c, known in zip(CAT, inputs.encoding.levels):
+        for i, level in enumerate(known):
+            one = odd.withColumn(c, F.lit(level)).select(model.column().alias("p")).first()["p"]
+            assert one == pytest.approx(1.0 + z @ [2.0, 3.0] + at + i + 1, abs=1e-12)
+        at += len(known)
+    plan = rows.select(model.column().alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan and "element_at" not in plan
