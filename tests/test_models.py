@@ -83,6 +83,25 @@ def test_oof_each_order_scored_once_by_other_folds(spark):
     assert oof.Score.between(300, 900).all() and set(oof.fold) == {0, 1, 2}
 
 
+def test_knn_votes_with_every_labelled_row(spark, monkeypatch):
+    """However many training rows there are, none is left out of the vote."""
+    from parcelwise.operators import models as ML
+    monkeypatch.setattr(ML, "KNN_FIT_ROWS", 100, raising=False)  # the limit that the vote had
+    rng = np.random.default_rng(7)
+    rows = [(f"O{i}", float(v), 10.0, 0.0, 0.0, 1.0, 12.0, 1.0, *["a"] * 5, int(rng.random() < 0.4))
+            for i, v in enumerate(rng.permutation(400))]
+    schema = ", ".join(["OrderID string", *[f"{c} double" for c in ML.NUM_FEATS], *[f"{c} string" for c in ML.CAT_FEATS], "RTO int"])
+    train = spark.createDataFrame(rows, schema)
+    test = train.where("OrderValue > 50 and OrderValue < 350 and OrderValue % 7 = 0")
+    _, (p,) = ML.fit_predict(train, [test], "KNN")
+    got = {r.OrderID: r.Risk for r in p.collect()}
+    label = {r[1]: r[-1] for r in rows}
+    value = {r[0]: r[1] for r in rows}
+    assert len(got) > 30
+    for order, risk in got.items():  # 12 rows on either side and the row itself
+        assert abs(risk - np.mean([label[value[order] + k] for k in range(-12, 13)])) < 1e-12
+
+
 def test_rule_support_falls_as_combos_grow(spark):
     from parcelwise.operators import rules as RU
     from parcelwise.plans import data
