@@ -9,8 +9,10 @@ posting in the block for any corpus statistics, so the index is built in one pas
 
 Search, per shard and query: lists are added by falling upper bound until the lists left cannot
 lift a new document into the result (the essential part); for the others, the maxima of the blocks
-in which a candidate would stand reject it before any of their bytes are decoded. A task carries
-its best rows from shard to shard; the tasks' rows are merged by a window. Scores are integers and
+in which a candidate would stand reject it before any of their bytes are decoded. A file has a few
+shards only; search tasks get the files' names and read a shard at a time, so neither writer, reader
+nor task holds more, however large the index is. A task carries its best rows from shard to shard;
+the tasks' rows are merged by a window, and their number depends on the cores, not on the index. Scores are integers and
 exact; documents whose bound equals the threshold are kept, so ties come out by ascending doc_id.
 
 Queries go through the driver in blocks of bounded size, each block against all shards. Nulls: a
@@ -27,6 +29,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +40,9 @@ from parcelwise.llm.common import columns_of, frees_memory
 from parcelwise.sources.scratch import Scratch
 
 SHARD_BYTES = 8_000_000
+#: Shards of an index file at most (Parquet's writer looks at its memory every hundred rows only, and
+#: Spark's reader decodes up to thousands of a file's rows together), and search tasks a core.
+SHARDS_A_FILE, TASKS_A_CORE = 4, 4
 BLOCK = 64
 TOP = 50
 #: Terms of the queries that are held at a time; a block has at least one query.
@@ -316,14 +323,31 @@ def _shard_rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: int) -> DataFrame:
+def _files(index: DataFrame) -> DataFrame:
+    """The names of the index's files, dealt to the search tasks."""
+    spark = index.sparkSession
+    files = sorted(index.inputFiles())
+    tasks = max(1, min(len(files), TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The index rows of the named files, one at a time."""
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as file:
+                yield from pq.ParquetFile(file).iter_batches(1, columns=columns, use_threads=False)
+
+
+def _search_block(files: DataFrame, block: list, stats: tuple[int, int], top: int) -> DataFrame:
     """item_no, doc_id, score: at least the ``top`` best rows of every query of the block."""
     asked = np.unique(np.concatenate([terms for _, terms in block])).astype(np.uint64)
 
     @frees_memory
     def count(batches):
         total = np.zeros(len(asked), dtype=np.int64)
-        for batch in batches:
+        for batch in _shards(batches, ["terms", "df"]):
             ends = batch.column(0).offsets.to_numpy()
             for i in range(batch.num_rows):
                 terms = batch.column(0).values[ends[i]:ends[i + 1]].to_numpy(zero_copy_only=False).view(np.uint64)
@@ -335,7 +359,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term_no", "df"])
     df = np.zeros(len(asked), dtype=np.int64)
-    for r in index.select("terms", "df").mapInArrow(count, "term_no long, df long").groupBy("term_no").agg(
+    for r in files.mapInArrow(count, "term_no long, df long").groupBy("term_no").agg(
             F.sum("df").alias("df")).collect():  # at most one row per asked term of the block
         df[r["term_no"]] = r["df"]
     weights = np.array([_weight(stats[0], int(x)) if x else 0 for x in df], dtype=np.int64)
@@ -344,7 +368,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
     @frees_memory
     def search(batches):
         best = [_Best(top) for _ in queries]
-        for batch in batches:
+        for batch in _shards(batches, columns):
             for row in _shard_rows(batch):
                 lists = _Lists(row, asked, weights, *stats)
                 for (_, wanted), found in zip(queries, best):
@@ -358,7 +382,7 @@ def _search_block(index: DataFrame, block: list, stats: tuple[int, int], top: in
                      pa.array(found.score)], names=["item_no", "doc_id", "score"])
     columns = ["doc_ids", "lengths", "terms", "df", "first_block", "block_first", "block_last", "block_tf",
                "block_at", "data"]
-    return index.select(*columns).mapInArrow(search, "item_no long, doc_id long, score long")
+    return files.mapInArrow(search, "item_no long, doc_id long, score long")
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -397,11 +421,11 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     spark = index.sparkSession
     scratch = Scratch(spark, "lexical")
     n_docs, n_terms = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
-    found = []
+    files, found = _files(index), []
 
     def run(block):
         numbers = spark.createDataFrame([(no, item) for no, item, _ in block], "item_no long, item_id long")
-        rows = _search_block(index, [(no, terms) for no, _, terms in block], (n_docs, n_terms), top)
+        rows = _search_block(files, [(no, terms) for no, _, terms in block], (n_docs, n_terms), top)
         order = Window.partitionBy("item_no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         found.append(scratch.table(rows.join(F.broadcast(numbers), "item_no").select(
@@ -424,4 +448,4 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
 def ranked_search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """Index ``docs`` in the shared folder and search it."""
     scratch = Scratch(docs.sparkSession, "lexical_index")
-    return search(scratch.table(build_index(docs), "index"), queries, top)
+    return search(scratch.blocks(build_index(docs), "index", SHARDS_A_FILE), queries, top)

@@ -107,3 +107,23 @@ def test_a_text_longer_than_a_piece(spark, monkeypatch):
     assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
     terms = [t for a, b in parts for t in _terms(text.encode()[a:b].decode())]
     assert Counter(terms) == Counter(_terms(text))
+
+
+def test_index_files_have_few_shards(spark, monkeypatch):
+    """One task of the build makes many shards: a file has a few of them only."""
+    import pyarrow.dataset as ds
+    monkeypatch.setattr(lexical.build_index, "__defaults__", (2_000,))
+    made = {}
+
+    class Kept(lexical.Scratch):
+        def blocks(self, df, name, file_rows):
+            made[name] = super().blocks(df, name, file_rows)
+            return made[name]
+    monkeypatch.setattr(lexical, "Scratch", Kept)
+    docs = [(i, f"common w{i % 7} " + prose(i, 60), "en", "s", 1) for i in range(150)]
+    items = [(1, "common w3"), (2, "w5 w6")]
+    table = documents(spark, docs).coalesce(1)
+    got = sorted((tuple(r) for r in lexical.ranked_search(table, _items(spark, items), 5).collect()), key=str)
+    assert got == _plain(docs, items, 5)
+    rows = [f.count_rows() for f in ds.dataset(made["index"].scratch_path, format="parquet").get_fragments()]
+    assert sum(rows) > 8 and max(rows) <= 4
