@@ -136,6 +136,27 @@ def test_few_files_keep_all_cores_busy(spark, points, monkeypatch):
     assert len(spark.read.parquet(written[0]).inputFiles()) == cores
 
 
+def test_product_and_differences_agree(monkeypatch):
+    """Squares by the matrix product, those that round measured again, are those by differences alone."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    outlier = x * 1e-4
+    outlier[0] = 1e4
+    labels = np.stack([rng.integers(0, n, 300) for n in (2, 3, 4)], axis=1)
+    members = S._members(labels, [2, 3, 4])
+    for rows in (x, x[:10].repeat(30, axis=0), 1e6 + 1e-3 * x, outlier, np.ones((300, 5))):
+        found = []
+        for share in (S.CLOSE, np.inf):
+            monkeypatch.setattr(S, "CLOSE", share)
+            total = np.zeros((300, 9))
+            S.add_distances(total, rows, rows, members)
+            found.append(total)
+        apart = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+        assert np.allclose(found[1], apart @ members, rtol=1e-12, atol=0)
+        assert np.allclose(*found, rtol=1e-9, atol=0)
+        monkeypatch.undo()
+
+
 def test_distances_are_added_tile_by_tile(monkeypatch):
     rng = np.random.default_rng(2)
     mine, other, labels = rng.normal(size=(70, 3)), rng.normal(size=(90, 3)), rng.integers(0, 2, (90, 1))
