@@ -40,3 +40,15 @@ def test_rate_by_drops_null_and_small_levels(spark):
     out = D.rate_by(df, "lvl", min_n=20).collect()
     assert [(r.level, r.n, r.return_rate) for r in out] == [("A", 50, 0.5)]
     assert out[0].overall_rate == round(60 / 85, 6) and out[0].vs_overall == "below"
+
+
+def test_histogram_of_joined_scores_joins_once(spark, monkeypatch):
+    """The histogram reads its rows twice (range, bins); the orders are joined to their scores once."""
+    from parcelwise.plans import queries as Q
+    orders = spark.createDataFrame([(f"O{i}", i) for i in range(50)], "OrderID string, v int")
+    scores = spark.createDataFrame([(f"O{i}", 300 + 7 * i) for i in range(60)] + [("O3", None)], "OrderID string, Score int")
+    joined = orders.join(scores, "OrderID")
+    monkeypatch.setattr(Q, "_oof_scored", lambda spark, sf: joined)
+    found = Q.QUERIES["hist_score_oof"](spark, "")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, D.histogram(joined, "Score", 40).collect()))
